@@ -65,9 +65,19 @@ def bm25_idf(postings: DataFrame, stats: DataFrame) -> DataFrame:
                       .otherwise(F.col("raw")).alias("idf"))
 
 
+def bm25_weights(with_df: DataFrame, n: float, avgdl: float, mean_idf: float) -> DataFrame:
+    """(term, chunk_id, tf, df, w) from postings carrying df."""
+    raw = _raw_idf(F.lit(float(n)), F.col("df"))
+    idf = F.when(raw < 0, F.lit(EPSILON * mean_idf)).otherwise(raw)
+    tf = F.col("tf").cast("double")
+    norm = tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(float(avgdl)))
+    return with_df.select("term", "chunk_id", "tf", "df", (idf * tf * F.lit(K1 + 1) / norm).alias("w"))
+
+
 def bm25_index(psg: DataFrame) -> DataFrame:
-    """(term, chunk_id, tf, df, w): the stored BM25 index. df is attached by a
-    window partitioned by term (the one shuffle, on term), not by a join."""
+    """(term, chunk_id, tf, df, w): the stored BM25 index, as one lazy plan.
+    df is attached by a window partitioned by term (the one shuffle, on
+    term), not by a join; corpus numbers are scalar subqueries."""
     post = bm25_postings(psg)
     stats = bm25_corpus_stats(psg)
     n = stats.select("n_passages").scalar()
@@ -83,6 +93,25 @@ def bm25_index(psg: DataFrame) -> DataFrame:
                           (idf * tf * F.lit(K1 + 1) / norm).alias("w"))
 
 
+def bm25_build(psg: DataFrame, materialize) -> tuple[DataFrame, DataFrame, dict]:
+    """Offline build used by searches: postings are materialised once (the
+    tokeniser runs once), corpus numbers are one-row aggregates read as
+    literals, the index and the idf table are materialised.
+    Returns (index, idf(term, df, idf), stats)."""
+    post = materialize(bm25_postings(psg))
+    n = psg.count()
+    total = post.agg(F.sum("tf")).first()[0] or 0
+    avgdl = (total / n) if n else 0.0
+    dfs = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    mean_idf = dfs.select(F.avg(_raw_idf(F.lit(float(n)), F.col("df")))).first()[0] or 0.0
+    with_df = post.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("term")))
+    index = materialize(bm25_weights(with_df, n, avgdl, mean_idf))
+    raw = _raw_idf(F.lit(float(n)), F.col("df"))
+    idf = materialize(dfs.select("term", "df", F.when(raw < 0, F.lit(EPSILON * mean_idf))
+                                 .otherwise(raw).alias("idf")))
+    return index, idf, {"n_passages": n, "avgdl": avgdl, "mean_idf": mean_idf}
+
+
 def query_terms(queries: DataFrame, text_col: str = "text") -> DataFrame:
     """(query_id, term, qn): query words with their multiplicity."""
     return (queries.select("query_id", F.explode(tx.bm25_tokens(F.col(text_col))).alias("term"))

@@ -114,3 +114,112 @@ ct AS (
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(c.strip().rstrip(",") for c in ctes if c.strip())
+
+
+# ------------------------------------------------------------------ BM25
+BM25 = """
+psg AS (SELECT chunk_id, trim(text) AS text FROM ct),
+ptok AS (SELECT chunk_id, {tok} AS toks FROM psg),
+post AS (SELECT chunk_id, term, count(*) AS tf, any_value(dl) AS dl
+         FROM (SELECT chunk_id, len(toks) AS dl, unnest(toks) AS term FROM ptok) GROUP BY chunk_id, term),
+stats AS (SELECT count(*) AS n, sum(len(toks)) / count(*) AS avgdl FROM ptok),
+dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+rawidf AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, stats),
+meanidf AS (SELECT avg(raw) AS m FROM rawidf),
+idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * m ELSE raw END AS idf FROM rawidf, meanidf),
+bidx AS (SELECT p.term, p.chunk_id, p.tf, i.df,
+                i.idf * p.tf * 2.5 / (p.tf + 1.5 * (0.25 + 0.75 * p.dl / s.avgdl)) AS w
+         FROM post p JOIN idf i USING (term), stats s)
+""".format(tok=tokens("text"))
+
+
+def query_terms(src: str, text: str = "text", name: str = "qt") -> str:
+    return (f"{name} AS (SELECT query_id, term, count(*) AS qn FROM (SELECT query_id, "
+            f"unnest({tokens(text)}) AS term FROM {src}) GROUP BY query_id, term)")
+
+
+QUERIES = "qs AS (SELECT CAST(item_id AS BIGINT) AS query_id, text FROM benchmark)"
+
+BM25_SEARCH = f"""
+{query_terms('qs')},
+bsc AS (SELECT query_id, chunk_id, sum(qn * w) AS score FROM qt JOIN bidx USING (term) GROUP BY 1, 2),
+btop AS (SELECT query_id, chunk_id, round(score, 6) AS score,
+                CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS INTEGER) AS rank
+         FROM bsc)
+"""
+
+SOURCES = f"src AS (SELECT CAST(doc_id AS BIGINT) AS document_id, {doc_name()} AS source FROM documents)"
+
+
+def bucket_sql(t: str, dim: int) -> str:
+    return f"CAST(('0x' || substr(md5({t}), 1, 8))::BIGINT % {dim} AS INTEGER)"
+
+
+def sign_sql(t: str) -> str:
+    return f"(CASE WHEN ('0x' || substr(md5({t}), 9, 1))::INTEGER < 8 THEN 1.0 ELSE -1.0 END)"
+
+
+def sparse_vectors(name: str, weights: str, key: str, dim: int) -> str:
+    """``{name}(key, b, v)`` from ``weights(key, term, w)``; values are float
+    rounded, as stored."""
+    return f"""
+{name}_r AS (SELECT {key}, {bucket_sql('term', dim)} AS b, sum({sign_sql('term')} * w) AS v
+             FROM {weights} GROUP BY 1, 2),
+{name}_n AS (SELECT {key}, sqrt(sum(v * v)) AS nm FROM {name}_r GROUP BY 1),
+{name} AS (SELECT {key}, b, CAST(CAST(CASE WHEN nm > 0 THEN v / nm ELSE 0 END AS FLOAT) AS DOUBLE) AS v
+           FROM {name}_r JOIN {name}_n USING ({key}))
+"""
+
+
+EMBED_DIM = 256
+
+CORPUS_VECTORS = (
+    "cw AS (SELECT chunk_id, term, tf * ln(1 + n / df) AS w FROM bidx, stats),"
+    + sparse_vectors("cv", "cw", "chunk_id", EMBED_DIM))
+
+SEMANTIC = f"""
+rq AS (SELECT query_id, array_to_string({tokens('text')}, ' ') AS text FROM qs),
+{query_terms('rq', name='rqt')},
+qw AS (SELECT query_id, term, qn * ln(1 + n / df) AS w FROM rqt JOIN dfs USING (term), stats),
+{sparse_vectors('qv', 'qw', 'query_id', EMBED_DIM)},
+qn2 AS (SELECT query_id, sum(v * v) AS n2 FROM qv GROUP BY 1),
+cn2 AS (SELECT chunk_id, sum(v * v) AS n2 FROM cv GROUP BY 1),
+dots AS (SELECT q.query_id, c.chunk_id, sum(q.v * c.v) AS dot FROM qv q JOIN cv c ON q.b = c.b GROUP BY 1, 2),
+sd AS (SELECT a.query_id, c.chunk_id,
+              greatest(coalesce(qn2.n2, 0) + coalesce(cn2.n2, 0) - 2 * coalesce(dots.dot, 0), 0) + 0.0 AS dist
+       FROM qs a CROSS JOIN ct c
+       LEFT JOIN qn2 ON qn2.query_id = a.query_id
+       LEFT JOIN cn2 ON cn2.chunk_id = c.chunk_id
+       LEFT JOIN dots ON dots.query_id = a.query_id AND dots.chunk_id = c.chunk_id),
+stop AS (SELECT query_id, chunk_id, round(dist, 6) AS score,
+                CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(dist, 6), chunk_id) AS INTEGER) AS rank
+         FROM sd)
+"""
+
+HYBRID = f"""
+cand0 AS (SELECT query_id, rank, chunk_id, 'semantic' AS origin, score, rank AS pos FROM stop WHERE rank <= 10
+          UNION ALL
+          SELECT query_id, rank, chunk_id, 'lexical', score, 10 + rank FROM btop WHERE rank <= 3),
+cand1 AS (SELECT c.*, ct.text, src.source FROM cand0 c JOIN ct USING (chunk_id)
+          LEFT JOIN src ON src.document_id = ct.document_id),
+cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, text ORDER BY pos DESC) AS rn
+                        FROM cand1) WHERE rn = 1),
+qd AS (SELECT DISTINCT query_id, unnest({tokens('text')}) AS term FROM qs),
+den AS (SELECT query_id, sum(idf) AS den FROM qd JOIN idf USING (term) GROUP BY 1),
+num AS (SELECT c.query_id, c.pos, sum(i.idf) AS num FROM cand c JOIN qd ON qd.query_id = c.query_id
+        AND list_contains({tokens('c.text')}, qd.term) JOIN idf i ON i.term = qd.term GROUP BY 1, 2),
+rsc AS (SELECT c.query_id, c.chunk_id, c.origin, c.source, c.text, c.pos,
+               round(CASE WHEN coalesce(den.den, 0) > 0 THEN coalesce(num.num, 0) / den.den ELSE 0.0 END, 6) AS score
+        FROM cand c LEFT JOIN num ON num.query_id = c.query_id AND num.pos = c.pos
+        LEFT JOIN den ON den.query_id = c.query_id),
+htop AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS INTEGER) AS rank
+                        FROM rsc) WHERE rank <= 6),
+hctx AS (SELECT query_id, string_agg(text, '' ORDER BY rank) AS text FROM htop GROUP BY 1),
+{summary_ctes('hs', 'hctx', ['query_id'])}
+"""
+
+HYBRID_SELECT = """
+SELECT query_id, rank, chunk_id, origin, source, score, text FROM htop
+UNION ALL
+SELECT query_id, 0, CAST(NULL AS BIGINT), 'summary', CAST(NULL AS VARCHAR), CAST(NULL AS DOUBLE), summary FROM hs_out
+"""

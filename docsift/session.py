@@ -57,11 +57,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder, so that a lost
-    executor does not force recomputing the whole upstream plan."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Cut lineage by writing the rows as Parquet under the shared
+    checkpoint folder and reading them back: computed once, survives lost
+    executors, and later scans get column pruning, filter pushdown and
+    real size statistics (which AQE uses to pick join strategies)."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
