@@ -99,9 +99,9 @@ def sparse_rows(vecs: DataFrame, key: str) -> DataFrame:
     """(key, bucket, value) for the non-zero coordinates (for inspection and
     the SQL check)."""
     return (vecs.select(key, F.posexplode("vec").alias("bucket", "v"))
-            .filter(F.col("v") != 0)
             .select(key, F.col("bucket").cast("int").alias("bucket"),
-                    F.round(F.col("v").cast("double"), DIST_DIGITS).alias("value")))
+                    F.round(F.col("v").cast("double"), DIST_DIGITS).alias("value"))
+            .filter(F.col("value") != 0))
 
 
 # ------------------------------------------------------------ block kernel
@@ -111,8 +111,8 @@ def _topk_kernel(k: int, exclude_self: bool):
             return pd.DataFrame({"query_id": pd.Series([], dtype="int64"),
                                  "id": pd.Series([], dtype="int64"),
                                  "dist": pd.Series([], dtype="float64")})
-        q = np.stack(qpdf["vec"].to_numpy()).astype(np.float64)
-        b = np.stack(bpdf["vec"].to_numpy()).astype(np.float64)
+        q = np.stack(qpdf["qvec"].to_numpy()).astype(np.float64)
+        b = np.stack(bpdf["bvec"].to_numpy()).astype(np.float64)
         qid = qpdf["query_id"].to_numpy(dtype=np.int64)
         bid = bpdf["id"].to_numpy(dtype=np.int64)
         d = (q * q).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (q @ b.T)
@@ -141,8 +141,11 @@ def _topk_kernel(k: int, exclude_self: bool):
 
 def _cogroup_topk(qk: DataFrame, bk: DataFrame, keys: list[str], k: int,
                   exclude_self: bool = False) -> DataFrame:
-    q = qk.select(*keys, "query_id", "vec")
-    b = bk.select(*keys, "id", "vec")
+    # Distinct names per side: both sides may come from one DataFrame (a
+    # k-NN graph), and cogroup must not see the same attribute twice.
+    q = qk.select(*[F.col(c).alias(c) for c in keys], F.col("query_id").alias("query_id"),
+                  F.col("vec").alias("qvec"))
+    b = bk.select(*[F.col(c).alias(c) for c in keys], F.col("id").alias("id"), F.col("vec").alias("bvec"))
     return (q.groupBy(*keys).cogroup(b.groupBy(*keys))
             .applyInPandas(_topk_kernel(k, exclude_self), _CAND))
 
