@@ -143,8 +143,10 @@ def _cogroup_topk(qk: DataFrame, bk: DataFrame, keys: list[str], k: int,
                   exclude_self: bool = False) -> DataFrame:
     # Distinct names per side: both sides may come from one DataFrame (a
     # k-NN graph), and cogroup must not see the same attribute twice.
-    q = qk.select(*[F.col(c).alias(c) for c in keys], F.col("query_id").alias("query_id"),
-                  F.col("vec").alias("qvec"))
+    # Keys get one type on both sides: equal values must hash alike, or the
+    # two sides of a group land in different partitions.
+    q = qk.select(*[F.col(c).cast(bk.schema[c].dataType).alias(c) for c in keys],
+                  F.col("query_id").alias("query_id"), F.col("vec").alias("qvec"))
     b = bk.select(*[F.col(c).alias(c) for c in keys], F.col("id").alias("id"), F.col("vec").alias("bvec"))
     return (q.groupBy(*keys).cogroup(b.groupBy(*keys))
             .applyInPandas(_topk_kernel(k, exclude_self), _CAND))
@@ -172,9 +174,9 @@ def knn_exact(queries: DataFrame, base: DataFrame, k: int = 10, exclude_self: bo
     nb = base.count() if n_base is None else n_base
     qb = max(1, math.ceil(nq / q_block))
     bb = max(1, math.ceil(nb / b_block), min(_parallelism(spark), max(1, nb // 64)))
-    qk = (queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(qb)))
+    qk = (queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(qb)).cast("int"))
           .withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(bb - 1)))))
-    bk = (base.withColumn("bb", F.pmod(F.xxhash64("id"), F.lit(bb)))
+    bk = (base.withColumn("bb", F.pmod(F.xxhash64("id"), F.lit(bb)).cast("int"))
           .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
     return _final_topk(_cogroup_topk(qk, bk, ["qb", "bb"], k, exclude_self), k)
 
@@ -230,24 +232,31 @@ def ivf_search(queries: DataFrame, assigned: DataFrame, centroids: DataFrame, k:
 
 
 # ----------------------------------------------------------------- G5 LSH
-def lsh_search(queries: DataFrame, base: DataFrame, k: int = 10, bucket_length: float = 0.5,
-               tables: int = 6, seed: int = 11, exclude_self: bool = False,
+def lsh_search(queries: DataFrame, base: DataFrame, k: int = 10, bucket_length: float = 0.3,
+               and_width: int = 6, tables: int = 60, seed: int = 11, exclude_self: bool = False,
                max_block: int = B_BLOCK) -> tuple[DataFrame, DataFrame]:
-    """Approximate top-k by bucketed random projection LSH (Spark ML).
-    Returns (result, stats(query_id, evaluated)). Queries whose buckets give
+    """Approximate top-k by bucketed random projections (Spark ML's
+    BucketedRandomProjectionLSH supplies ``and_width * tables`` projections;
+    every ``and_width`` of them form one bucket key, and a vector lives in
+    ``tables`` buckets). Returns (result, stats(query_id, evaluated)), where
+    ``evaluated`` counts distance computations. Queries whose buckets give
     fewer than k candidates are answered exactly."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector, vector_to_array
-    bf = base.select("id", "vec", array_to_vector(F.col("vec")).alias("features"))
+    bf = base.select("id", array_to_vector(F.col("vec")).alias("features"))
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes",
-                                        bucketLength=bucket_length, numHashTables=tables,
+                                        bucketLength=bucket_length, numHashTables=and_width * tables,
                                         seed=seed).fit(bf)
 
     def keyed(df, idc):
         h = model.transform(df.select(idc, "vec", array_to_vector(F.col("vec")).alias("features")))
-        return (h.select(idc, "vec", F.posexplode("hashes").alias("tbl", "hv"))
-                .select(idc, "vec", "tbl", vector_to_array(F.col("hv"))[0].cast("bigint").alias("h"))
-                .withColumn("bucket", F.concat_ws(":", F.col("tbl").cast("string"), F.col("h").cast("string"))))
+        # row-local: the hash array of a row becomes its bucket keys
+        arr = h.select(idc, "vec", F.transform(
+            "hashes", lambda v: vector_to_array(v)[0].cast("bigint")).alias("hs"))
+        keys = F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda g: F.concat_ws(
+            ":", g.cast("string"), F.array_join(F.transform(
+                F.slice("hs", g * and_width + 1, and_width), lambda x: x.cast("string")), ",")))
+        return arr.select(idc, "vec", F.explode(keys).alias("bucket"))
 
     bk = keyed(base, "id")
     qk0 = keyed(queries, "query_id")
