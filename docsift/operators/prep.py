@@ -10,18 +10,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from docsift.functions import text as tx
 from docsift.operators.ids import running_offsets
 
-_BOUND = T.ArrayType(T.StructType([
-    T.StructField("s", T.IntegerType()),
-    T.StructField("c", T.IntegerType()),
-    T.StructField("n", T.IntegerType()),
-]))
-
-
 # --------------------------------------------------------------------- C1-C4
 def page_ranges(manifest: DataFrame, per_split: int = tx.PAGES_PER_SPLIT) -> DataFrame:
     """(document_name, split_no, first_page, last_page) for every run of
@@ -155,31 +147,42 @@ def pieces_expr(text, max_tokens: int = tx.MAX_TOKENS):
     return F.flatten(per_line)
 
 
-def _merge_bounds(sizes, max_tokens: int):
+def _chunk_starts(sizes, max_tokens: int):
     """Greedy in-order merge: a piece joins the current chunk while the sum
-    stays within ``max_tokens``. Returns array<struct<s,c,n>> (first piece,
-    piece count, tokens) per chunk."""
+    stays within ``max_tokens``. The fold carries the running sum and the
+    1-based start piece of every chunk; the start list grows only when a
+    chunk starts, so a piece that joins costs no array copy."""
+    init = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("starts"),
+                    F.lit(0).alias("i"))
+
     def step(acc, n):
-        last = F.try_element_at(acc, F.lit(-1))
-        grow = (F.size(acc) > 0) & ((last["n"] + n) <= max_tokens)
-        start = F.when(F.size(acc) == 0, F.lit(1)).otherwise(last["s"] + last["c"])
-        return F.when(
-            grow,
-            F.concat(F.slice(acc, 1, F.size(acc) - 1),
-                     F.array(F.struct(last["s"].alias("s"), (last["c"] + 1).alias("c"),
-                                      (last["n"] + n).alias("n")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(start.alias("s"), F.lit(1).alias("c"), n.alias("n")))))
-    return F.aggregate(sizes, F.array().cast(_BOUND), step)
-
-
-def chunks_expr(text, max_tokens: int = tx.MAX_TOKENS):
-    """C8 as an expression: array<struct<n_tokens,text>>; neighbouring pieces
-    merged up to ``max_tokens``, joined by newlines."""
-    pieces = pieces_expr(text, max_tokens)
-    bounds = _merge_bounds(F.transform(pieces, lambda p: p["n"].cast("int")), max_tokens)
-    texts = F.transform(pieces, lambda p: p["text"])
-    return F.transform(bounds, lambda b: F.struct(
-        b["n"].alias("n_tokens"), F.array_join(F.slice(texts, b["s"], b["c"]), "\n").alias("text")))
+        i = acc["i"] + 1
+        grow = (F.size(acc["starts"]) > 0) & ((acc["n"] + n) <= max_tokens)
+        return F.when(grow, F.struct((acc["n"] + n).alias("n"), acc["starts"].alias("starts"), i.alias("i"))) \
+                .otherwise(F.struct(n.alias("n"), F.concat(acc["starts"], F.array(i)).alias("starts"), i.alias("i")))
+    return F.aggregate(sizes, init, step)["starts"]
+
+
+def _chunk_from(starts, sizes, texts):
+    def chunk(s_, j):
+        e = F.coalesce(F.try_element_at(starts, j + 2), F.size(sizes) + 1)
+        return F.struct(
+            F.aggregate(F.slice(sizes, s_, e - s_), F.lit(0), lambda a, x: a + x).alias("n_tokens"),
+            F.array_join(F.slice(texts, s_, e - s_), "\n").alias("text"))
+    return F.transform(starts, chunk)
+
+
+def chunks_frame(df: DataFrame, text_col: str, keep: list[str], max_tokens: int = tx.MAX_TOKENS) -> DataFrame:
+    """``keep`` columns + ``chunks`` array<struct<n_tokens,text>>.
+
+    Pieces, their sizes, the fold and the chunk assembly are separate
+    projections: an expression referenced inside a per-element lambda is
+    evaluated once per element, so staging them keeps the work linear."""
+    p = df.select(*keep, pieces_expr(F.col(text_col), max_tokens).alias("_p"))
+    p = p.select(*keep, F.transform("_p", lambda x: x["n"].cast("int")).alias("_sizes"),
+                 F.transform("_p", lambda x: x["text"]).alias("_texts"))
+    p = p.select(*keep, "_sizes", "_texts", _chunk_starts(F.col("_sizes"), max_tokens).alias("_starts"))
+    return p.select(*keep, _chunk_from(F.col("_starts"), F.col("_sizes"), F.col("_texts")).alias("chunks"))
 
 
 def token_windows(docs: DataFrame, max_tokens: int = tx.MAX_TOKENS) -> DataFrame:
@@ -196,7 +199,7 @@ def token_windows(docs: DataFrame, max_tokens: int = tx.MAX_TOKENS) -> DataFrame
 
 def chunk_arrays(docs: DataFrame, max_tokens: int = tx.MAX_TOKENS) -> DataFrame:
     """(doc_id, chunks array) per document; the unit later steps explode."""
-    return docs.select("doc_id", chunks_expr(F.col("text"), max_tokens).alias("chunks"))
+    return chunks_frame(docs, "text", ["doc_id"], max_tokens)
 
 
 def chunk_documents(docs: DataFrame, max_tokens: int = tx.MAX_TOKENS) -> DataFrame:

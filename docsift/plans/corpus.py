@@ -27,9 +27,15 @@ def default_summarizer(groups: DataFrame, keys: list, text_col: str) -> DataFram
 
 
 def chunk_table(docs: DataFrame, summarizer: Summarizer | None = None,
-                max_tokens: int = tx.MAX_TOKENS, group: int = tx.CHUNKS_PER_SUMMARY) -> DataFrame:
+                max_tokens: int = tx.MAX_TOKENS, group: int = tx.CHUNKS_PER_SUMMARY,
+                materialize=None) -> DataFrame:
+    """``materialize`` (default: Parquet under the checkpoint folder) stores
+    the per-document chunk arrays once; counts, chunk rows and groups are
+    then read from it instead of re-chunking the documents three times."""
+    from docsift.session import cut_lineage
     summarizer = summarizer or default_summarizer
-    arr = prep.chunk_arrays(docs, max_tokens)
+    materialize = materialize or (lambda d: cut_lineage(d, "chunk-arrays"))
+    arr = materialize(prep.chunk_arrays(docs, max_tokens))
     n = F.size("chunks")
     slots = arr.select("doc_id", (n + F.floor(n / group)).cast("bigint").alias("slots"))
     off = running_offsets(slots, "doc_id", "slots")
