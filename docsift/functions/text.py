@@ -58,8 +58,8 @@ def raw_tokens(text: Column) -> Column:
 def bm25_tokens(text: Column) -> Column:
     """E1+E2: the lexical tokens of a text, stop words removed, with
     repetition and in order."""
-    stops = _lit_array(STOP_WORDS)
-    return F.filter(raw_tokens(text), lambda t: ~F.array_contains(stops, t))
+    # IN over literals becomes a hash-set lookup (InSet), not a list scan
+    return F.filter(raw_tokens(text), lambda t: ~t.isin(*STOP_WORDS))
 
 
 def words(line: Column) -> Column:

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docsift.functions.arrays import explode_rows, posexplode_rows
 from docsift.functions import models as M
 from docsift.functions import text as tx
 from docsift.operators import lexical as lx
@@ -127,8 +128,8 @@ def rerank_scores(cands: DataFrame, queries: DataFrame, idf: DataFrame) -> DataF
     candidate's words, in [0, 1]."""
     q = queries.select("query_id", F.array_distinct(tx.bm25_tokens(F.col("text"))).alias("qt"))
     c = cands.join(q, "query_id")
-    shared = (c.select("query_id", "pos", F.explode(
-        F.array_intersect("qt", tx.bm25_tokens(F.col("text")))).alias("term")))
+    shared = explode_rows(c, ["query_id", "pos"],
+                          F.array_intersect("qt", tx.bm25_tokens(F.col("text"))), "term")
     num = (idf.select("term", "idf").join(shared, "term")
            .groupBy("query_id", "pos").agg(F.sum("idf").alias("num")))
     qterms = q.select("query_id", F.explode("qt").alias("term"))

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docsift.functions.arrays import explode_rows, posexplode_rows
 from docsift.functions import text as tx
 from docsift.operators.broadcast import broadcast_if_small
 
@@ -33,7 +34,8 @@ def bm25_postings(psg: DataFrame) -> DataFrame:
     """(chunk_id, term, tf, dl). dl rides along (it depends on the
     passage only), so lengths need no join later."""
     toks = psg.select("chunk_id", tx.bm25_tokens(F.col("text")).alias("toks"))
-    return (toks.select("chunk_id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
+    toks = toks.select("chunk_id", F.size("toks").alias("dl"), "toks")
+    return (explode_rows(toks, ["chunk_id", "dl"], F.col("toks"), "term")
             .groupBy("chunk_id", "dl", "term")
             .agg(F.count(F.lit(1)).alias("tf"))
             .select("chunk_id", "term", "tf", "dl"))
@@ -114,7 +116,7 @@ def bm25_build(psg: DataFrame, materialize) -> tuple[DataFrame, DataFrame, dict]
 
 def query_terms(queries: DataFrame, text_col: str = "text") -> DataFrame:
     """(query_id, term, qn): query words with their multiplicity."""
-    return (queries.select("query_id", F.explode(tx.bm25_tokens(F.col(text_col))).alias("term"))
+    return (explode_rows(queries, ["query_id"], tx.bm25_tokens(F.col(text_col)), "term")
             .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qn")))
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docsift.functions.arrays import explode_rows, posexplode_rows
 from docsift.functions import text as tx
 from docsift.operators.ids import running_offsets
 
@@ -96,7 +97,7 @@ def convert_pages(pages: DataFrame) -> DataFrame:
     """Page html -> (page_id, item_no, label, text) with label heading or
     paragraph; scripts, styles, navigation, head, footer and comments
     removed, entities decoded. Row-local: no shuffle."""
-    items = pages.select("page_id", F.posexplode(_page_items(F.col("html"))).alias("i", "raw"))
+    items = posexplode_rows(pages, ["page_id"], _page_items(F.col("html")), "i", "raw")
     is_head = F.startswith(F.col("raw"), F.lit(HEAD))
     return items.select(
         "page_id",
@@ -205,7 +206,7 @@ def chunk_arrays(docs: DataFrame, max_tokens: int = tx.MAX_TOKENS) -> DataFrame:
 def chunk_documents(docs: DataFrame, max_tokens: int = tx.MAX_TOKENS) -> DataFrame:
     """(doc_id, pos, n_tokens, text), pos 1-based in document order."""
     return (chunk_arrays(docs, max_tokens)
-            .select("doc_id", F.posexplode("chunks").alias("i", "c"))
+            .transform(lambda d: posexplode_rows(d, ["doc_id"], F.col("chunks"), "i", "c"))
             .select("doc_id", (F.col("i") + 1).alias("pos"),
                     F.col("c.n_tokens").alias("n_tokens"), F.col("c.text").alias("text")))
 
@@ -229,7 +230,7 @@ def chunk_groups(chunk_arr: DataFrame, size: int = tx.CHUNKS_PER_SUMMARY) -> Dat
         lambda g: F.struct(g.alias("g"), F.array_join(
             F.transform(F.slice("chunks", g * size + 1, size), lambda c: c["text"]), "").alias("text")))
     return (chunk_arr.filter(F.size("chunks") >= size)
-            .select("doc_id", F.explode(groups).alias("x"))
+            .transform(lambda d: explode_rows(d, ["doc_id"], groups, "x"))
             .select("doc_id", F.col("x.g").alias("grp"), F.col("x.text").alias("text")))
 
 

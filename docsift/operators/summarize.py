@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docsift.functions.arrays import explode_rows, posexplode_rows
 from docsift.functions import text as tx
 
 SENTENCE_SPLIT = r"[.!?]"
@@ -25,11 +26,11 @@ SENTENCE_SPLIT = r"[.!?]"
 def extractive_summary(df: DataFrame, keys: list[str], text_col: str = "text",
                        n_sent: int = tx.SUMMARY_SENTENCES,
                        out_col: str = "summary") -> DataFrame:
-    sents = (df.select(*keys, F.posexplode(F.split(F.col(text_col), SENTENCE_SPLIT)).alias("sn", "s"))
+    sents = (posexplode_rows(df, keys, F.split(F.col(text_col), SENTENCE_SPLIT), "sn", "s")
              .select(*keys, "sn", F.trim(F.col("s")).alias("s"))
              .filter(F.col("s") != "")
              .repartition(*keys))
-    toks = sents.select(*keys, "sn", F.explode(tx.bm25_tokens(F.col("s"))).alias("t"))
+    toks = explode_rows(sents, [*keys, "sn"], tx.bm25_tokens(F.col("s")), "t")
     tf = toks.withColumn("tf", F.count(F.lit(1)).over(Window.partitionBy(*keys, "t")))
     scores = tf.groupBy(*keys, "sn").agg(F.avg("tf").alias("score"))
     both = (sents.select(*keys, "sn", "s", F.lit(None).cast("double").alias("score"))

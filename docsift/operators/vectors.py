@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docsift.functions.arrays import explode_rows, posexplode_rows
 from docsift.functions import text as tx
 
 EMBED_DIM = 256
@@ -63,12 +64,15 @@ def dense_vectors(weights: DataFrame, key: str, dim: int = EMBED_DIM) -> DataFra
          .select(key, term_bucket(F.col("term"), dim).alias("b"),
                  (term_sign(F.col("term")) * F.col("w")).alias("v"))
          .groupBy(key, "b").agg(F.sum("v").alias("v")))
-    m = s.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("b", "v"))).alias("m"))
-    # Dense vector and its norm are separate projections: referenced inside
-    # the normalising lambda they would be re-evaluated per element.
-    dense = m.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                                      lambda i: F.coalesce(F.element_at(F.col("m"), i), F.lit(0.0))
-                                      ).alias("d"))
+    e = s.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("b", "v"))).alias("e"))
+    # Entries sorted by bucket: one pass appends the zeros of each gap and
+    # the value (no per-dimension lookup). Dense vector and its norm are
+    # separate projections: referenced inside the normalising lambda they
+    # would be re-evaluated per element.
+    fold = F.aggregate("e", F.array().cast("array<double>"), lambda acc, x: F.concat(
+        acc, F.array_repeat(F.lit(0.0), x["b"] - F.size(acc)), F.array(x["v"])))
+    dense = e.select(key, fold.alias("d0"))
+    dense = dense.select(key, F.concat("d0", F.array_repeat(F.lit(0.0), F.lit(dim) - F.size("d0"))).alias("d"))
     normed = dense.select(key, "d", F.sqrt(F.aggregate("d", F.lit(0.0), lambda a, x: a + x * x)).alias("nm"))
     return normed.select(key, F.transform("d", lambda x: F.when(F.col("nm") > 0, x / F.col("nm"))
                                           .otherwise(F.lit(0.0))).cast("array<float>").alias("vec"))
@@ -256,7 +260,7 @@ def lsh_search(queries: DataFrame, base: DataFrame, k: int = 10, bucket_length:
         keys = F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda g: F.concat_ws(
             ":", g.cast("string"), F.array_join(F.transform(
                 F.slice("hs", g * and_width + 1, and_width), lambda x: x.cast("string")), ",")))
-        return arr.select(idc, "vec", F.explode(keys).alias("bucket"))
+        return explode_rows(arr, [idc, "vec"], keys, "bucket")
 
     bk = keyed(base, "id")
     qk0 = keyed(queries, "query_id")

@@ -14,6 +14,7 @@ from typing import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docsift.functions.arrays import explode_rows, posexplode_rows
 from docsift.functions import text as tx
 from docsift.operators import prep
 from docsift.operators.ids import running_offsets
@@ -46,12 +47,11 @@ def chunk_table(docs: DataFrame, summarizer: Summarizer | None = None,
                       prep.interleaved_local_ids(F.col("i") + 1, group).alias("pos"),
                       F.lit("chunk").alias("kind"), F.col("c.text").alias("text")))
 
-    groups = (placed.filter(F.size("chunks") >= group)
-              .select("doc_id", "offset", F.explode(F.transform(
-                  F.sequence(F.lit(0), F.floor(F.size("chunks") / group).cast("int") - 1),
-                  lambda g: F.struct(g.alias("g"), F.array_join(F.transform(
-                      F.slice("chunks", g * group + 1, group), lambda c: c["text"]), "").alias("text"))
-              )).alias("x"))
+    group_arr = F.transform(
+        F.sequence(F.lit(0), F.floor(F.size("chunks") / group).cast("int") - 1),
+        lambda g: F.struct(g.alias("g"), F.array_join(F.transform(
+            F.slice("chunks", g * group + 1, group), lambda c: c["text"]), "").alias("text")))
+    groups = (explode_rows(placed.filter(F.size("chunks") >= group), ["doc_id", "offset"], group_arr, "x")
               .select("doc_id", "offset", F.col("x.g").alias("grp"), F.col("x.text").alias("text")))
     summaries = (summarizer(groups, ["doc_id", "grp", "offset"], "text")
                  .select(F.col("doc_id").alias("document_id"), "offset",

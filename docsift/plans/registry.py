@@ -8,6 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docsift.functions.arrays import explode_rows, posexplode_rows
 from docsift.functions import models as M
 from docsift.functions import text as tx
 from docsift.operators import hybrid as H
@@ -394,14 +395,14 @@ def q_reconcile_flags(spark, sf):
 @register("bm25_tokens", f"""SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest({O.raw_tokens('text')}) AS token
   FROM documents) GROUP BY doc_id, token""")
 def q_bm25_tokens(spark, sf):
-    return (docs(spark, sf).select("doc_id", F.explode(tx.raw_tokens(F.col("text"))).alias("token"))
+    return (explode_rows(docs(spark, sf), ["doc_id"], tx.raw_tokens(F.col("text")), "token")
             .groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n")))
 
 
 @register("drop_stop_words", f"""SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest({O.tokens('text')}) AS token
   FROM documents) GROUP BY doc_id, token""")
 def q_drop_stop_words(spark, sf):
-    return (docs(spark, sf).select("doc_id", F.explode(tx.bm25_tokens(F.col("text"))).alias("token"))
+    return (explode_rows(docs(spark, sf), ["doc_id"], tx.bm25_tokens(F.col("text")), "token")
             .groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n")))
 
 
