@@ -143,6 +143,71 @@ def _topk_kernel(k: int, exclude_self: bool):
     return fn
 
 
+PAIR_BATCH = 1_000_000
+
+
+def _empty_cand() -> pd.DataFrame:
+    return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"),
+                         "dist": pd.Series([], dtype="float64")})
+
+
+def _matched_topk_kernel(k: int, exclude_self: bool, match: list[str]):
+    """Kernel for keyed search (IVF lists, LSH buckets): a group holds many
+    keys; a query meets only the base rows with its key. Pairs are formed
+    per batch of keys (at most PAIR_BATCH pairs at a time), deduplicated per
+    (query, id), and only the local top-k per query (ties kept) is emitted."""
+    def fn(qpdf: pd.DataFrame, bpdf: pd.DataFrame) -> pd.DataFrame:
+        if len(qpdf) == 0 or len(bpdf) == 0:
+            return _empty_cand()
+        q = np.stack(qpdf["qvec"].to_numpy()).astype(np.float64)
+        b = np.stack(bpdf["bvec"].to_numpy()).astype(np.float64)
+        qn, bn = (q * q).sum(1), (b * b).sum(1)
+        qid_all = qpdf["query_id"].to_numpy(dtype=np.int64)
+        bid_all = bpdf["id"].to_numpy(dtype=np.int64)
+        qk = qpdf[match].assign(qi=np.arange(len(qpdf)))
+        bk = bpdf[match].assign(bi=np.arange(len(bpdf)))
+        qc = qk.groupby(match).size().rename("nq")
+        bc = bk.groupby(match).size().rename("nb")
+        cost = pd.concat([qc, bc], axis=1, join="inner")
+        cost = (cost["nq"] * cost["nb"]).sort_index()
+        batch_no = (cost.cumsum() // PAIR_BATCH).rename("_batch").reset_index()
+        qk = qk.merge(batch_no, on=match)
+        bk = bk.merge(batch_no, on=match)
+        parts = []
+        for _, qb in qk.groupby("_batch"):
+            bb = bk[bk["_batch"] == qb["_batch"].iloc[0]]
+            pr = qb.merge(bb, on=match)
+            if len(pr) == 0:
+                continue
+            qi, bi = pr["qi"].to_numpy(), pr["bi"].to_numpy()
+            d = qn[qi] + bn[bi] - 2.0 * np.einsum("ij,ij->i", q[qi], b[bi])
+            parts.append(pd.DataFrame({"query_id": qid_all[qi], "id": bid_all[bi],
+                                       "dist": np.maximum(d, 0.0) + 0.0}))
+        if not parts:
+            return _empty_cand()
+        c = pd.concat(parts, ignore_index=True).drop_duplicates(["query_id", "id"])
+        if exclude_self:
+            c = c[c["query_id"] != c["id"]]
+        c = c.assign(_r=np.round(c["dist"].to_numpy(), DIST_DIGITS)).sort_values(["query_id", "_r", "id"])
+        c = c[c.groupby("query_id").cumcount() < k]
+        return c[["query_id", "id", "dist"]].reset_index(drop=True)
+    return fn
+
+
+def _keyed_topk(qk: DataFrame, bk: DataFrame, match: list[str], k: int, exclude_self: bool,
+                n_blocks: int) -> DataFrame:
+    """Groups many keys into ``n_blocks`` cogroup groups (one pandas call
+    each) by hashing the full key, salt included, so the sub-blocks of a hot
+    key still land in different groups."""
+    blk = F.pmod(F.xxhash64(*match), F.lit(n_blocks)).cast("int")
+    q = qk.select(blk.alias("_blk"), *[F.col(c).cast(bk.schema[c].dataType).alias(c) for c in match],
+                  F.col("query_id").alias("query_id"), F.col("vec").alias("qvec"))
+    b = bk.select(blk.alias("_blk"), *[F.col(c).alias(c) for c in match],
+                  F.col("id").alias("id"), F.col("vec").alias("bvec"))
+    return (q.groupBy("_blk").cogroup(b.groupBy("_blk"))
+            .applyInPandas(_matched_topk_kernel(k, exclude_self, match), _CAND))
+
+
 def _cogroup_topk(qk: DataFrame, bk: DataFrame, keys: list[str], k: int,
                   exclude_self: bool = False) -> DataFrame:
     # Distinct names per side: both sides may come from one DataFrame (a
@@ -232,7 +297,8 @@ def ivf_search(queries: DataFrame, assigned: DataFrame, centroids: DataFrame, k:
     qk = (queries.join(probes.select("query_id", F.col("id").alias("list_id")), "query_id")
           .join(sizes, "list_id")
           .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("n_salt") - 1))))
-    return _final_topk(_cogroup_topk(qk, b, ["list_id", "salt"], k, exclude_self), k)
+    cand = _keyed_topk(qk, b, ["list_id", "salt"], k, exclude_self, 4 * _parallelism(queries.sparkSession))
+    return _final_topk(cand, k)
 
 
 # ----------------------------------------------------------------- G5 LSH
@@ -270,7 +336,7 @@ def lsh_search(queries: DataFrame, base: DataFrame, k: int = 10, bucket_length:
              .agg(F.coalesce(F.sum("bn"), F.lit(0)).alias("evaluated")))
     qk = (qk0.join(sizes, "bucket")
           .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("n_salt") - 1))))
-    cand = _cogroup_topk(qk, b, ["bucket", "salt"], k, exclude_self)
+    cand = _keyed_topk(qk, b, ["bucket", "salt"], k, exclude_self, 4 * _parallelism(queries.sparkSession))
     cand = cand.groupBy("query_id", "id").agg(F.min("dist").alias("dist"))
     approx = _final_topk(cand, k)
     full = approx.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
