@@ -169,15 +169,21 @@ RESULT_COLS = ["query_id", "rank", "chunk_id", "origin", "source", "score", "tex
 
 
 def hybrid_search(queries: DataFrame, idx: SearchIndex, summarizer=None,
-                  rewrite=M.default_rewrite, with_summary: bool = True) -> DataFrame:
+                  rewrite=M.default_rewrite, with_summary: bool = True, materialize=None) -> DataFrame:
     """H9: G8 + F6 -> H3 -> H4 -> H5 -> H6 (+ H8) for a batch of queries.
-    (query_id, rank, chunk_id, origin, source, score, text)."""
+    (query_id, rank, chunk_id, origin, source, score, text).
+
+    The candidate table (at most 13 rows per query) and the final top-6 are
+    each written once: re-ranking, context and summary all branch from them,
+    and without the cut every branch would re-run both searches."""
+    from docsift.session import cut_lineage
+    materialize = materialize or cut_lineage
     sem = semantic_search(queries, idx, SEMANTIC_K, rewrite)
     lex = bm25_search(queries, idx, LEXICAL_K)
-    cands = dedupe_candidates(hybrid_concat(hybrid_lists(sem, lex)))
+    cands = materialize(dedupe_candidates(hybrid_concat(hybrid_lists(sem, lex))))
     top = rerank_topk(rerank_scores(cands, queries, idx.idf))
-    top = top.select("query_id", F.col("rank").cast("int").alias("rank"), "chunk_id", "origin",
-                     "source", "score", "text")
+    top = materialize(top.select("query_id", F.col("rank").cast("int").alias("rank"), "chunk_id", "origin",
+                                 "source", "score", "text"))
     if not with_summary:
         return top
     summ = answer_summary(answer_context(top), summarizer)
