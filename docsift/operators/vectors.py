@@ -109,40 +109,6 @@ def sparse_rows(vecs: DataFrame, key: str) -> DataFrame:
 
 
 # ------------------------------------------------------------ block kernel
-def _topk_kernel(k: int, exclude_self: bool):
-    def fn(qpdf: pd.DataFrame, bpdf: pd.DataFrame) -> pd.DataFrame:
-        if len(qpdf) == 0 or len(bpdf) == 0:
-            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"),
-                                 "id": pd.Series([], dtype="int64"),
-                                 "dist": pd.Series([], dtype="float64")})
-        q = np.stack(qpdf["qvec"].to_numpy()).astype(np.float64)
-        b = np.stack(bpdf["bvec"].to_numpy()).astype(np.float64)
-        qid = qpdf["query_id"].to_numpy(dtype=np.int64)
-        bid = bpdf["id"].to_numpy(dtype=np.int64)
-        d = (q * q).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (q @ b.T)
-        d = np.maximum(d, 0.0) + 0.0
-        if exclude_self:
-            d[qid[:, None] == bid[None, :]] = np.inf
-        dr = np.round(d, DIST_DIGITS)
-        kk = min(k, d.shape[1])
-        kth = np.partition(dr, kk - 1, axis=1)[:, kk - 1]
-        out_q, out_b, out_d = [], [], []
-        for i in range(d.shape[0]):
-            if not np.isfinite(kth[i]):
-                idx = np.nonzero(np.isfinite(dr[i]))[0]
-            else:
-                idx = np.nonzero(dr[i] <= kth[i])[0]
-            if len(idx) > kk:
-                idx = idx[np.lexsort((bid[idx], dr[i, idx]))[:kk]]
-            out_q.append(np.full(len(idx), qid[i]))
-            out_b.append(bid[idx])
-            out_d.append(d[i, idx])
-        return pd.DataFrame({"query_id": np.concatenate(out_q).astype(np.int64),
-                             "id": np.concatenate(out_b).astype(np.int64),
-                             "dist": np.concatenate(out_d)})
-    return fn
-
-
 PAIR_BATCH = 1_000_000
 
 
@@ -208,6 +174,17 @@ def _keyed_topk(qk: DataFrame, bk: DataFrame, match: list[str], k: int, exclude_
             .applyInPandas(_matched_topk_kernel(k, exclude_self, match), _CAND))
 
 
+def _topk_kernel(k: int, exclude_self: bool):
+    def fn(qpdf: pd.DataFrame, bpdf: pd.DataFrame) -> pd.DataFrame:
+        if len(qpdf) == 0 or len(bpdf) == 0:
+            return _empty_cand()
+        q = np.stack(qpdf["qvec"].to_numpy()).astype(np.float64)
+        b = np.stack(bpdf["bvec"].to_numpy()).astype(np.float64)
+        return _local_topk_rows(q, qpdf["query_id"].to_numpy(dtype=np.int64), b,
+                                bpdf["id"].to_numpy(dtype=np.int64), k, exclude_self)
+    return fn
+
+
 def _cogroup_topk(qk: DataFrame, bk: DataFrame, keys: list[str], k: int,
                   exclude_self: bool = False) -> DataFrame:
     # Distinct names per side: both sides may come from one DataFrame (a
@@ -231,15 +208,91 @@ def _parallelism(spark) -> int:
     return max(1, int(spark.sparkContext.defaultParallelism))
 
 
+def _local_topk_rows(q: np.ndarray, qid: np.ndarray, b: np.ndarray, bid: np.ndarray, k: int,
+                     exclude_self: bool) -> pd.DataFrame:
+    """Local top-k per query (exact ties at the k-th distance kept) of one
+    query block against one base block."""
+    d = (q * q).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (q @ b.T)
+    d = np.maximum(d, 0.0) + 0.0
+    if exclude_self:
+        d[qid[:, None] == bid[None, :]] = np.inf
+    dr = np.round(d, DIST_DIGITS)
+    kk = min(k, d.shape[1])
+    kth = np.partition(dr, kk - 1, axis=1)[:, kk - 1]
+    out_q, out_b, out_d = [], [], []
+    for i in range(d.shape[0]):
+        if not np.isfinite(kth[i]):
+            idx = np.nonzero(np.isfinite(dr[i]))[0]
+        else:
+            idx = np.nonzero(dr[i] <= kth[i])[0]
+        if len(idx) > kk:
+            idx = idx[np.lexsort((bid[idx], dr[i, idx]))[:kk]]
+        out_q.append(np.full(len(idx), qid[i]))
+        out_b.append(bid[idx])
+        out_d.append(d[i, idx])
+    if not out_q:
+        return _empty_cand()
+    return pd.DataFrame({"query_id": np.concatenate(out_q).astype(np.int64),
+                         "id": np.concatenate(out_b).astype(np.int64),
+                         "dist": np.concatenate(out_d)})
+
+
+def _keep_topk(c: pd.DataFrame, k: int) -> pd.DataFrame:
+    c = c.assign(_r=np.round(c["dist"].to_numpy(), DIST_DIGITS)).sort_values(["query_id", "_r", "id"])
+    return c[c.groupby("query_id").cumcount() < k][["query_id", "id", "dist"]]
+
+
+def _scan_kernel(bq, k: int, exclude_self: bool):
+    """mapInPandas over base partitions: the broadcast query matrix meets
+    each Arrow batch of base rows; one partition emits at most k rows per
+    query."""
+    def fn(batches):
+        qid, q = bq.value
+        best = None
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            b = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
+            c = _local_topk_rows(q, qid, b, pdf["id"].to_numpy(dtype=np.int64), k, exclude_self)
+            best = c if best is None else _keep_topk(pd.concat([best, c], ignore_index=True), k)
+        if best is not None and len(best):
+            yield best.reset_index(drop=True)
+    return fn
+
+
+MAX_BROADCAST_QUERY_FLOATS = 1 << 24  # 64 MB of float32 query vectors
+
+
 # ------------------------------------------------------------------ G2
 def knn_exact(queries: DataFrame, base: DataFrame, k: int = 10, exclude_self: bool = False,
               q_block: int = Q_BLOCK, b_block: int = B_BLOCK,
-              n_queries: int | None = None, n_base: int | None = None) -> DataFrame:
+              n_queries: int | None = None, n_base: int | None = None,
+              method: str = "auto") -> DataFrame:
     """Exact top-k by squared L2: queries(query_id, vec) x base(id, vec) ->
-    (query_id, rank, id, dist). Block counts come from two row counts (pass
-    them when the caller knows them from a cheaper table)."""
+    (query_id, rank, id, dist).
+
+    * ``scan`` (a query batch of checked, bounded size): the query matrix is
+      broadcast and every base partition is scanned in place by
+      ``mapInPandas`` -- the base is never shuffled.
+    * ``blocks`` (any size): both sides get block keys and ``cogroup`` pairs
+      each query block with each base block once."""
     spark = queries.sparkSession
     nq = queries.count() if n_queries is None else n_queries
+    if method == "auto":
+        dim = 0
+        if nq and nq <= MAX_BROADCAST_QUERY_FLOATS:
+            first = queries.select(F.size("vec")).first()
+            dim = first[0] if first else 0
+        method = "scan" if nq * max(dim, 1) <= MAX_BROADCAST_QUERY_FLOATS else "blocks"
+    if method == "scan":
+        rows = queries.select("query_id", "vec").collect()  # bounded: checked above
+        if not rows:
+            return spark.createDataFrame([], "query_id long, rank int, id long, dist double")
+        qid = np.array([r[0] for r in rows], dtype=np.int64)
+        qm = np.array([r[1] for r in rows], dtype=np.float64)
+        bq = spark.sparkContext.broadcast((qid, qm))
+        cand = base.select("id", "vec").mapInPandas(_scan_kernel(bq, k, exclude_self), _CAND)
+        return _final_topk(cand, k)
     nb = base.count() if n_base is None else n_base
     qb = max(1, math.ceil(nq / q_block))
     bb = max(1, math.ceil(nb / b_block), min(_parallelism(spark), max(1, nb // 64)))
@@ -250,6 +303,36 @@ def knn_exact(queries: DataFrame, base: DataFrame, k: int = 10, exclude_self: bo
     return _final_topk(_cogroup_topk(qk, bk, ["qb", "bb"], k, exclude_self), k)
 
 
+MAX_BROADCAST_BASE_ROWS = 1 << 20
+
+
+def knn_small_base(queries: DataFrame, small: DataFrame, k: int) -> DataFrame:
+    """Top-k of every query against a base of checked, bounded size (k-means
+    centroids: at most ``nlist`` rows). The base matrix is broadcast and the
+    queries are scanned in place; each query's whole answer is computed in
+    one task, so no shuffle and no global window are needed."""
+    spark = queries.sparkSession
+    rows = small.select("id", "vec").limit(MAX_BROADCAST_BASE_ROWS + 1).collect()
+    if len(rows) > MAX_BROADCAST_BASE_ROWS:
+        return knn_exact(queries, small, k, method="blocks")
+    bid = np.array([r[0] for r in rows], dtype=np.int64)
+    bm = np.array([r[1] for r in rows], dtype=np.float64)
+    bb = spark.sparkContext.broadcast((bid, bm))
+
+    def fn(batches):
+        ids, b = bb.value
+        for pdf in batches:
+            if len(pdf) == 0 or len(ids) == 0:
+                continue
+            q = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
+            c = _local_topk_rows(q, pdf["query_id"].to_numpy(dtype=np.int64), b, ids, k, False)
+            c = _keep_topk(c, k)
+            c = c.assign(rank=c.groupby("query_id").cumcount().astype("int32") + 1,
+                         dist=np.round(c["dist"].to_numpy(), DIST_DIGITS))
+            yield c[["query_id", "rank", "id", "dist"]]
+    return queries.select("query_id", "vec").mapInPandas(fn, "query_id long, rank int, id long, dist double")
+
+
 def vectors_from_table(emb: DataFrame, id_col: str = "vec_id") -> DataFrame:
     return emb.select(F.col(id_col).cast("bigint").alias("id"), F.col("embedding").alias("vec"))
 
@@ -275,7 +358,7 @@ def ivf_assign(base: DataFrame, centroids: DataFrame) -> DataFrame:
     """(id, vec, list_id) -- every vector to its nearest centroid (the
     exact kernel with k=1 against the bounded centroid table)."""
     cq = base.select(F.col("id").alias("query_id"), "vec")
-    near = knn_exact(cq, centroids.select(F.col("list_id").alias("id"), "vec"), k=1)
+    near = knn_small_base(cq, centroids.select(F.col("list_id").alias("id"), "vec"), k=1)
     return base.join(near.select(F.col("query_id").alias("id"), F.col("id").alias("list_id")), "id")
 
 
@@ -292,7 +375,7 @@ def _salted(base_keyed: DataFrame, key: str, max_block: int) -> tuple[DataFrame,
 def ivf_search(queries: DataFrame, assigned: DataFrame, centroids: DataFrame, k: int = 10,
                nprobe: int = 8, exclude_self: bool = False, max_block: int = B_BLOCK) -> DataFrame:
     """Probe the ``nprobe`` nearest lists, exact distances inside them."""
-    probes = knn_exact(queries, centroids.select(F.col("list_id").alias("id"), "vec"), k=nprobe)
+    probes = knn_small_base(queries, centroids.select(F.col("list_id").alias("id"), "vec"), k=nprobe)
     b, sizes = _salted(assigned, "list_id", max_block)
     qk = (queries.join(probes.select("query_id", F.col("id").alias("list_id")), "query_id")
           .join(sizes, "list_id")

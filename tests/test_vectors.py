@@ -22,15 +22,17 @@ def frame(spark, ids, X, idc="id"):
                                  f"{idc} long, vec array<float>")
 
 
-@pytest.mark.parametrize("q_block,b_block", [(1024, 16384), (7, 13)])
-def test_knn_exact_matches_brute_force_over_many_blocks(spark, q_block, b_block):
+@pytest.mark.parametrize("q_block,b_block,method", [(1024, 16384, "scan"), (1024, 16384, "blocks"),
+                                                    (7, 13, "blocks")])
+def test_knn_exact_matches_brute_force_over_many_blocks(spark, q_block, b_block, method):
     rng = np.random.default_rng(1)
     X = rng.normal(size=(120, 8)).astype(np.float32)
     X /= np.linalg.norm(X, axis=1, keepdims=True)
     ids = np.arange(1000, 1120)
     base = frame(spark, ids, X)
     qs = frame(spark, ids[:30], X[:30], "query_id")
-    got = V.knn_exact(qs, base, k=5, q_block=q_block, b_block=b_block, exclude_self=True).collect()
+    got = V.knn_exact(qs, base.repartition(5), k=5, q_block=q_block, b_block=b_block, exclude_self=True,
+                      method=method).collect()
     res = {}
     for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
         res.setdefault(r.query_id, []).append(r.id)
@@ -38,6 +40,17 @@ def test_knn_exact_matches_brute_force_over_many_blocks(spark, q_block, b_block)
     assert res == want
 
 
+def test_small_base_equals_exact(spark):
+    rng = np.random.default_rng(9)
+    X = rng.normal(size=(60, 4)).astype(np.float32)
+    C = rng.normal(size=(5, 4)).astype(np.float32)
+    qs = frame(spark, np.arange(60), X, "query_id")
+    cent = frame(spark, np.arange(5), C)
+    a = sorted(tuple(r) for r in V.knn_small_base(qs, cent, 3).collect())
+    b = sorted(tuple(r) for r in V.knn_exact(qs, cent, 3, method="blocks").collect())
+    assert a == b
+
+
 def test_fewer_vectors_than_k_and_duplicate_ties(spark):
     X = np.array([[1, 0], [1, 0], [0, 1]], dtype=np.float32)
     base = frame(spark, [5, 3, 9], X)
