@@ -36,15 +36,20 @@ class SearchIndex:
     sources: DataFrame       # document_id, source
 
     n_chunks: int = 0
+    ivf: object = None       # optional vx.IvfIndex over the chunk vectors
 
     @staticmethod
-    def build(chunks: DataFrame, sources: DataFrame, embedder=None, materialize=None) -> "SearchIndex":
-        """Offline build. ``materialize`` cuts lineage (a reliable checkpoint in
-        the shared checkpoint folder by default), so searches and size checks
-        never recompute chunking, tokenising or embedding."""
-        from docsift.session import cut_lineage
+    def build(chunks: DataFrame, sources: DataFrame, embedder=None, materialize=None,
+              chunks_stored: bool = False, ivf_lists: int | None = None) -> "SearchIndex":
+        """Offline build. ``materialize`` cuts lineage (Parquet in the shared
+        checkpoint folder by default), so searches and size checks never
+        recompute chunking, tokenising or embedding. ``ivf_lists`` also
+        builds an IVF index over the chunk vectors for approximate semantic
+        search that reads only the probed lists."""
+        from docsift.session import cut_lineage, scratch_path
         materialize = materialize or cut_lineage
-        chunks = materialize(chunks)
+        if not chunks_stored:
+            chunks = materialize(chunks)
         psg = lx.passages(chunks)
         index, idf, stats = lx.bm25_build(psg, materialize)
         n = F.lit(float(stats["n_passages"]))
@@ -56,7 +61,10 @@ class SearchIndex:
         else:
             vectors = chunks.select(F.col("chunk_id").alias("id"), embedder(F.col("text")).alias("vec"))
         vectors = materialize(vectors)
-        return SearchIndex(chunks, index, idf, vectors, n, sources, int(stats["n_passages"]))
+        ivf = None
+        if ivf_lists:
+            ivf = vx.ivf_build(vectors, scratch_path(chunks.sparkSession, "ivf"), ivf_lists)
+        return SearchIndex(chunks, index, idf, vectors, n, sources, int(stats["n_passages"]), ivf)
 
 
 # ------------------------------------------------------------------ H1
@@ -77,9 +85,11 @@ def _attach(hits: DataFrame, idx: SearchIndex) -> DataFrame:
 
 # ------------------------------------------------------------------ G8, F6
 def semantic_search(queries: DataFrame, idx: SearchIndex, k: int = SEMANTIC_K,
-                    rewrite=M.default_rewrite, query_embedder=None) -> DataFrame:
-    """Rewrite -> embed -> exact top-k -> (query_id, rank, chunk_id, score,
-    source, text); score is the squared L2 distance."""
+                    rewrite=M.default_rewrite, query_embedder=None, method: str = "exact",
+                    nprobe: int = 8) -> DataFrame:
+    """Rewrite -> embed -> top-k -> (query_id, rank, chunk_id, score,
+    source, text); score is the squared L2 distance. ``method='ivf'`` uses
+    the index's IVF lists (approximate, reads only probed lists)."""
     rq = rewrite(queries.select("query_id", "text"))
     if query_embedder is None:
         qv = vx.embed_queries(lx.query_terms(rq), idx.idf, idx.n_passages, vx.EMBED_DIM)
@@ -88,7 +98,10 @@ def semantic_search(queries: DataFrame, idx: SearchIndex, k: int = SEMANTIC_K,
               .select("query_id", F.coalesce("vec", zero).alias("vec")))
     else:
         qv = rq.select("query_id", query_embedder(F.col("text")).alias("vec"))
-    hits = vx.knn_exact(qv, idx.vectors, k, n_queries=queries.count(), n_base=idx.n_chunks)
+    if method == "ivf":
+        hits = vx.ivf_query(qv, idx.ivf, k, nprobe)
+    else:
+        hits = vx.knn_exact(qv, idx.vectors, k, n_queries=queries.count(), n_base=idx.n_chunks)
     hits = hits.select("query_id", "rank", F.col("id").alias("chunk_id"), F.col("dist").alias("score"))
     return _attach(hits, idx)
 
@@ -169,7 +182,8 @@ RESULT_COLS = ["query_id", "rank", "chunk_id", "origin", "source", "score", "tex
 
 
 def hybrid_search(queries: DataFrame, idx: SearchIndex, summarizer=None,
-                  rewrite=M.default_rewrite, with_summary: bool = True, materialize=None) -> DataFrame:
+                  rewrite=M.default_rewrite, with_summary: bool = True, materialize=None,
+                  semantic_method: str = "exact", nprobe: int = 8) -> DataFrame:
     """H9: G8 + F6 -> H3 -> H4 -> H5 -> H6 (+ H8) for a batch of queries.
     (query_id, rank, chunk_id, origin, source, score, text).
 
@@ -178,7 +192,7 @@ def hybrid_search(queries: DataFrame, idx: SearchIndex, summarizer=None,
     and without the cut every branch would re-run both searches."""
     from docsift.session import cut_lineage
     materialize = materialize or cut_lineage
-    sem = semantic_search(queries, idx, SEMANTIC_K, rewrite)
+    sem = semantic_search(queries, idx, SEMANTIC_K, rewrite, method=semantic_method, nprobe=nprobe)
     lex = bm25_search(queries, idx, LEXICAL_K)
     cands = materialize(dedupe_candidates(hybrid_concat(hybrid_lists(sem, lex))))
     top = rerank_topk(rerank_scores(cands, queries, idx.idf))

@@ -19,6 +19,7 @@ partial WindowGroupLimit. No (query, vector) pair is ever a row.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -384,6 +385,48 @@ def ivf_search(queries: DataFrame, assigned: DataFrame, centroids: DataFrame, k:
     return _final_topk(cand, k)
 
 
+@dataclass
+class IvfIndex:
+    """A stored IVF index: centroids (list_id, vec), the vectors with their
+    list and salt, written partitioned by ``lb`` = list_id % n_dirs, and the
+    per-list salt counts. A search reads only the directories of the lists
+    its queries probe."""
+    centroids: DataFrame
+    lists: DataFrame
+    sizes: DataFrame
+    n_dirs: int
+
+
+def ivf_build(base: DataFrame, path: str, nlist: int = 100, max_block: int = B_BLOCK,
+              max_dirs: int = 1024, max_iter: int = 10) -> IvfIndex:
+    spark = base.sparkSession
+    cent, _ = ivf_train(base, nlist, max_iter=max_iter)
+    cent.write.mode("overwrite").parquet(f"{path}/centroids")
+    cent = spark.read.parquet(f"{path}/centroids")
+    assigned = ivf_assign(base, cent)
+    b, sizes = _salted(assigned, "list_id", max_block)
+    sizes.write.mode("overwrite").parquet(f"{path}/sizes")
+    n_dirs = int(min(max_dirs, max(1, nlist)))
+    # (list, salt) spreads a hot list over several writer tasks and files
+    (b.select("id", "vec", "list_id", "salt", (F.col("list_id") % n_dirs).cast("int").alias("lb"))
+     .repartition("lb", "salt").write.mode("overwrite").partitionBy("lb").parquet(f"{path}/lists"))
+    return IvfIndex(cent, spark.read.parquet(f"{path}/lists"), spark.read.parquet(f"{path}/sizes"), n_dirs)
+
+
+def ivf_query(queries: DataFrame, ivf: IvfIndex, k: int = 10, nprobe: int = 8,
+              exclude_self: bool = False) -> DataFrame:
+    """Search a stored IVF index. The probed list set is bounded by nlist;
+    its directories are the only ones read (static partition pruning)."""
+    probes = knn_small_base(queries, ivf.centroids.select(F.col("list_id").alias("id"), "vec"), k=nprobe)
+    probes = probes.select("query_id", F.col("id").alias("list_id"))
+    dirs = sorted({int(r[0]) % ivf.n_dirs for r in probes.select("list_id").distinct().collect()})
+    lists = ivf.lists.filter(F.col("lb").isin(dirs))
+    qk = (queries.join(probes, "query_id").join(ivf.sizes, "list_id")
+          .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("n_salt") - 1))))
+    cand = _keyed_topk(qk, lists, ["list_id", "salt"], k, exclude_self, 4 * _parallelism(queries.sparkSession))
+    return _final_topk(cand, k)
+
+
 # ----------------------------------------------------------------- G5 LSH
 def lsh_search(queries: DataFrame, base: DataFrame, k: int = 10, bucket_length: float = 0.3,
                and_width: int = 6, tables: int = 60, seed: int = 11, exclude_self: bool = False,

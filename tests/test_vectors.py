@@ -107,3 +107,15 @@ def test_embedding_is_unit_or_zero(spark):
     vecs = V.embed_corpus(idx, F.lit(10.0), dim=16).collect()
     for r in vecs:
         assert abs(np.linalg.norm(np.array(r.vec, dtype=np.float64)) - 1) < 1e-5
+
+
+def test_stored_ivf_index_equals_in_memory_search(spark):
+    from docsift.session import scratch_path
+    X = _clustered(240, 8, 6)
+    base = frame(spark, np.arange(240), X)
+    qs = base.select(F.col("id").alias("query_id"), "vec").limit(30)
+    ivf = V.ivf_build(base, scratch_path(spark, "t-ivf"), nlist=12, max_block=9)
+    a = sorted(tuple(r) for r in V.ivf_query(qs, ivf, k=5, nprobe=2).collect())
+    assigned = V.ivf_assign(base, ivf.centroids)
+    b = sorted(tuple(r) for r in V.ivf_search(qs, assigned, ivf.centroids, k=5, nprobe=2).collect())
+    assert a == b
