@@ -37,6 +37,7 @@ class SearchIndex:
 
     n_chunks: int = 0
     ivf: object = None       # optional vx.IvfIndex over the chunk vectors
+    term_buckets: int = 0    # bucket count of the bm25 index partitions
 
     @staticmethod
     def build(chunks: DataFrame, sources: DataFrame, embedder=None, materialize=None,
@@ -64,7 +65,8 @@ class SearchIndex:
         ivf = None
         if ivf_lists:
             ivf = vx.ivf_build(vectors, scratch_path(chunks.sparkSession, "ivf"), ivf_lists)
-        return SearchIndex(chunks, index, idf, vectors, n, sources, int(stats["n_passages"]), ivf)
+        return SearchIndex(chunks, index, idf, vectors, n, sources, int(stats["n_passages"]), ivf,
+                           int(stats["term_buckets"]))
 
 
 # ------------------------------------------------------------------ H1
@@ -110,7 +112,8 @@ def bm25_search(queries: DataFrame, idx: SearchIndex, k: int = LEXICAL_K,
                 pool: int = LEXICAL_POOL) -> DataFrame:
     """the ``pool`` best passages, of which the ``k`` best are kept, with
     text and source (the same chunk for both)."""
-    top = lx.top_k(lx.bm25_scores(queries, idx.bm25), pool).filter(F.col("rank") <= k)
+    top = lx.top_k(lx.bm25_scores(queries, idx.bm25, term_buckets=idx.term_buckets), pool)
+    top = top.filter(F.col("rank") <= k)
     return _attach(top.select("query_id", "rank", "chunk_id", "score"), idx)
 
 

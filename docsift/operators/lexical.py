@@ -14,6 +14,8 @@ scalar subqueries, evaluated once, not joins.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,23 +97,52 @@ def bm25_index(psg: DataFrame) -> DataFrame:
                           (idf * tf * F.lit(K1 + 1) / norm).alias("w"))
 
 
-def bm25_build(psg: DataFrame, materialize) -> tuple[DataFrame, DataFrame, dict]:
+POSTINGS_PER_BUCKET = 2_000_000
+POSTINGS_PER_FILE = 1_000_000
+MAX_TERM_BUCKETS = 4096
+MAX_BROADCAST_TERMS = 1_000_000
+
+
+def term_bucket(term, n_buckets: int):
+    return F.pmod(F.xxhash64(term), F.lit(n_buckets)).cast("int")
+
+
+def write_index(weights: DataFrame, path: str, n_postings: int) -> tuple[DataFrame, int]:
+    """Postings written partitioned by term bucket ``tb``; a search reads only
+    the buckets of its words. Each bucket is split into files by a salt
+    sized from the bucket's row count (known from df), so a bucket holding
+    a third of all postings is still written by many tasks."""
+    n_tb = int(max(1, min(MAX_TERM_BUCKETS, math.ceil(n_postings / POSTINGS_PER_BUCKET))))
+    w = weights.withColumn("tb", term_bucket(F.col("term"), n_tb))
+    sizes = (w.groupBy("tb").agg(F.count(F.lit(1)).alias("n"))
+             .select("tb", F.greatest(F.lit(1), F.ceil(F.col("n") / POSTINGS_PER_FILE)).cast("int").alias("n_salt")))
+    w = (w.join(F.broadcast(sizes), "tb")  # n_tb rows: bounded by MAX_TERM_BUCKETS
+         .withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.col("n_salt")).cast("int")).drop("n_salt"))
+    w.repartition("tb", "salt").drop("salt").write.mode("overwrite").partitionBy("tb").parquet(path)
+    return weights.sparkSession.read.parquet(path), n_tb
+
+
+def bm25_build(psg: DataFrame, materialize, path: str | None = None) -> tuple[DataFrame, DataFrame, dict]:
     """Offline build used by searches: postings are materialised once (the
     tokeniser runs once), corpus numbers are one-row aggregates read as
-    literals, the index and the idf table are materialised.
-    Returns (index, idf(term, df, idf), stats)."""
+    literals, the index (partitioned by term bucket) and the idf table are
+    written. Returns (index, idf(term, df, idf), stats)."""
+    from docsift.session import scratch_path
     post = materialize(bm25_postings(psg))
     n = psg.count()
+    n_post = post.count()
     total = post.agg(F.sum("tf")).first()[0] or 0
     avgdl = (total / n) if n else 0.0
     dfs = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     mean_idf = dfs.select(F.avg(_raw_idf(F.lit(float(n)), F.col("df")))).first()[0] or 0.0
     with_df = post.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("term")))
-    index = materialize(bm25_weights(with_df, n, avgdl, mean_idf))
+    index, n_tb = write_index(bm25_weights(with_df, n, avgdl, mean_idf),
+                              path or scratch_path(psg.sparkSession, "bm25"), n_post)
     raw = _raw_idf(F.lit(float(n)), F.col("df"))
     idf = materialize(dfs.select("term", "df", F.when(raw < 0, F.lit(EPSILON * mean_idf))
                                  .otherwise(raw).alias("idf")))
-    return index, idf, {"n_passages": n, "avgdl": avgdl, "mean_idf": mean_idf}
+    return index, idf, {"n_passages": n, "avgdl": avgdl, "mean_idf": mean_idf,
+                        "n_postings": n_post, "term_buckets": n_tb}
 
 
 def query_terms(queries: DataFrame, text_col: str = "text") -> DataFrame:
@@ -120,11 +151,22 @@ def query_terms(queries: DataFrame, text_col: str = "text") -> DataFrame:
             .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qn")))
 
 
-def bm25_scores(queries: DataFrame, index: DataFrame, text_col: str = "text") -> DataFrame:
+def bm25_scores(queries: DataFrame, index: DataFrame, text_col: str = "text",
+                term_buckets: int | None = None) -> DataFrame:
     """(query_id, chunk_id, score) for passages sharing a word with the
     query. The query side is small per batch: broadcast after a size check,
-    so the postings are scanned in place and only matching rows move."""
-    qt = broadcast_if_small(query_terms(queries, text_col))
+    so the postings are scanned in place and only matching rows move. With
+    a bucketed index only the buckets of the batch's words are read (the
+    bucket list is bounded by the bucket count)."""
+    qt = query_terms(queries, text_col)
+    if term_buckets and "tb" in index.columns:
+        # one job: the size check and the bucket list (at most term_buckets values)
+        got = qt.agg(F.count(F.lit(1)).alias("n"),
+                     F.collect_set(term_bucket(F.col("term"), term_buckets)).alias("tbs")).first()
+        index = index.filter(F.col("tb").isin(list(got["tbs"] or [])))
+        qt = F.broadcast(qt) if got["n"] <= MAX_BROADCAST_TERMS else qt
+    else:
+        qt = broadcast_if_small(qt, MAX_BROADCAST_TERMS)
     return (index.join(qt, "term")
             .groupBy("query_id", "chunk_id")
             .agg(F.sum(F.col("qn") * F.col("w")).alias("score")))

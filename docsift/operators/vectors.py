@@ -262,6 +262,7 @@ def _scan_kernel(bq, k: int, exclude_self: bool):
 
 
 MAX_BROADCAST_QUERY_FLOATS = 1 << 24  # 64 MB of float32 query vectors
+MAX_SCAN_QUERIES = 1 << 16
 
 
 # ------------------------------------------------------------------ G2
@@ -280,20 +281,18 @@ def knn_exact(queries: DataFrame, base: DataFrame, k: int = 10, exclude_self: bo
     spark = queries.sparkSession
     nq = queries.count() if n_queries is None else n_queries
     if method == "auto":
-        dim = 0
-        if nq and nq <= MAX_BROADCAST_QUERY_FLOATS:
-            first = queries.select(F.size("vec")).first()
-            dim = first[0] if first else 0
-        method = "scan" if nq * max(dim, 1) <= MAX_BROADCAST_QUERY_FLOATS else "blocks"
+        method = "scan" if nq <= MAX_SCAN_QUERIES else "blocks"
     if method == "scan":
-        rows = queries.select("query_id", "vec").collect()  # bounded: checked above
-        if not rows:
-            return spark.createDataFrame([], "query_id long, rank int, id long, dist double")
-        qid = np.array([r[0] for r in rows], dtype=np.int64)
-        qm = np.array([r[1] for r in rows], dtype=np.float64)
-        bq = spark.sparkContext.broadcast((qid, qm))
-        cand = base.select("id", "vec").mapInPandas(_scan_kernel(bq, k, exclude_self), _CAND)
-        return _final_topk(cand, k)
+        rows = queries.select("query_id", "vec").limit(MAX_SCAN_QUERIES + 1).collect()
+        dim = len(rows[0][1]) if rows else 0
+        if len(rows) <= MAX_SCAN_QUERIES and len(rows) * dim <= MAX_BROADCAST_QUERY_FLOATS:
+            if not rows:
+                return spark.createDataFrame([], "query_id long, rank int, id long, dist double")
+            qid = np.array([r[0] for r in rows], dtype=np.int64)
+            qm = np.array([r[1] for r in rows], dtype=np.float64)
+            bq = spark.sparkContext.broadcast((qid, qm))
+            cand = base.select("id", "vec").mapInPandas(_scan_kernel(bq, k, exclude_self), _CAND)
+            return _final_topk(cand, k)
     nb = base.count() if n_base is None else n_base
     qb = max(1, math.ceil(nq / q_block))
     bb = max(1, math.ceil(nb / b_block), min(_parallelism(spark), max(1, nb // 64)))

@@ -223,7 +223,7 @@ BTOP5 = _w(*IDX, O.BM25_SEARCH)
   FROM btop b JOIN ct USING (chunk_id) WHERE rank <= 5""")
 def q_lookup_chunks(spark, sf):
     idx = search_index(spark, sf)
-    hits = L.top_k(L.bm25_scores(bench_queries(spark, sf), idx.bm25), 5).select("query_id", "rank", "chunk_id")
+    hits = L.top_k(L.bm25_scores(bench_queries(spark, sf), idx.bm25, term_buckets=idx.term_buckets), 5).select("query_id", "rank", "chunk_id")
     return B.lookup_chunks(hits, idx.chunks)
 
 
@@ -231,7 +231,7 @@ def q_lookup_chunks(spark, sf):
   ct.document_id, dt.filename FROM btop b JOIN ct USING (chunk_id) LEFT JOIN dt ON dt.id = ct.document_id WHERE rank <= 5""")
 def q_lookup_document_name(spark, sf):
     idx = search_index(spark, sf)
-    hits = L.top_k(L.bm25_scores(bench_queries(spark, sf), idx.bm25), 5).select("query_id", "rank", "chunk_id")
+    hits = L.top_k(L.bm25_scores(bench_queries(spark, sf), idx.bm25, term_buckets=idx.term_buckets), 5).select("query_id", "rank", "chunk_id")
     hits = hits.join(idx.chunks.select("chunk_id", "document_id"), "chunk_id")
     return B.lookup_document_name(hits, C.document_table(docs(spark, sf)))
 
@@ -454,13 +454,15 @@ def q_bm25_idf(spark, sf):
 
 @register("bm25_scores", _w(*IDX, O.BM25_SEARCH) + " SELECT query_id, chunk_id, round(score, 6) AS score FROM bsc")
 def q_bm25_scores(spark, sf):
-    s = L.bm25_scores(bench_queries(spark, sf), search_index(spark, sf).bm25)
+    s = L.bm25_scores(bench_queries(spark, sf), search_index(spark, sf).bm25,
+                      term_buckets=search_index(spark, sf).term_buckets)
     return s.withColumn("score", F.round("score", 6))
 
 
 @register("bm25_top5", _w(*IDX, O.BM25_SEARCH) + " SELECT query_id, rank, chunk_id, score FROM btop WHERE rank <= 5")
 def q_bm25_top5(spark, sf):
-    s = L.bm25_scores(bench_queries(spark, sf), search_index(spark, sf).bm25)
+    s = L.bm25_scores(bench_queries(spark, sf), search_index(spark, sf).bm25,
+                      term_buckets=search_index(spark, sf).term_buckets)
     return L.top_k(s, 5).select("query_id", "rank", "chunk_id", "score")
 
 
@@ -649,7 +651,7 @@ def q_stream_queries(spark, sf):
     idx = search_index(spark, sf)
 
     def answer(batch: DataFrame) -> DataFrame:
-        return L.top_k(L.bm25_scores(batch, idx.bm25), 3).select("query_id", "rank", "chunk_id", "score")
+        return L.top_k(L.bm25_scores(batch, idx.bm25, term_buckets=idx.term_buckets), 3).select("query_id", "rank", "chunk_id", "score")
 
     out = S.stream_queries(spark, sf, answer)
     return spark.read.parquet(out).select("query_id", "rank", "chunk_id", "score")

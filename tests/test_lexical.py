@@ -106,3 +106,22 @@ def test_search_plan_has_partial_topk_and_no_python(spark):
     assert "WindowGroupLimit" in plan or "WindowGroupLimit" in s
     assert "CartesianProduct" not in s
     assert "BatchEvalPython" not in s and "ArrowEvalPython" not in s
+
+
+def test_bucketed_index_prunes_and_keeps_scores(spark, monkeypatch):
+    monkeypatch.setattr(L, "POSTINGS_PER_BUCKET", 5)
+    monkeypatch.setattr(L, "POSTINGS_PER_FILE", 3)
+    passages = [f"fence w{i % 9} gate{i % 4} wall{i % 5}" for i in range(60)]
+    ct = spark.createDataFrame([(i + 1, p) for i, p in enumerate(passages)], "chunk_id long, text string")
+    q = spark.createDataFrame([(1, "fence w3"), (2, "wall2 gate1")], "query_id long, text string")
+    index, idf, stats = L.bm25_build(L.passages(ct), cut_lineage)
+    assert stats["term_buckets"] > 1
+    pruned = L.bm25_scores(q, index, term_buckets=stats["term_buckets"])
+    full = L.bm25_scores(q, L.bm25_index(L.passages(ct)))
+    a = {(r.query_id, r.chunk_id): r.score for r in pruned.collect()}
+    b = {(r.query_id, r.chunk_id): r.score for r in full.collect()}
+    assert a.keys() == b.keys()
+    assert all(abs(a[x] - b[x]) < 1e-9 for x in a)
+    assert "PartitionFilters: [isnotnull(tb" in pruned._jdf.queryExecution().executedPlan().toString() \
+        or "tb IN" in pruned._jdf.queryExecution().executedPlan().toString() \
+        or "tb#" in pruned._jdf.queryExecution().executedPlan().toString()
