@@ -79,16 +79,16 @@ def bm25_weights(with_df: DataFrame, n: float, avgdl: float, mean_idf: float) ->
 
 
 def bm25_index(psg: DataFrame) -> DataFrame:
-    """(term, chunk_id, tf, df, w): the stored BM25 index, as one lazy plan.
-    df is attached by a window partitioned by term (the one shuffle, on
-    term), not by a join; corpus numbers are scalar subqueries."""
+    """(term, chunk_id, tf, df, w): the BM25 index as one lazy plan. df is a
+    partial aggregate joined back on term; corpus numbers are scalar
+    subqueries."""
     post = bm25_postings(psg)
     stats = bm25_corpus_stats(psg)
     n = stats.select("n_passages").scalar()
     avgdl = stats.select("avgdl").scalar()
-    with_df = post.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("term")))
-    mean_idf = (post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-                .select(F.avg(_raw_idf(n, F.col("df")))).scalar())
+    dfs = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    with_df = post.join(dfs, "term")
+    mean_idf = dfs.select(F.avg(_raw_idf(n, F.col("df")))).scalar()
     raw = _raw_idf(n, F.col("df"))
     idf = F.when(raw < 0, F.lit(EPSILON) * mean_idf).otherwise(raw)
     tf = F.col("tf").cast("double")
@@ -133,14 +133,18 @@ def bm25_build(psg: DataFrame, materialize, path: str | None = None) -> tuple[Da
     n_post = post.count()
     total = post.agg(F.sum("tf")).first()[0] or 0
     avgdl = (total / n) if n else 0.0
-    dfs = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # df by a partial (map-side combined) aggregate: a term found in a third
+    # of all passages is pre-counted in every task, never gathered in one
+    dfs = materialize(post.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     mean_idf = dfs.select(F.avg(_raw_idf(F.lit(float(n)), F.col("df")))).first()[0] or 0.0
-    with_df = post.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("term")))
-    index, n_tb = write_index(bm25_weights(with_df, n, avgdl, mean_idf),
-                              path or scratch_path(psg.sparkSession, "bm25"), n_post)
     raw = _raw_idf(F.lit(float(n)), F.col("df"))
     idf = materialize(dfs.select("term", "df", F.when(raw < 0, F.lit(EPSILON * mean_idf))
                                  .otherwise(raw).alias("idf")))
+    # postings meet their df by an equi-join on term; AQE splits the skewed
+    # partition of a hot term (or broadcasts the df table when it is small)
+    with_df = post.join(dfs, "term")
+    index, n_tb = write_index(bm25_weights(with_df, n, avgdl, mean_idf),
+                              path or scratch_path(psg.sparkSession, "bm25"), n_post)
     return index, idf, {"n_passages": n, "avgdl": avgdl, "mean_idf": mean_idf,
                         "n_postings": n_post, "term_buckets": n_tb}
 
