@@ -20,6 +20,7 @@ from docsift.operators import vectors as vx
 from docsift.operators.summarize import extractive_summary
 
 SEMANTIC_K = 10
+CHUNK_BLOCK_SHIFT = 16
 LEXICAL_K = 3
 LEXICAL_POOL = 5
 FINAL_K = 6
@@ -38,6 +39,8 @@ class SearchIndex:
     n_chunks: int = 0
     ivf: object = None       # optional vx.IvfIndex over the chunk vectors
     term_buckets: int = 0    # bucket count of the bm25 index partitions
+    chunk_blocks: DataFrame = None  # chunks + cb (chunk_id >> CHUNK_BLOCK_SHIFT), partitioned by cb
+    idf_buckets: DataFrame = None   # idf + tb, partitioned by tb
 
     @staticmethod
     def build(chunks: DataFrame, sources: DataFrame, embedder=None, materialize=None,
@@ -47,7 +50,7 @@ class SearchIndex:
         recompute chunking, tokenising or embedding. ``ivf_lists`` also
         builds an IVF index over the chunk vectors for approximate semantic
         search that reads only the probed lists."""
-        from docsift.session import cut_lineage, scratch_path
+        from docsift.session import cut_lineage, scratch_path, store_partitioned
         materialize = materialize or cut_lineage
         if not chunks_stored:
             chunks = materialize(chunks)
@@ -65,8 +68,31 @@ class SearchIndex:
         ivf = None
         if ivf_lists:
             ivf = vx.ivf_build(vectors, scratch_path(chunks.sparkSession, "ivf"), ivf_lists)
+        n_tb = int(stats["term_buckets"])
+        blocks = store_partitioned(chunks.withColumn("cb", F.shiftright("chunk_id", CHUNK_BLOCK_SHIFT)),
+                                   "chunk-blocks", "cb")
+        idf_b = store_partitioned(idf.withColumn("tb", lx.term_bucket(F.col("term"), n_tb)), "idf-buckets", "tb")
         return SearchIndex(chunks, index, idf, vectors, n, sources, int(stats["n_passages"]), ivf,
-                           int(stats["term_buckets"]))
+                           n_tb, blocks, idf_b)
+
+    def chunks_for(self, hits: DataFrame) -> DataFrame:
+        """The chunk rows of a (small, materialised) hit table: only the
+        chunk-id blocks that hold hits are read. The block list is bounded
+        by the hit count (queries x k)."""
+        if self.chunk_blocks is None:
+            return self.chunks
+        cbs = [r[0] for r in hits.select(F.shiftright("chunk_id", CHUNK_BLOCK_SHIFT)).distinct().collect()]
+        return self.chunk_blocks.filter(F.col("cb").isin(cbs)).drop("cb")
+
+    def idf_for(self, queries: DataFrame, text_col: str = "text") -> DataFrame:
+        """The idf rows a query batch can need: only the term buckets of its
+        words are read (at most ``term_buckets`` values)."""
+        if self.idf_buckets is None or not self.term_buckets:
+            return self.idf
+        qt = queries.select(F.explode_outer(tx.bm25_tokens(F.col(text_col))).alias("term"))
+        tbs = [r[0] for r in qt.filter(F.col("term").isNotNull())
+               .select(lx.term_bucket(F.col("term"), self.term_buckets)).distinct().collect()]
+        return self.idf_buckets.filter(F.col("tb").isin(tbs)).drop("tb")
 
 
 # ------------------------------------------------------------------ H1
@@ -81,20 +107,26 @@ def resolve_sources(hits: DataFrame, documents: DataFrame, manifest: DataFrame)
 
 
 def _attach(hits: DataFrame, idx: SearchIndex) -> DataFrame:
-    c = idx.chunks.select("chunk_id", "document_id", "text")
+    """Text and source of the hits; ``hits`` is materialised first (it is
+    small) so the block list and the join read it, not the search again."""
+    from docsift.session import cut_lineage
+    if idx.chunk_blocks is not None:
+        hits = cut_lineage(hits, "hits")
+    c = idx.chunks_for(hits).select("chunk_id", "document_id", "text")
     return (hits.join(c, "chunk_id").join(idx.sources, "document_id", "left").drop("document_id"))
 
 
 # ------------------------------------------------------------------ G8, F6
-def semantic_search(queries: DataFrame, idx: SearchIndex, k: int = SEMANTIC_K,
-                    rewrite=M.default_rewrite, query_embedder=None, method: str = "exact",
-                    nprobe: int = 8) -> DataFrame:
-    """Rewrite -> embed -> top-k -> (query_id, rank, chunk_id, score,
-    source, text); score is the squared L2 distance. ``method='ivf'`` uses
-    the index's IVF lists (approximate, reads only probed lists)."""
+def semantic_hits(queries: DataFrame, idx: SearchIndex, k: int = SEMANTIC_K,
+                  rewrite=M.default_rewrite, query_embedder=None, method: str = "exact",
+                  nprobe: int = 8, idf: DataFrame | None = None) -> DataFrame:
+    """G8 ranking: rewrite -> embed -> top-k -> (query_id, rank, chunk_id,
+    score); score is the squared L2 distance. ``method='ivf'`` searches the
+    index's IVF lists (approximate, reads only the probed lists)."""
     rq = rewrite(queries.select("query_id", "text"))
     if query_embedder is None:
-        qv = vx.embed_queries(lx.query_terms(rq), idx.idf, idx.n_passages, vx.EMBED_DIM)
+        idf = idx.idf_for(rq) if idf is None else idf
+        qv = vx.embed_queries(lx.query_terms(rq), idf, idx.n_passages, vx.EMBED_DIM)
         zero = F.array_repeat(F.lit(0.0).cast("float"), vx.EMBED_DIM)
         qv = (rq.select("query_id").join(qv, "query_id", "left")
               .select("query_id", F.coalesce("vec", zero).alias("vec")))
@@ -104,17 +136,26 @@ def semantic_search(queries: DataFrame, idx: SearchIndex, k: int = SEMANTIC_K,
         hits = vx.ivf_query(qv, idx.ivf, k, nprobe)
     else:
         hits = vx.knn_exact(qv, idx.vectors, k, n_queries=queries.count(), n_base=idx.n_chunks)
-    hits = hits.select("query_id", "rank", F.col("id").alias("chunk_id"), F.col("dist").alias("score"))
-    return _attach(hits, idx)
+    return hits.select("query_id", "rank", F.col("id").alias("chunk_id"), F.col("dist").alias("score"))
+
+
+def bm25_hits(queries: DataFrame, idx: SearchIndex, k: int = LEXICAL_K,
+              pool: int = LEXICAL_POOL) -> DataFrame:
+    """F6 ranking: the ``pool`` best passages, of which the ``k`` best are
+    kept: (query_id, rank, chunk_id, score)."""
+    top = lx.top_k(lx.bm25_scores(queries, idx.bm25, term_buckets=idx.term_buckets), pool)
+    return top.filter(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
+
+
+def semantic_search(queries: DataFrame, idx: SearchIndex, k: int = SEMANTIC_K, **kw) -> DataFrame:
+    """Semantic hits with text and source."""
+    return _attach(semantic_hits(queries, idx, k, **kw), idx)
 
 
 def bm25_search(queries: DataFrame, idx: SearchIndex, k: int = LEXICAL_K,
                 pool: int = LEXICAL_POOL) -> DataFrame:
-    """the ``pool`` best passages, of which the ``k`` best are kept, with
-    text and source (the same chunk for both)."""
-    top = lx.top_k(lx.bm25_scores(queries, idx.bm25, term_buckets=idx.term_buckets), pool)
-    top = top.filter(F.col("rank") <= k)
-    return _attach(top.select("query_id", "rank", "chunk_id", "score"), idx)
+    """lexical hits with text and source (the same chunk for both)."""
+    return _attach(bm25_hits(queries, idx, k, pool), idx)
 
 
 # ------------------------------------------------------------------ H2-H4
@@ -195,10 +236,16 @@ def hybrid_search(queries: DataFrame, idx: SearchIndex, summarizer=None,
     and without the cut every branch would re-run both searches."""
     from docsift.session import cut_lineage
     materialize = materialize or cut_lineage
-    sem = semantic_search(queries, idx, SEMANTIC_K, rewrite, method=semantic_method, nprobe=nprobe)
-    lex = bm25_search(queries, idx, LEXICAL_K)
-    cands = materialize(dedupe_candidates(hybrid_concat(hybrid_lists(sem, lex))))
-    top = rerank_topk(rerank_scores(cands, queries, idx.idf))
+    # this batch's slice of the idf table: words of the queries and of their rewrites
+    words = queries.select("query_id", "text").unionByName(rewrite(queries.select("query_id", "text")))
+    idf = materialize(idx.idf_for(words))
+    sem = semantic_hits(queries, idx, SEMANTIC_K, rewrite, method=semantic_method, nprobe=nprobe, idf=idf)
+    lex = bm25_hits(queries, idx, LEXICAL_K)
+    hits = (sem.withColumn("origin", F.lit("semantic"))
+            .unionByName(lex.withColumn("origin", F.lit("lexical"))))
+    lists = _attach(hits, idx).select("query_id", "rank", "chunk_id", "origin", "score", "source", "text")
+    cands = materialize(dedupe_candidates(hybrid_concat(lists)))
+    top = rerank_topk(rerank_scores(cands, queries, idf))
     top = materialize(top.select("query_id", F.col("rank").cast("int").alias("rank"), "chunk_id", "origin",
                                  "source", "score", "text"))
     if not with_summary:

@@ -71,3 +71,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for written tables."""
     base = checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{os.urandom(6).hex()}")
+
+
+def store_partitioned(df: DataFrame, name: str, part_col: str) -> DataFrame:
+    """Like ``cut_lineage``, but written partitioned by ``part_col`` (each
+    value's rows gathered by one task, so every directory gets one file);
+    filters on ``part_col`` then prune whole directories at read time.
+    Callers use it only for columns whose groups are bounded by
+    construction (blocks of dense ids, term buckets)."""
+    path = scratch_path(df.sparkSession, name)
+    df.repartition(part_col).write.mode("overwrite").partitionBy(part_col).parquet(path)
+    return df.sparkSession.read.parquet(path)
