@@ -32,3 +32,40 @@ def test_entry_and_registry(spark):
     assert df.columns == ["query_id", "rank", "chunk_id", "origin", "source", "score", "text"]
     assert df.count() > 0
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_stream_queries_equal_batch_search(spark):
+    from pyspark.sql import functions as F
+    from docsift.operators import lexical as L
+    from docsift.plans import registry as R
+    idx = R.search_index(spark, SF_SMALL)
+
+    def answer(batch):
+        return L.top_k(L.bm25_scores(batch, idx.bm25, term_buckets=idx.term_buckets), 3).select(
+            "query_id", "rank", "chunk_id", "score")
+
+    out = S.stream_queries(spark, SF_SMALL, answer)
+    got = sorted(map(tuple, spark.read.parquet(out).select("query_id", "rank", "chunk_id", "score").collect()))
+    conv = table(spark, SF_SMALL, "conversations").filter(F.col("role") == "user").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
+    want = sorted(map(tuple, answer(conv).collect()))
+    assert got == want and len(got) > 0
+
+
+def test_registered_plans_have_no_cartesian_and_use_partial_topk(spark):
+    import __spark_entry__ as E
+    from docsift.operators import hybrid as H
+    from docsift.plans import registry as R
+    ranked = {"bm25_top5", "knn_exact", "lookup_chunks"}
+    for key in ["bm25_top5", "bm25_search", "knn_exact", "semantic_search", "lookup_chunks",
+                "chunk_documents", "interleave_summaries", "convert_pages", "bm25_postings"]:
+        df = E.queries()[key](spark, SF_SMALL)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan, key
+        assert "BatchEvalPython" not in plan, key
+        if key in ranked:
+            assert "WindowGroupLimit" in plan, key
+    # searches rank before their (small) hit table is stored
+    idx, q = R.search_index(spark, SF_SMALL), R.bench_queries(spark, SF_SMALL)
+    for hits in (H.bm25_hits(q, idx), H.semantic_hits(q, idx)):
+        assert "WindowGroupLimit" in hits._jdf.queryExecution().executedPlan().toString()
