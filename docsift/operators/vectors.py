@@ -33,7 +33,7 @@ from docsift.functions import text as tx
 EMBED_DIM = 256
 DIST_DIGITS = 6
 Q_BLOCK = 1024
-B_BLOCK = 16384
+B_BLOCK = 8192
 
 _CAND = T.StructType([
     T.StructField("query_id", T.LongType()),
@@ -137,10 +137,20 @@ def _matched_topk_kernel(k: int, exclude_self: bool, match: list[str]):
         bc = bk.groupby(match).size().rename("nb")
         cost = pd.concat([qc, bc], axis=1, join="inner")
         cost = (cost["nq"] * cost["nb"]).sort_index()
+        parts = []
+        # a key whose pairs alone exceed the batch is searched densely in
+        # query slices (bounded matrix), never as one merge
+        big = cost[cost > PAIR_BATCH]
+        if len(big):
+            qpos, bpos = qk.groupby(match).indices, bk.groupby(match).indices
+            qi_all, bi_all = qk["qi"].to_numpy(), bk["bi"].to_numpy()
+            for key in big.index:
+                qi, bi = qi_all[qpos[key]], bi_all[bpos[key]]
+                parts.append(_local_topk_sliced(q[qi], qid_all[qi], b[bi], bid_all[bi], k, exclude_self))
+            cost = cost[cost <= PAIR_BATCH]
         batch_no = (cost.cumsum() // PAIR_BATCH).rename("_batch").reset_index()
         qk = qk.merge(batch_no, on=match)
         bk = bk.merge(batch_no, on=match)
-        parts = []
         for _, qb in qk.groupby("_batch"):
             bb = bk[bk["_batch"] == qb["_batch"].iloc[0]]
             pr = qb.merge(bb, on=match)
@@ -181,8 +191,8 @@ def _topk_kernel(k: int, exclude_self: bool):
             return _empty_cand()
         q = np.stack(qpdf["qvec"].to_numpy()).astype(np.float64)
         b = np.stack(bpdf["bvec"].to_numpy()).astype(np.float64)
-        return _local_topk_rows(q, qpdf["query_id"].to_numpy(dtype=np.int64), b,
-                                bpdf["id"].to_numpy(dtype=np.int64), k, exclude_self)
+        return _local_topk_sliced(q, qpdf["query_id"].to_numpy(dtype=np.int64), b,
+                                  bpdf["id"].to_numpy(dtype=np.int64), k, exclude_self)
     return fn
 
 
@@ -238,6 +248,24 @@ def _local_topk_rows(q: np.ndarray, qid: np.ndarray, b: np.ndarray, bid: np.ndar
                          "dist": np.concatenate(out_d)})
 
 
+MAX_DIST_ELEMS = 1 << 22  # distance-matrix cells held at once by one kernel call
+
+
+def _local_topk_sliced(q: np.ndarray, qid: np.ndarray, b: np.ndarray, bid: np.ndarray, k: int,
+                       exclude_self: bool) -> pd.DataFrame:
+    """``_local_topk_rows`` over query slices, so the distance matrix never
+    exceeds MAX_DIST_ELEMS cells (a query's answer depends on its row only,
+    so slicing is exact)."""
+    if len(q) == 0 or len(b) == 0:
+        return _empty_cand()
+    step = max(1, MAX_DIST_ELEMS // max(1, len(b)))
+    if step >= len(q):
+        return _local_topk_rows(q, qid, b, bid, k, exclude_self)
+    parts = [_local_topk_rows(q[i:i + step], qid[i:i + step], b, bid, k, exclude_self)
+             for i in range(0, len(q), step)]
+    return pd.concat(parts, ignore_index=True)
+
+
 def _keep_topk(c: pd.DataFrame, k: int) -> pd.DataFrame:
     c = c.assign(_r=np.round(c["dist"].to_numpy(), DIST_DIGITS)).sort_values(["query_id", "_r", "id"])
     return c[c.groupby("query_id").cumcount() < k][["query_id", "id", "dist"]]
@@ -254,7 +282,7 @@ def _scan_kernel(bq, k: int, exclude_self: bool):
             if len(pdf) == 0:
                 continue
             b = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
-            c = _local_topk_rows(q, qid, b, pdf["id"].to_numpy(dtype=np.int64), k, exclude_self)
+            c = _local_topk_sliced(q, qid, b, pdf["id"].to_numpy(dtype=np.int64), k, exclude_self)
             best = c if best is None else _keep_topk(pd.concat([best, c], ignore_index=True), k)
         if best is not None and len(best):
             yield best.reset_index(drop=True)
@@ -325,7 +353,7 @@ def knn_small_base(queries: DataFrame, small: DataFrame, k: int) -> DataFrame:
             if len(pdf) == 0 or len(ids) == 0:
                 continue
             q = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
-            c = _local_topk_rows(q, pdf["query_id"].to_numpy(dtype=np.int64), b, ids, k, False)
+            c = _local_topk_sliced(q, pdf["query_id"].to_numpy(dtype=np.int64), b, ids, k, False)
             c = _keep_topk(c, k)
             c = c.assign(rank=c.groupby("query_id").cumcount().astype("int32") + 1,
                          dist=np.round(c["dist"].to_numpy(), DIST_DIGITS))

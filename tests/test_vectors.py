@@ -119,3 +119,33 @@ def test_stored_ivf_index_equals_in_memory_search(spark):
     assigned = V.ivf_assign(base, ivf.centroids)
     b = sorted(tuple(r) for r in V.ivf_search(qs, assigned, ivf.centroids, k=5, nprobe=2).collect())
     assert a == b
+
+
+def test_bounded_kernels_give_same_answers(spark, monkeypatch):
+    """Tiny pair/matrix budgets force the sliced and big-key paths; the
+    answers must not change."""
+    X = _clustered(200, 8, 8)
+    base = frame(spark, np.arange(200), X)
+    qs = base.select(F.col("id").alias("query_id"), "vec")
+    cent, _ = V.ivf_train(base, nlist=3)
+    assigned = V.ivf_assign(base, cent)
+    ref_ivf = sorted(tuple(r) for r in V.ivf_search(qs, assigned, cent, k=5, nprobe=2).collect())
+    ref_knn = sorted(tuple(r) for r in V.knn_exact(qs, base, k=5, method="scan").collect())
+    monkeypatch.setattr(V, "PAIR_BATCH", 50)
+    monkeypatch.setattr(V, "MAX_DIST_ELEMS", 64)
+    assert sorted(tuple(r) for r in V.ivf_search(qs, assigned, cent, k=5, nprobe=2).collect()) == ref_ivf
+    assert sorted(tuple(r) for r in V.knn_exact(qs, base, k=5, method="scan").collect()) == ref_knn
+
+
+def test_matched_kernel_big_key_path_is_exact(monkeypatch):
+    import pandas as pd
+    rng = np.random.default_rng(0)
+    Q, B = rng.normal(size=(40, 6)), rng.normal(size=(90, 6))
+    qp = pd.DataFrame({"list_id": rng.integers(0, 3, 40), "salt": 0, "query_id": np.arange(40), "qvec": list(Q)})
+    bp = pd.DataFrame({"list_id": rng.integers(0, 3, 90), "salt": 0, "id": np.arange(1000, 1090), "bvec": list(B)})
+    cols = ["query_id", "id"]
+    ref = V._matched_topk_kernel(5, False, ["list_id", "salt"])(qp, bp).sort_values(cols).reset_index(drop=True)
+    monkeypatch.setattr(V, "PAIR_BATCH", 10)
+    monkeypatch.setattr(V, "MAX_DIST_ELEMS", 16)
+    got = V._matched_topk_kernel(5, False, ["list_id", "salt"])(qp, bp).sort_values(cols).reset_index(drop=True)
+    assert ref[cols].equals(got[cols]) and np.allclose(ref["dist"], got["dist"])
