@@ -44,7 +44,7 @@ class SearchIndex:
 
     @staticmethod
     def build(chunks: DataFrame, sources: DataFrame, embedder=None, materialize=None,
-              chunks_stored: bool = False, ivf_lists: int | None = None) -> "SearchIndex":
+              ivf_lists: int | None = None) -> "SearchIndex":
         """Offline build. ``materialize`` cuts lineage (Parquet in the shared
         checkpoint folder by default), so searches and size checks never
         recompute chunking, tokenising or embedding. ``ivf_lists`` also
@@ -52,8 +52,12 @@ class SearchIndex:
         search that reads only the probed lists."""
         from docsift.session import cut_lineage, scratch_path, store_partitioned
         materialize = materialize or cut_lineage
-        if not chunks_stored:
-            chunks = materialize(chunks)
+        spark = chunks.sparkSession
+        # the chunk table is stored once, partitioned by chunk-id block (ids
+        # are dense, so a block holds at most 2**CHUNK_BLOCK_SHIFT rows)
+        blocks = store_partitioned(chunks.withColumn("cb", F.shiftright("chunk_id", CHUNK_BLOCK_SHIFT)),
+                                   "chunk-blocks", "cb")
+        chunks = blocks.drop("cb")
         psg = lx.passages(chunks)
         index, idf, stats = lx.bm25_build(psg, materialize)
         n = F.lit(float(stats["n_passages"]))
@@ -67,13 +71,11 @@ class SearchIndex:
         vectors = materialize(vectors)
         ivf = None
         if ivf_lists:
-            ivf = vx.ivf_build(vectors, scratch_path(chunks.sparkSession, "ivf"), ivf_lists)
+            ivf = vx.ivf_build(vectors, scratch_path(spark, "ivf"), ivf_lists)
         n_tb = int(stats["term_buckets"])
-        blocks = store_partitioned(chunks.withColumn("cb", F.shiftright("chunk_id", CHUNK_BLOCK_SHIFT)),
-                                   "chunk-blocks", "cb")
         idf_b = store_partitioned(idf.withColumn("tb", lx.term_bucket(F.col("term"), n_tb)), "idf-buckets", "tb")
-        return SearchIndex(chunks, index, idf, vectors, n, sources, int(stats["n_passages"]), ivf,
-                           n_tb, blocks, idf_b)
+        return SearchIndex(chunks, index, idf_b.drop("tb"), vectors, n, sources, int(stats["n_passages"]),
+                           ivf, n_tb, blocks, idf_b)
 
     def chunks_for(self, hits: DataFrame) -> DataFrame:
         """The chunk rows of a (small, materialised) hit table: only the

@@ -138,8 +138,8 @@ def bm25_build(psg: DataFrame, materialize, path: str | None = None) -> tuple[Da
     dfs = materialize(post.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
     mean_idf = dfs.select(F.avg(_raw_idf(F.lit(float(n)), F.col("df")))).first()[0] or 0.0
     raw = _raw_idf(F.lit(float(n)), F.col("df"))
-    idf = materialize(dfs.select("term", "df", F.when(raw < 0, F.lit(EPSILON * mean_idf))
-                                 .otherwise(raw).alias("idf")))
+    # a projection of the stored df table: nothing to recompute
+    idf = dfs.select("term", "df", F.when(raw < 0, F.lit(EPSILON * mean_idf)).otherwise(raw).alias("idf"))
     # postings meet their df by an equi-join on term; AQE splits the skewed
     # partition of a hot term (or broadcasts the df table when it is small)
     with_df = post.join(dfs, "term")
