@@ -56,7 +56,7 @@ class SearchIndex:
         # the chunk table is stored once, partitioned by chunk-id block (ids
         # are dense, so a block holds at most 2**CHUNK_BLOCK_SHIFT rows)
         blocks = store_partitioned(chunks.withColumn("cb", F.shiftright("chunk_id", CHUNK_BLOCK_SHIFT)),
-                                   "chunk-blocks", "cb")
+                                   "chunk-blocks", "cb", spread_col="chunk_id")
         chunks = blocks.drop("cb")
         psg = lx.passages(chunks)
         index, idf, stats = lx.bm25_build(psg, materialize)
@@ -73,7 +73,7 @@ class SearchIndex:
         if ivf_lists:
             ivf = vx.ivf_build(vectors, scratch_path(spark, "ivf"), ivf_lists)
         n_tb = int(stats["term_buckets"])
-        idf_b = store_partitioned(idf.withColumn("tb", lx.term_bucket(F.col("term"), n_tb)), "idf-buckets", "tb")
+        idf_b = store_partitioned(idf.withColumn("tb", lx.term_bucket(F.col("term"), n_tb)), "idf-buckets", "tb", spread_col="term")
         return SearchIndex(chunks, index, idf_b.drop("tb"), vectors, n, sources, int(stats["n_passages"]),
                            ivf, n_tb, blocks, idf_b)
 

@@ -118,7 +118,9 @@ def write_index(weights: DataFrame, path: str, n_postings: int) -> tuple[DataFra
              .select("tb", F.greatest(F.lit(1), F.ceil(F.col("n") / POSTINGS_PER_FILE)).cast("int").alias("n_salt")))
     w = (w.join(F.broadcast(sizes), "tb")  # n_tb rows: bounded by MAX_TERM_BUCKETS
          .withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.col("n_salt")).cast("int")).drop("n_salt"))
-    w.repartition("tb", "salt").drop("salt").write.mode("overwrite").partitionBy("tb").parquet(path)
+    from docsift.session import ROW_GROUP_BYTES
+    (w.repartition("tb", "salt").drop("salt").write.mode("overwrite")
+     .option("parquet.block.size", ROW_GROUP_BYTES).partitionBy("tb").parquet(path))
     return weights.sparkSession.read.parquet(path), n_tb
 
 

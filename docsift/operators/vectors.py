@@ -491,7 +491,9 @@ def lsh_search(queries: DataFrame, base: DataFrame, k: int = 10, bucket_length:
           .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("n_salt") - 1))))
     cand = _keyed_topk(qk, b, ["bucket", "salt"], k, exclude_self, 4 * _parallelism(queries.sparkSession))
     cand = cand.groupBy("query_id", "id").agg(F.min("dist").alias("dist"))
-    approx = _final_topk(cand, k)
+    # stored once: the completeness check, the fallback and the union all read it
+    from docsift.session import cut_lineage
+    approx = cut_lineage(_final_topk(cand, k), "lsh-approx")
     full = approx.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
     short = queries.join(full.select("query_id"), "query_id", "left_anti")
     exact = knn_exact(short, base, k, exclude_self)
