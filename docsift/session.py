@@ -94,3 +94,27 @@ def store_partitioned(df: DataFrame, name: str, part_col: str, spread_col: str |
     (df.repartition(*keys).write.mode("overwrite").option("parquet.block.size", ROW_GROUP_BYTES)
      .partitionBy(part_col).parquet(path))
     return df.sparkSession.read.parquet(path)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``docsift`` importable in the Python workers (pandas kernels):
+    once per application the package is zipped and added with
+    ``addPyFile``, which copies it to every executor. The zip is a code
+    artifact on the driver, not data."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="docsift-pkg-"), "docsift.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    spark.sparkContext.addPyFile(out)
+    _SHIPPED.add(app)
