@@ -182,9 +182,15 @@ def dedupe_candidates(cands: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ H5-H8
-def rerank_scores(cands: DataFrame, queries: DataFrame, idf: DataFrame) -> DataFrame:
-    """H5 default: idf-weighted coverage of the distinct query words by the
-    candidate's words, in [0, 1]."""
+def rerank_scores(cands: DataFrame, queries: DataFrame, idf: DataFrame, reranker=None) -> DataFrame:
+    """H5: relevance of each candidate to its query. ``reranker`` is a U2
+    model UDF (query text, candidate text) -> score; the default is the
+    idf-weighted coverage of the distinct query words by the candidate's
+    words, in [0, 1]."""
+    if reranker is not None:
+        q = queries.select("query_id", F.col("text").alias("_qtext"))
+        return (cands.drop("score").join(q, "query_id")
+                .withColumn("score", F.round(reranker(F.col("_qtext"), F.col("text")), 6)).drop("_qtext"))
     q = queries.select("query_id", F.array_distinct(tx.bm25_tokens(F.col("text"))).alias("qt"))
     c = cands.join(q, "query_id")
     shared = explode_rows(c, ["query_id", "pos"],
@@ -229,7 +235,8 @@ RESULT_COLS = ["query_id", "rank", "chunk_id", "origin", "source", "score", "tex
 
 def hybrid_search(queries: DataFrame, idx: SearchIndex, summarizer=None,
                   rewrite=M.default_rewrite, with_summary: bool = True, materialize=None,
-                  semantic_method: str = "exact", nprobe: int = 8) -> DataFrame:
+                  semantic_method: str = "exact", nprobe: int = 8, reranker=None,
+                  query_embedder=None) -> DataFrame:
     """H9: G8 + F6 -> H3 -> H4 -> H5 -> H6 (+ H8) for a batch of queries.
     (query_id, rank, chunk_id, origin, source, score, text).
 
@@ -241,13 +248,14 @@ def hybrid_search(queries: DataFrame, idx: SearchIndex, summarizer=None,
     # this batch's slice of the idf table: words of the queries and of their rewrites
     words = queries.select("query_id", "text").unionByName(rewrite(queries.select("query_id", "text")))
     idf = materialize(idx.idf_for(words))
-    sem = semantic_hits(queries, idx, SEMANTIC_K, rewrite, method=semantic_method, nprobe=nprobe, idf=idf)
+    sem = semantic_hits(queries, idx, SEMANTIC_K, rewrite, query_embedder=query_embedder,
+                        method=semantic_method, nprobe=nprobe, idf=idf)
     lex = bm25_hits(queries, idx, LEXICAL_K)
     hits = (sem.withColumn("origin", F.lit("semantic"))
             .unionByName(lex.withColumn("origin", F.lit("lexical"))))
     lists = _attach(hits, idx).select("query_id", "rank", "chunk_id", "origin", "score", "source", "text")
     cands = materialize(dedupe_candidates(hybrid_concat(lists)))
-    top = rerank_topk(rerank_scores(cands, queries, idf))
+    top = rerank_topk(rerank_scores(cands, queries, idf, reranker))
     top = materialize(top.select("query_id", F.col("rank").cast("int").alias("rank"), "chunk_id", "origin",
                                  "source", "score", "text"))
     if not with_summary:

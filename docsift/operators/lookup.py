@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docsift.operators.broadcast import row_count_at_most
 
-MAX_BROADCAST_NEEDLES = 100_000
+MAX_BROADCAST_NEEDLES = 1_000
 GRAM = 3
 
 
