@@ -36,8 +36,10 @@ def chunk_table(docs: DataFrame, summarizer: Summarizer | None = None,
     from docsift.session import cut_lineage
     summarizer = summarizer or default_summarizer
     materialize = materialize or (lambda d: cut_lineage(d, "chunk-arrays"))
-    arr = materialize(prep.chunk_arrays(docs, max_tokens))
-    n = F.size("chunks")
+    # n_chunks is stored beside the arrays: the offsets read two narrow
+    # columns, not the chunk text
+    arr = materialize(prep.chunk_arrays(docs, max_tokens).withColumn("n_chunks", F.size("chunks")))
+    n = F.col("n_chunks")
     slots = arr.select("doc_id", (n + F.floor(n / group)).cast("bigint").alias("slots"))
     off = running_offsets(slots, "doc_id", "slots")
     placed = arr.join(off.select("doc_id", "offset"), "doc_id")
@@ -51,7 +53,7 @@ def chunk_table(docs: DataFrame, summarizer: Summarizer | None = None,
         F.sequence(F.lit(0), F.floor(F.size("chunks") / group).cast("int") - 1),
         lambda g: F.struct(g.alias("g"), F.array_join(F.transform(
             F.slice("chunks", g * group + 1, group), lambda c: c["text"]), "").alias("text")))
-    groups = (explode_rows(placed.filter(F.size("chunks") >= group), ["doc_id", "offset"], group_arr, "x")
+    groups = (explode_rows(placed.filter(F.col("n_chunks") >= group), ["doc_id", "offset"], group_arr, "x")
               .select("doc_id", "offset", F.col("x.g").alias("grp"), F.col("x.text").alias("text")))
     summaries = (summarizer(groups, ["doc_id", "grp", "offset"], "text")
                  .select(F.col("doc_id").alias("document_id"), "offset",
