@@ -9,7 +9,7 @@ count at scale).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,8 +51,12 @@ def clean_file_names(paths: DataFrame, path_col: str = "path") -> DataFrame:
     base = F.substring_index(F.col(path_col), "/", -1)
     new = F.concat(d, F.replace(base, F.lit(","), F.lit("")))
     out = paths.select(F.col(path_col).alias("old_path"), new.alias("new_path"))
-    return (out.withColumn("renamed", F.col("old_path") != F.col("new_path"))
-            .withColumn("n_same_name", F.count(F.lit(1)).over(Window.partitionBy("new_path"))))
+    # collision counts by a partial aggregate joined back (a name shared by a
+    # third of all files is pre-counted in every task, not gathered in one)
+    same = out.groupBy("new_path").agg(F.count(F.lit(1)).alias("n_same_name"))
+    return (out.join(same, "new_path")
+            .select("old_path", "new_path", (F.col("old_path") != F.col("new_path")).alias("renamed"),
+                    "n_same_name"))
 
 
 def write_chunk_lines(chunks: DataFrame, path: str, n_files: int | None = None) -> None:
