@@ -137,7 +137,7 @@ def semantic_hits(queries: DataFrame, idx: SearchIndex, k: int = SEMANTIC_K,
     if method == "ivf":
         hits = vx.ivf_query(qv, idx.ivf, k, nprobe)
     else:
-        hits = vx.knn_exact(qv, idx.vectors, k, n_queries=queries.count(), n_base=idx.n_chunks)
+        hits = vx.knn_exact(qv, idx.vectors, k, n_base=idx.n_chunks)
     return hits.select("query_id", "rank", F.col("id").alias("chunk_id"), F.col("dist").alias("score"))
 
 

@@ -307,9 +307,9 @@ def knn_exact(queries: DataFrame, base: DataFrame, k: int = 10, exclude_self: bo
     * ``blocks`` (any size): both sides get block keys and ``cogroup`` pairs
       each query block with each base block once."""
     spark = queries.sparkSession
-    nq = queries.count() if n_queries is None else n_queries
     if method == "auto":
-        method = "scan" if nq <= MAX_SCAN_QUERIES else "blocks"
+        # the scan path's bounded collect doubles as the size check
+        method = "scan" if (n_queries is None or n_queries <= MAX_SCAN_QUERIES) else "blocks"
     if method == "scan":
         rows = queries.select("query_id", "vec").limit(MAX_SCAN_QUERIES + 1).collect()
         dim = len(rows[0][1]) if rows else 0
@@ -321,6 +321,7 @@ def knn_exact(queries: DataFrame, base: DataFrame, k: int = 10, exclude_self: bo
             bq = spark.sparkContext.broadcast((qid, qm))
             cand = base.select("id", "vec").mapInPandas(_scan_kernel(bq, k, exclude_self), _CAND)
             return _final_topk(cand, k)
+    nq = queries.count() if n_queries is None else n_queries
     nb = base.count() if n_base is None else n_base
     qb = max(1, math.ceil(nq / q_block))
     bb = max(1, math.ceil(nb / b_block), min(_parallelism(spark), max(1, nb // 64)))
