@@ -289,8 +289,8 @@ def _scan_kernel(bq, k: int, exclude_self: bool):
     return fn
 
 
-MAX_BROADCAST_QUERY_FLOATS = 1 << 24  # 64 MB of float32 query vectors
-MAX_SCAN_QUERIES = 1 << 16
+MAX_BROADCAST_QUERY_FLOATS = 1 << 22  # 4M vector components (16 MB as float32) per broadcast
+MAX_SCAN_QUERIES = 1 << 14
 
 
 # ------------------------------------------------------------------ G2
@@ -341,8 +341,11 @@ def knn_small_base(queries: DataFrame, small: DataFrame, k: int) -> DataFrame:
     queries are scanned in place; each query's whole answer is computed in
     one task, so no shuffle and no global window are needed."""
     spark = queries.sparkSession
-    rows = small.select("id", "vec").limit(MAX_BROADCAST_BASE_ROWS + 1).collect()
-    if len(rows) > MAX_BROADCAST_BASE_ROWS:
+    first = small.select(F.size("vec")).first()
+    dim = max(1, first[0]) if first else 1
+    cap = min(MAX_BROADCAST_BASE_ROWS, MAX_BROADCAST_QUERY_FLOATS // dim)
+    rows = small.select("id", "vec").limit(cap + 1).collect()  # at most cap + 1 rows reach the driver
+    if len(rows) > cap:
         return knn_exact(queries, small, k, method="blocks")
     bid = np.array([r[0] for r in rows], dtype=np.int64)
     bm = np.array([r[1] for r in rows], dtype=np.float64)
