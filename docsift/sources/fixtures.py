@@ -27,10 +27,6 @@ def page_count(text_col) -> "F.Column":
     return F.size(F.split(text_col, "\n"))
 
 
-def with_names(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("document_name", document_name(docs))
-
-
 def manifest_seed(docs: DataFrame) -> DataFrame:
     """(doc_id, document_name, n_pages, chunked): the state of the manifest
     fixture. A third of the documents (doc_id % 3 = 0) count as chunked."""

@@ -136,3 +136,11 @@ def test_clean_file_names_reports_collisions(spark):
     assert got["/a/x,y.pdf"] == ("/a/xy.pdf", True, 2)
     assert got["/a/xy.pdf"] == ("/a/xy.pdf", False, 2)
     assert got["/b,c/d.pdf"] == ("/b,c/d.pdf", False, 1)
+
+
+def test_dense_rank_ids_are_dense_and_ordered(spark):
+    from docsift.operators.ids import dense_rank_ids
+    keys = [5, 70000, 3, 131072, 9, 65536]
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    got = {r.k: r.id for r in dense_rank_ids(df, "k", shift=4).collect()}
+    assert got == {k: i + 1 for i, k in enumerate(sorted(keys))}

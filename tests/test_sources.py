@@ -83,3 +83,10 @@ def test_incremental_flags(spark):
     assert marked == {1: True, 2: True, 3: False, 4: True}
     rec = {r.doc_id: r.chunked for r in D.reconcile_flags(m, done).collect()}
     assert rec == {1: True, 2: False, 3: False, 4: False}
+
+
+def test_update_from_table(spark):
+    m = spark.createDataFrame([(1, False), (2, False), (3, True)], "doc_id long, chunked boolean")
+    upd = spark.createDataFrame([(2, True), (3, False)], "doc_id long, chunked boolean")
+    got = {r.doc_id: r.chunked for r in TB.update_from(m, upd, "doc_id", "chunked").collect()}
+    assert got == {1: False, 2: True, 3: False}
