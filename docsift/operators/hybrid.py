@@ -55,9 +55,13 @@ class SearchIndex:
         spark = chunks.sparkSession
         # the chunk table is stored once, partitioned by chunk-id block (ids
         # are dense, so a block holds at most 2**CHUNK_BLOCK_SHIFT rows)
-        blocks = store_partitioned(chunks.withColumn("cb", F.shiftright("chunk_id", CHUNK_BLOCK_SHIFT)),
-                                   "chunk-blocks", "cb", spread_col="chunk_id")
-        chunks = blocks.drop("cb")
+        # the source name is joined in once here, so a search's text lookup
+        # reads only the pruned blocks and never the document table
+        blocks = store_partitioned(
+            chunks.join(sources, "document_id", "left")
+            .withColumn("cb", F.shiftright("chunk_id", CHUNK_BLOCK_SHIFT)),
+            "chunk-blocks", "cb", spread_col="chunk_id")
+        chunks = blocks.select("chunk_id", "document_id", "pos", "kind", "text")
         psg = lx.passages(chunks)
         index, idf, stats = lx.bm25_build(psg, materialize)
         n = F.lit(float(stats["n_passages"]))
@@ -112,10 +116,11 @@ def _attach(hits: DataFrame, idx: SearchIndex) -> DataFrame:
     """Text and source of the hits; ``hits`` is materialised first (it is
     small) so the block list and the join read it, not the search again."""
     from docsift.session import cut_lineage
-    if idx.chunk_blocks is not None:
-        hits = cut_lineage(hits, "hits")
-    c = idx.chunks_for(hits).select("chunk_id", "document_id", "text")
-    return (hits.join(c, "chunk_id").join(idx.sources, "document_id", "left").drop("document_id"))
+    if idx.chunk_blocks is None:
+        c = idx.chunks.select("chunk_id", "document_id", "text")
+        return hits.join(c, "chunk_id").join(idx.sources, "document_id", "left").drop("document_id")
+    hits = cut_lineage(hits, "hits")
+    return hits.join(idx.chunks_for(hits).select("chunk_id", "text", "source"), "chunk_id")
 
 
 # ------------------------------------------------------------------ G8, F6
