@@ -21,6 +21,9 @@ from docsift.operators.summarize import extractive_summary
 
 SEMANTIC_K = 10
 CHUNK_BLOCK_SHIFT = 16
+# pruned reads cost a small job each; below these counts there is nothing to prune
+PRUNE_MIN_BLOCKS = 4
+PRUNE_MIN_BUCKETS = 4
 LEXICAL_K = 3
 LEXICAL_POOL = 5
 FINAL_K = 6
@@ -81,6 +84,9 @@ class SearchIndex:
         return SearchIndex(chunks, index, idf_b.drop("tb"), vectors, n, sources, int(stats["n_passages"]),
                            ivf, n_tb, blocks, idf_b)
 
+    def n_blocks(self) -> int:
+        return (self.n_chunks >> CHUNK_BLOCK_SHIFT) + 1
+
     def chunks_for(self, hits: DataFrame) -> DataFrame:
         """The chunk rows of a (small, materialised) hit table: only the
         chunk-id blocks that hold hits are read. The block list is bounded
@@ -93,7 +99,7 @@ class SearchIndex:
     def idf_for(self, queries: DataFrame, text_col: str = "text") -> DataFrame:
         """The idf rows a query batch can need: only the term buckets of its
         words are read (at most ``term_buckets`` values)."""
-        if self.idf_buckets is None or not self.term_buckets:
+        if self.idf_buckets is None or self.term_buckets < PRUNE_MIN_BUCKETS:
             return self.idf
         qt = queries.select(F.explode_outer(tx.bm25_tokens(F.col(text_col))).alias("term"))
         tbs = [r[0] for r in qt.filter(F.col("term").isNotNull())
@@ -119,6 +125,8 @@ def _attach(hits: DataFrame, idx: SearchIndex) -> DataFrame:
     if idx.chunk_blocks is None:
         c = idx.chunks.select("chunk_id", "document_id", "text")
         return hits.join(c, "chunk_id").join(idx.sources, "document_id", "left").drop("document_id")
+    if idx.n_blocks() < PRUNE_MIN_BLOCKS:
+        return hits.join(idx.chunk_blocks.select("chunk_id", "text", "source"), "chunk_id")
     hits = cut_lineage(hits, "hits")
     return hits.join(idx.chunks_for(hits).select("chunk_id", "text", "source"), "chunk_id")
 

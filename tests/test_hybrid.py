@@ -52,3 +52,16 @@ def test_rerank_scores_are_coverage(spark):
                                   "query_id long, pos int, chunk_id long, text string")
     got = {r.pos: r.score for r in H.rerank_scores(cands, q, idx.idf).collect()}
     assert got[1] == 1.0 and got[2] == 0.0 and 0 < got[3] < 1
+
+
+def test_pruned_and_unpruned_reads_agree(spark, monkeypatch):
+    idx = _index(spark, PASSAGES)
+    q = spark.createDataFrame([(1, "fence height"), (2, "permits")], "query_id long, text string")
+    plain = sorted(tuple(r) for r in H.hybrid_search(q, idx).collect())
+    monkeypatch.setattr(H, "PRUNE_MIN_BLOCKS", 0)
+    monkeypatch.setattr(H, "PRUNE_MIN_BUCKETS", 0)
+    monkeypatch.setattr(H, "CHUNK_BLOCK_SHIFT", 2)  # several blocks for 14 chunks
+    idx2 = _index(spark, PASSAGES)
+    assert idx2.n_blocks() > 1
+    pruned = sorted(tuple(r) for r in H.hybrid_search(q, idx2).collect())
+    assert pruned == plain
