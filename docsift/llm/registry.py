@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["decontaminate", "language", "pack", "quality", "token_counts", "url_filter"]
+MODULES = ["decontaminate", "language", "ngram_join", "pack", "quality", "token_counts", "url_filter"]
 
 
 def _loaded():
