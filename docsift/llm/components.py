@@ -21,7 +21,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     labels = stored(live.select(F.col("u").alias("node")).union(live.select("v")).distinct()
                     .select("node", F.col("node").alias("comp")), f"{name}-labels")
     while not live.isEmpty():
-        both = live.union(live.select("v", "u")).toDF("node", "other")
+        both = live.select("u", "v").union(live.select("v", "u")).toDF("node", "other")
         hooks = stored(both.groupBy("node").agg(F.min("other").alias("other"))
                        .select("node", F.least("node", "other").alias("up")), f"{name}-hooks")
         while True:  # hooks lead to smaller nodes, so they end
@@ -38,5 +38,5 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         for end in ("u", "v"):
             h = hooks.select(F.col("node").alias(end), F.col("up").alias(f"{end}_up"))
             live = live.join(h, end, "left").withColumn(end, F.coalesce(f"{end}_up", end)).drop(f"{end}_up")
-        live = stored(live.filter("u <> v").distinct(), f"{name}-edges")
+        live = stored(live.select("u", "v").filter("u <> v").distinct(), f"{name}-edges")
     return labels

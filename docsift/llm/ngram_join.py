@@ -44,7 +44,7 @@ WORDS = 5
 BATCH_FREQUENT = 4
 #: The frequent shingles that the global order puts last: at most so many are broadcast (16 bytes each).
 MAX_FREQUENT = 500_000
-STARS = 4
+STARS = 2
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -207,10 +207,12 @@ def set_table(docs: DataFrame, members: DataFrame, nodes: DataFrame, id_col: str
 
 def star_pairs(entries: DataFrame, round_no: int) -> DataFrame:
     """(u, v): each entry with the first set of its block of its list, and of the
-    block of the next smaller sizes, in an order that each round changes; pairs
-    of one component, and those that bounds exclude, are left out."""
+    block of the next smaller sizes; pairs of one component, and those that
+    bounds exclude, are left out. Sets of most copies and links come first
+    (``weight``), as others tend to derive from them; else an order that each round changes."""
     e = entries.withColumn("h", F.xxhash64("node", F.lit(round_no)))
-    first = (e.groupBy("shingle", "block").agg(F.min(F.struct("h", "node", "n", "pos", "comp")).alias("f"))
+    first = (e.groupBy("shingle", "block")
+             .agg(F.max(F.struct("weight", "h", "node", "n", "pos", "comp")).alias("f"))
              .select("shingle", "block", F.col("f.node").alias("u"), F.col("f.n").alias("u_n"),
                      F.col("f.pos").alias("u_pos"), F.col("f.comp").alias("u_comp")))
     mine = e.select("shingle", F.explode(F.array("block", F.col("block") - 1)).alias("block"),
@@ -236,9 +238,12 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     with_n = lambda p: (p.join(sizes.toDF("u", "u_n"), "u").join(sizes.toDF("v", "v_n"), "v"))
 
     comps = entries.select("node", F.col("node").alias("comp")).limit(0)
+    copies = members.groupBy("node").agg(F.count("*").alias("weight"))
+    weights = stored(copies.filter("weight > 1"), "weights")
     compared = links = None
     for k in range(stars):
-        now = entries.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        now = (entries.join(comps, "node", "left").join(weights, "node", "left")
+               .withColumns({"comp": F.coalesce("comp", "node"), "weight": F.coalesce("weight", F.lit(1))}))
         pairs = star_pairs(now, k)
         if compared is not None:
             pairs = pairs.join(compared.select("u", "v"), ["u", "v"], "left_anti")
@@ -249,6 +254,9 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             break
         links = new if links is None else links.unionByName(new)
         comps = components(links)
+        ends = links.select(F.col("u").alias("node")).union(links.select("v")).withColumn("weight", F.lit(1))
+        weights = stored(copies.filter("weight > 1").union(ends).groupBy("node").agg(F.sum("weight").alias("weight")),
+                         "weights")
     if links is None:
         links = compared.limit(0)
 
