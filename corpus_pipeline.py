@@ -1 +1,96 @@
-"""The training-data pipeline over documents (stages come as their operators do)."""
+"""The training-data pipeline over ``documents``: five stages, each one of the
+operators of ``docsift.llm``, each on all that the one before kept.
+
+Every function takes (spark, docs, sf_dir) and returns a DataFrame; all but the
+last return the columns of ``documents``. ``run`` writes each stage's result
+under the shared checkpoint folder and reads it back for the next.
+
+Defined results: null, empty and wordless texts are scored as any other by the first
+stage and go at the second, which can't tell their language; repeated rows and
+rows sharing an id are one document for the third stage, which keeps one of
+them; rows with a null id are kept by it; an empty table stays empty.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docsift.llm import decontaminate, language, ngram_join, pack, quality
+from docsift.llm.common import stored, table
+from docsift.session import ship_package
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+MIN_LANGUAGE_SCORE = 0.5
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rule-ensemble quality: documents that score under 0.5 go."""
+    ship_package(spark)
+    ensemble = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs, ensemble, COLUMNS).filter("predicted = 1").select(*COLUMNS)
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Word-first language identification: documents without a language, or
+    that no language explains better than the others together, go."""
+    ship_package(spark)
+    model = language.learn(docs)
+    p = language.predicted(F.col("text"), model, spark)
+    return (docs.select(*COLUMNS, p.alias("p"))
+            .filter((F.col("p.lang_pred") != language.UNDETERMINED) & (F.col("p.score") >= MIN_LANGUAGE_SCORE))
+            .select(*COLUMNS))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: of each group of near duplicates the document of
+    the smallest id stays."""
+    ship_package(spark)
+    groups = ngram_join.near_duplicates(docs)
+    # A document goes if it leads no group; ids on several rows need one row picked.
+    leads = groups.filter("doc_id is not null").groupBy("doc_id").agg(
+        F.max(F.col("component_id") == F.col("doc_id")).alias("leads"), F.count("*").alias("copies"))
+    leads = stored(leads.filter("leads").select(F.col("doc_id").alias("k_id"), "copies"), "leaders")
+    # One job, one join of the texts; nulls and ids on one row pass without a sort.
+    kept = docs.select(*COLUMNS).join(leads, F.col("doc_id") == F.col("k_id"), "left")
+    once = kept.filter("doc_id is null or copies = 1").select(*COLUMNS)
+    several = leads.filter("copies > 1").select(F.col("k_id").alias("doc_id"))
+    if several.isEmpty():
+        return once
+    picked = docs.select(*COLUMNS).join(several, "doc_id", "left_semi").groupBy("doc_id").agg(
+        F.min(F.struct("text", "lang", "source", "n_chars")).alias("d")).select("doc_id", "d.*")
+    return once.unionByName(picked)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Positional index against ``benchmark``: documents that hold a run of ten
+    consecutive words of an item go."""
+    ship_package(spark)
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    hit = stored(found.filter("contaminated").select("doc_id").distinct(), "contaminated")
+    return docs.select(*COLUMNS).join(hit, docs.doc_id.eqNullSafe(hit.doc_id), "left_anti")
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Best-fit packing: the pieces of all that is left, with their places."""
+    ship_package(spark)
+    return pack.pack_documents(docs, pack.tokenizer_path(pack.TOKENIZER))
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("language", language_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
+
+#: Fitted models decide the first two stages, which SQL cannot state.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return docs

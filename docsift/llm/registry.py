@@ -12,14 +12,16 @@ def _loaded():
 
 
 def queries() -> dict:
-    out = {}
+    import corpus_pipeline
+    out = {"pipeline": corpus_pipeline.run}
     for m in _loaded():
         out.update(m.QUERIES)
     return out
 
 
 def oracle_sql() -> dict:
-    out = {}
+    import corpus_pipeline
+    out = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
     for m in _loaded():
         out.update(m.SQL)
     return out
