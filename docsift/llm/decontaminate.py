@@ -25,22 +25,31 @@ from pyspark.sql import functions as F
 from docsift.llm.common import ascii_lower, stored, table
 
 WINDOW = 10
-PROBES = 3
+PROBES = 2
 PLAN_BROADCAST_ROWS = 200_000
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# Letters A-Z belong to the words here, since they are lower-cased afterwards.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def raw_words(text: Column) -> Column:
+    """Words of a text before lower-casing; none for null."""
+    return F.coalesce(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+
+
+def lowered(word: Column) -> Column:
+    """A-Z lower-cased; the plain function where a word is all ASCII."""
+    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(ascii_lower(word))
 
 
 def words_of(text: Column) -> Column:
     """Words of a text after lower-casing A-Z; none for null."""
-    return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0)),
-                      F.array().cast("array<string>"))
+    return F.transform(raw_words(text), lowered)
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, th, words): ``th`` tells texts apart that share an id; repeated
-    rows share both and get equal results."""
-    return docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("th"),
-                       words_of(F.col(text_col)).alias("words"))
+def _keys(id_col: str, text_col: str) -> list[Column]:
+    """(doc, th): ``th`` tells texts apart that share an id; repeated rows
+    share both and get equal results."""
+    return [F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("th")]
 
 
 def windows_of(items: DataFrame, width: int = WINDOW) -> DataFrame:
@@ -62,22 +71,23 @@ def _sized(df: DataFrame, rows: int) -> DataFrame:
 
 def postings(docs: DataFrame, terms: DataFrame, n_terms: int,
              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The positional index: (term, doc, th, pos) of every occurrence of
-    ``terms`` (term) in the whole texts. Positions count from 0."""
-    return (_keyed(docs, id_col, text_col).select("doc", "th", F.posexplode("words").alias("pos", "term"))
-            .join(_sized(terms.select("term"), n_terms), "term"))
+    """The positional index: (term_id, doc, th, pos) of every occurrence of
+    ``terms`` (term, term_id) in the whole texts. Positions count from 0."""
+    return (docs.select(*_keys(id_col, text_col), F.posexplode(raw_words(F.col(text_col))).alias("pos", "word"))
+            .withColumn("term", lowered(F.col("word")))
+            .join(_sized(terms.select("term", "term_id"), n_terms), "term").select("term_id", "doc", "th", "pos"))
 
 
 def term_counts(docs: DataFrame, terms: DataFrame, n_terms: int,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """terms (term) -> (term, cf): occurrences over the corpus (0 if none)."""
-    seen = (docs.select(F.explode(words_of(F.col(text_col))).alias("term"))
-            .join(_sized(terms, n_terms), "term").groupBy("term").agg(F.count("*").alias("cf")))
+    seen = (docs.select(F.explode(raw_words(F.col(text_col))).alias("word"))
+            .select(lowered(F.col("word")).alias("term")).join(_sized(terms, n_terms), "term").groupBy("term").agg(F.count("*").alias("cf")))
     return terms.join(seen, "term", "left").select("term", F.coalesce("cf", F.lit(0)).alias("cf"))
 
 
 def probe_plan(windows: DataFrame, counts: DataFrame, probes: int = PROBES) -> DataFrame:
-    """(win, rank, term, off): each window's rarest words, rarest first.
+    """(win, rank, term, term_id, off): each window's rarest words, rarest first.
     A window with a word that the corpus lacks cannot occur and has no plan."""
     w = Window.partitionBy("win").orderBy("cf", "term", "off")
     return (windows.select("win", F.posexplode("words").alias("off", "term"))
@@ -85,38 +95,38 @@ def probe_plan(windows: DataFrame, counts: DataFrame, probes: int = PROBES) -> D
             .withColumns({"rank": F.row_number().over(w),
                           "least": F.min("cf").over(Window.partitionBy("win"))})
             .filter((F.col("rank") <= probes) & (F.col("least") > 0))
-            .select("win", "rank", "term", "off"))
+            .select("win", "rank", "term", F.xxhash64("term").alias("term_id"), "off"))
 
 
 def phrase_starts(index: DataFrame, plan: DataFrame, n_plan: int, probes: int = PROBES) -> DataFrame:
     """(doc, th, start, win): starts confirmed by every probe list, rarest
     list first; each further list is met at its offset-adjusted position."""
     hint = lambda df: _sized(df, n_plan)
-    first = plan.filter("rank = 1").select("term", "win", "off")
-    found = (index.join(hint(first), "term")
+    first = plan.filter("rank = 1").select("term_id", "win", "off")
+    found = (index.join(hint(first), "term_id")
              .select("doc", "th", (F.col("pos") - F.col("off")).alias("start"), "win").filter("start >= 0"))
     for rank in range(2, probes + 1):
-        step = plan.filter(F.col("rank") == rank).select("win", "term", "off")
-        listed = index.join(hint(step.select("term").distinct()), "term").withColumn("hit", F.lit(True))
+        step = plan.filter(F.col("rank") == rank).select("win", "term_id", "off")
+        listed = index.join(hint(step.select("term_id").distinct()), "term_id").withColumn("hit", F.lit(True))
         found = (found.join(hint(step), "win", "left")
                  .withColumn("pos", F.col("start") + F.col("off"))
-                 .join(listed, ["doc", "th", "term", "pos"], "left")
+                 .join(listed, ["doc", "th", "term_id", "pos"], "left")
                  .filter(F.col("hit") | F.col("off").isNull())  # a window may have fewer words than probes
                  .select("doc", "th", "start", "win"))
     return found
 
 
 def proximity_matches(index: DataFrame, pairs: DataFrame, within: int) -> DataFrame:
-    """pairs (pair_id, a, b) -> (pair_id, doc, th, pos_a, pos_b): occurrences
+    """pairs (pair_id, a, b) of term ids -> (pair_id, doc, th, pos_a, pos_b): occurrences
     of the two words at most ``within`` positions apart, in either order.
     Positions meet by buckets of ``within``, so that a long document's lists
     aren't paired with each other whole."""
-    a = index.join(pairs.select("pair_id", F.col("a").alias("term"), "b"), "term")
-    a = a.select("pair_id", "doc", "th", F.col("pos").alias("pos_a"), F.col("b").alias("term"),
+    a = index.join(pairs.select("pair_id", F.col("a").alias("term_id"), "b"), "term_id")
+    a = a.select("pair_id", "doc", "th", F.col("pos").alias("pos_a"), F.col("b").alias("term_id"),
                  F.explode(F.array(*[F.floor(F.col("pos") / within) + d for d in (-1, 0, 1)])).alias("bucket"))
-    b = index.select("doc", "th", "term", F.col("pos").alias("pos_b"),
+    b = index.select("doc", "th", "term_id", F.col("pos").alias("pos_b"),
                      F.floor(F.col("pos") / within).alias("bucket"))
-    return (a.join(b, ["doc", "th", "term", "bucket"])
+    return (a.join(b, ["doc", "th", "term_id", "bucket"])
             .filter((F.abs(F.col("pos_a") - F.col("pos_b")) <= within) & (F.col("pos_a") != F.col("pos_b")))
             .select("pair_id", "doc", "th", "pos_a", "pos_b"))
 
@@ -129,7 +139,7 @@ def find_phrases(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id",
     counts = term_counts(docs, terms, n_terms, id_col, text_col)
     plan = stored(probe_plan(windows, counts), "plan")
     n_plan = plan.count()
-    listed = stored(plan.select("term").distinct(), "listed")
+    listed = stored(plan.select("term", "term_id").distinct(), "listed")
     index = stored(postings(docs, listed, n_terms, id_col, text_col), "postings")
     return phrase_starts(index, plan, n_plan)
 
@@ -151,11 +161,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WINDOW, id_col
             .groupBy("doc", "th")
             .agg(F.collect_list(F.struct("start", "len", "phrase", "item_ids")).alias("found"))
             .withColumnsRenamed({"doc": "h_doc", "th": "h_th"}))
-    d = _keyed(docs, id_col, text_col)
-    d = d.join(hits, d.doc.eqNullSafe(hits.h_doc) & (d.th == hits.h_th), "left")
-    exact = F.array_sort(F.filter(
-        F.coalesce("found", F.array().cast("array<struct<start:int,len:int,phrase:string,item_ids:array<bigint>>>")),
-        lambda f: F.array_join(F.slice("words", f["start"] + 1, f["len"]), " ") == f["phrase"]))
+    d = docs.select(*_keys(id_col, text_col), F.col(text_col).alias("text"))
+    d = (d.join(hits, d.doc.eqNullSafe(hits.h_doc) & (d.th == hits.h_th), "left")
+         .select("doc", "found", raw_words(F.col("text")).alias("words")))
+    none = F.array().cast("array<struct<start:int,len:int,phrase:string,item_ids:array<bigint>>>")
+    exact = F.when(F.col("found").isNull(), none).otherwise(F.array_sort(F.filter(
+        "found", lambda f: F.array_join(F.transform(F.slice("words", f["start"] + 1, f["len"]), lowered), " ")
+        == f["phrase"])))
     zero = F.struct(F.lit(0).alias("upto"), F.lit(0).alias("n"))
     covered = F.aggregate(
         "exact", zero,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["ann", "decontaminate", "language", "ngram_join", "pack", "quality", "token_counts", "url_filter"]
+MODULES = ["ann", "decontaminate", "language", "ngram_join", "pack", "quality", "token_counts", "url_filter", "warc"]
 
 
 def _loaded():
