@@ -62,8 +62,8 @@ def build_filter(rules: DataFrame, log2: int) -> DataFrame:
 
 def clean_rules(rules: DataFrame) -> DataFrame:
     """One row per (host, path); block wins where a rule is listed both ways.
-    Rules with a null in any column are ignored."""
-    return (rules.select(ascii_lower(F.col("host")).alias("host"), "path", "verdict").dropna()
+    Rules with a null in any column or without a host are ignored."""
+    return (rules.select(ascii_lower(F.col("host")).alias("host"), "path", "verdict").dropna().filter("host <> ''")
             .groupBy("host", "path").agg(F.max("verdict").alias("verdict")))
 
 
