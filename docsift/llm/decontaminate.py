@@ -46,10 +46,11 @@ def words_of(text: Column) -> Column:
     return F.transform(raw_words(text), lowered)
 
 
-def _keys(id_col: str, text_col: str) -> list[Column]:
-    """(doc, th): ``th`` tells texts apart that share an id; repeated rows
-    share both and get equal results."""
-    return [F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("th")]
+def document_key(id_col: str, text_col: str) -> Column:
+    """The index's document key: repeated rows share it and get equal results.
+    Two documents that collide only share candidates, which the comparison
+    with each text decides."""
+    return F.xxhash64(F.col(id_col), F.col(text_col)).alias("th")
 
 
 def windows_of(items: DataFrame, width: int = WINDOW) -> DataFrame:
@@ -71,11 +72,11 @@ def _sized(df: DataFrame, rows: int) -> DataFrame:
 
 def postings(docs: DataFrame, terms: DataFrame, n_terms: int,
              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The positional index: (term_id, doc, th, pos) of every occurrence of
+    """The positional index: (term_id, th, pos) of every occurrence of
     ``terms`` (term, term_id) in the whole texts. Positions count from 0."""
-    return (docs.select(*_keys(id_col, text_col), F.posexplode(raw_words(F.col(text_col))).alias("pos", "word"))
+    return (docs.select(document_key(id_col, text_col), F.posexplode(raw_words(F.col(text_col))).alias("pos", "word"))
             .withColumn("term", lowered(F.col("word")))
-            .join(_sized(terms.select("term", "term_id"), n_terms), "term").select("term_id", "doc", "th", "pos"))
+            .join(_sized(terms.select("term", "term_id"), n_terms), "term").select("term_id", "th", "pos"))
 
 
 def term_counts(docs: DataFrame, terms: DataFrame, n_terms: int,
@@ -99,41 +100,41 @@ def probe_plan(windows: DataFrame, counts: DataFrame, probes: int = PROBES) -> D
 
 
 def phrase_starts(index: DataFrame, plan: DataFrame, n_plan: int, probes: int = PROBES) -> DataFrame:
-    """(doc, th, start, win): starts confirmed by every probe list, rarest
+    """(th, start, win): starts confirmed by every probe list, rarest
     list first; each further list is met at its offset-adjusted position."""
     hint = lambda df: _sized(df, n_plan)
     first = plan.filter("rank = 1").select("term_id", "win", "off")
     found = (index.join(hint(first), "term_id")
-             .select("doc", "th", (F.col("pos") - F.col("off")).alias("start"), "win").filter("start >= 0"))
+             .select("th", (F.col("pos") - F.col("off")).alias("start"), "win").filter("start >= 0"))
     for rank in range(2, probes + 1):
         step = plan.filter(F.col("rank") == rank).select("win", "term_id", "off")
         listed = index.join(hint(step.select("term_id").distinct()), "term_id").withColumn("hit", F.lit(True))
         found = (found.join(hint(step), "win", "left")
                  .withColumn("pos", F.col("start") + F.col("off"))
-                 .join(listed, ["doc", "th", "term_id", "pos"], "left")
+                 .join(listed, ["th", "term_id", "pos"], "left")
                  .filter(F.col("hit") | F.col("off").isNull())  # a window may have fewer words than probes
-                 .select("doc", "th", "start", "win"))
+                 .select("th", "start", "win"))
     return found
 
 
 def proximity_matches(index: DataFrame, pairs: DataFrame, within: int) -> DataFrame:
-    """pairs (pair_id, a, b) of term ids -> (pair_id, doc, th, pos_a, pos_b): occurrences
+    """pairs (pair_id, a, b) of term ids -> (pair_id, th, pos_a, pos_b): occurrences
     of the two words at most ``within`` positions apart, in either order.
     Positions meet by buckets of ``within``, so that a long document's lists
     aren't paired with each other whole."""
     a = index.join(pairs.select("pair_id", F.col("a").alias("term_id"), "b"), "term_id")
-    a = a.select("pair_id", "doc", "th", F.col("pos").alias("pos_a"), F.col("b").alias("term_id"),
+    a = a.select("pair_id", "th", F.col("pos").alias("pos_a"), F.col("b").alias("term_id"),
                  F.explode(F.array(*[F.floor(F.col("pos") / within) + d for d in (-1, 0, 1)])).alias("bucket"))
-    b = index.select("doc", "th", "term_id", F.col("pos").alias("pos_b"),
+    b = index.select("th", "term_id", F.col("pos").alias("pos_b"),
                      F.floor(F.col("pos") / within).alias("bucket"))
-    return (a.join(b, ["doc", "th", "term_id", "bucket"])
+    return (a.join(b, ["th", "term_id", "bucket"])
             .filter((F.abs(F.col("pos_a") - F.col("pos_b")) <= within) & (F.col("pos_a") != F.col("pos_b")))
-            .select("pair_id", "doc", "th", "pos_a", "pos_b"))
+            .select("pair_id", "th", "pos_a", "pos_b"))
 
 
 def find_phrases(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
-    """(doc, th, start, win) that the index confirms, for stored ``windows``."""
+    """(th, start, win) that the index confirms, for stored ``windows``."""
     terms = stored(windows.select(F.explode("words").alias("term")).distinct(), "terms")
     n_terms = terms.count()
     counts = term_counts(docs, terms, n_terms, id_col, text_col)
@@ -158,12 +159,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WINDOW, id_col
     windows = stored(windows_of(items, width), "windows")
     starts = find_phrases(docs, windows, id_col, text_col)
     hits = (starts.join(windows.select("win", "phrase", "len", "item_ids"), "win")
-            .groupBy("doc", "th")
-            .agg(F.collect_list(F.struct("start", "len", "phrase", "item_ids")).alias("found"))
-            .withColumnsRenamed({"doc": "h_doc", "th": "h_th"}))
-    d = docs.select(*_keys(id_col, text_col), F.col(text_col).alias("text"))
-    d = (d.join(hits, d.doc.eqNullSafe(hits.h_doc) & (d.th == hits.h_th), "left")
-         .select("doc", "found", raw_words(F.col("text")).alias("words")))
+            .groupBy("th")
+            .agg(F.collect_list(F.struct("start", "len", "phrase", "item_ids")).alias("found")))
+    d = docs.select(F.col(id_col).alias("doc"), document_key(id_col, text_col), F.col(text_col).alias("text"))
+    d = (d.join(hits, "th", "left").select("doc", "found", raw_words(F.col("text")).alias("words")))
     none = F.array().cast("array<struct<start:int,len:int,phrase:string,item_ids:array<bigint>>>")
     exact = F.when(F.col("found").isNull(), none).otherwise(F.array_sort(F.filter(
         "found", lambda f: F.array_join(F.transform(F.slice("words", f["start"] + 1, f["len"]), lowered), " ")
