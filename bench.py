@@ -33,9 +33,9 @@ def timed(fn):
     return out, round(time.time() - t, 3)
 
 
-def run_all(df) -> int:
-    """Force full evaluation without sending rows to the driver."""
-    return df.count()
+def run_all(df) -> None:
+    """Evaluate every column of every row without sending any to the driver."""
+    df.write.format("noop").mode("overwrite").save()
 
 
 def main() -> None:
@@ -100,13 +100,9 @@ def main() -> None:
     from docsift.streaming import jobs as S
     _, q["stream_ingest"] = timed(lambda: S.stream_ingest(spark, sf))
 
-    # The IVF index over chunk vectors is the scale path (reads only probed
-    # lists); at this size the exact scan is faster, so it is reported
-    # beside the headline total rather than in it.
-    extra = {name: q.pop(name) for name in ("build_ivf_chunks", "semantic_search_ivf")}
     total = round(sum(q.values()), 3)
     print(json.dumps({
-        "metric": "total_sec", "value": total, "unit": "sec", "queries": q, "extra": extra,
+        "metric": "total_sec", "value": total, "unit": "sec", "queries": q,
         "sf": os.path.basename(sf.rstrip("/")),
         "chunks": n_chunks,
         "chunks_per_sec": round(n_chunks / max(q["build_chunk_table"], 1e-9), 1),

@@ -9,6 +9,7 @@ called on whole batches, never per row.
 
 from __future__ import annotations
 
+import time
 from typing import Callable, Iterator
 
 import numpy as np
@@ -35,13 +36,28 @@ def clean_model_output(c: Column, lead_in: str | None = None) -> Column:
 
 
 # --------------------------------------------------------- model wrappers
+def _with_retries(fn, retries: int, wait_s: float):
+    """``fn`` called again after a failure, waiting twice as long each time;
+    the last failure is raised."""
+    def call(*args):
+        for n in range(retries + 1):
+            try:
+                return fn(*args)
+            except Exception:
+                if n == retries:
+                    raise
+                time.sleep(wait_s * 2 ** n)
+    return call
+
+
 def text_model_udf(make_fn: Callable[[], Callable[[list[str]], list[str]]],
-                   batch_size: int = 64):
+                   batch_size: int = 64, retries: int = 2, wait_s: float = 1.0):
     """``make_fn()`` builds the model once per worker and returns a
-    callable list[str] -> list[str]."""
+    callable list[str] -> list[str]. A failed call is repeated ``retries``
+    times before it fails the task."""
     @F.pandas_udf(T.StringType())
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        fn = make_fn()
+        fn = _with_retries(make_fn(), retries, wait_s)
         for s in batches:
             out = []
             vals = s.tolist()
@@ -67,13 +83,17 @@ def embed_model_udf(make_fn: Callable[[], Callable[[list[str]], np.ndarray]],
 
 
 def rerank_model_udf(make_fn: Callable[[], Callable[[list[str], list[str]], np.ndarray]],
-                     batch_size: int = 32):
-    """``make_fn()`` returns a callable (queries, texts) -> scores."""
+                     batch_size: int = 32, max_words: int | None = None):
+    """``make_fn()`` returns a callable (queries, texts) -> scores.
+    ``max_words`` cuts texts to the model's length."""
+    def cut(text: str) -> str:
+        return text if max_words is None else " ".join(text.split()[:max_words])
+
     @F.pandas_udf(T.DoubleType())
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         fn = make_fn()
         for q, t in batches:
-            qs, ts = q.fillna("").tolist(), t.fillna("").tolist()
+            qs, ts = q.fillna("").tolist(), [cut(x) for x in t.fillna("")]
             out = []
             for i in range(0, len(qs), batch_size):
                 out.extend(np.asarray(fn(qs[i:i + batch_size], ts[i:i + batch_size]), dtype=float).tolist())
@@ -81,7 +101,15 @@ def rerank_model_udf(make_fn: Callable[[], Callable[[list[str], list[str]], np.n
     return run
 
 
-def model_summarizer(udf, lead_in: str | None = tx.SUMMARY_LEAD_IN):
+def model_rewriter(udf, lead_in: str | None = None):
+    """Adapts a U4 UDF to the rewriter contract (queries) -> queries with
+    ``text`` rewritten, its output cleaned with E3/E4."""
+    def rewrite(queries: DataFrame) -> DataFrame:
+        return queries.withColumn("text", clean_model_output(udf(F.col("text")), lead_in))
+    return rewrite
+
+
+def model_summarizer(udf, lead_in: str):
     """Adapts a U3 UDF to the summariser contract (df, keys, text_col) ->
     (keys..., summary), cleaning its output with E3/E4."""
     def summarize(df: DataFrame, keys: list, text_col: str) -> DataFrame:

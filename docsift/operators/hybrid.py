@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsift.functions.arrays import explode_rows, posexplode_rows
+from docsift.functions.arrays import explode_rows
 from docsift.functions import models as M
 from docsift.functions import text as tx
 from docsift.operators import lexical as lx
@@ -20,10 +20,8 @@ from docsift.operators import vectors as vx
 from docsift.operators.summarize import extractive_summary
 
 SEMANTIC_K = 10
-CHUNK_BLOCK_SHIFT = 16
-# pruned reads cost a small job each; below these counts there is nothing to prune
-PRUNE_MIN_BLOCKS = 4
-PRUNE_MIN_BUCKETS = 4
+CHUNK_BLOCK_SHIFT = 16   # at least so many id bits share a directory
+MAX_CHUNK_BLOCKS = 4096  # and more of them, so that directories stay few
 LEXICAL_K = 3
 LEXICAL_POOL = 5
 FINAL_K = 6
@@ -42,8 +40,9 @@ class SearchIndex:
     n_chunks: int = 0
     ivf: object = None       # optional vx.IvfIndex over the chunk vectors
     term_buckets: int = 0    # bucket count of the bm25 index partitions
-    chunk_blocks: DataFrame = None  # chunks + cb (chunk_id >> CHUNK_BLOCK_SHIFT), partitioned by cb
+    chunk_blocks: DataFrame = None  # chunks + cb (chunk_id >> block_shift), partitioned by cb
     idf_buckets: DataFrame = None   # idf + tb, partitioned by tb
+    block_shift: int = CHUNK_BLOCK_SHIFT
 
     @staticmethod
     def build(chunks: DataFrame, sources: DataFrame, embedder=None, materialize=None,
@@ -57,12 +56,14 @@ class SearchIndex:
         materialize = materialize or cut_lineage
         spark = chunks.sparkSession
         # the chunk table is stored once, partitioned by chunk-id block (ids
-        # are dense, so a block holds at most 2**CHUNK_BLOCK_SHIFT rows)
+        # are dense, so blocks are even, and at most MAX_CHUNK_BLOCKS)
+        top = chunks.agg(F.max("chunk_id")).first()[0] or 0
+        shift = max(CHUNK_BLOCK_SHIFT, (top // MAX_CHUNK_BLOCKS).bit_length())
         # the source name is joined in once here, so a search's text lookup
         # reads only the pruned blocks and never the document table
         blocks = store_partitioned(
             chunks.join(sources, "document_id", "left")
-            .withColumn("cb", F.shiftright("chunk_id", CHUNK_BLOCK_SHIFT)),
+            .withColumn("cb", F.shiftright("chunk_id", shift).cast("int")),
             "chunk-blocks", "cb", spread_col="chunk_id")
         chunks = blocks.select("chunk_id", "document_id", "pos", "kind", "text")
         psg = lx.passages(chunks)
@@ -82,24 +83,12 @@ class SearchIndex:
         n_tb = int(stats["term_buckets"])
         idf_b = store_partitioned(idf.withColumn("tb", lx.term_bucket(F.col("term"), n_tb)), "idf-buckets", "tb", spread_col="term")
         return SearchIndex(chunks, index, idf_b.drop("tb"), vectors, n, sources, int(stats["n_passages"]),
-                           ivf, n_tb, blocks, idf_b)
-
-    def n_blocks(self) -> int:
-        return (self.n_chunks >> CHUNK_BLOCK_SHIFT) + 1
-
-    def chunks_for(self, hits: DataFrame) -> DataFrame:
-        """The chunk rows of a (small, materialised) hit table: only the
-        chunk-id blocks that hold hits are read. The block list is bounded
-        by the hit count (queries x k)."""
-        if self.chunk_blocks is None:
-            return self.chunks
-        cbs = [r[0] for r in hits.select(F.shiftright("chunk_id", CHUNK_BLOCK_SHIFT)).distinct().collect()]
-        return self.chunk_blocks.filter(F.col("cb").isin(cbs)).drop("cb")
+                           ivf, n_tb, blocks, idf_b, shift)
 
     def idf_for(self, queries: DataFrame, text_col: str = "text") -> DataFrame:
         """The idf rows a query batch can need: only the term buckets of its
         words are read (at most ``term_buckets`` values)."""
-        if self.idf_buckets is None or self.term_buckets < PRUNE_MIN_BUCKETS:
+        if self.idf_buckets is None:
             return self.idf
         qt = queries.select(F.explode_outer(tx.bm25_tokens(F.col(text_col))).alias("term"))
         tbs = [r[0] for r in qt.filter(F.col("term").isNotNull())
@@ -119,26 +108,31 @@ def resolve_sources(hits: DataFrame, documents: DataFrame, manifest: DataFrame)
 
 
 def _attach(hits: DataFrame, idx: SearchIndex) -> DataFrame:
-    """Text and source of the hits; ``hits`` is materialised first (it is
-    small) so the block list and the join read it, not the search again."""
+    """Text and source of the hits. ``hits`` is written first (it is small)
+    and joined on block and id: Spark prunes the blocks without hits at run
+    time, and reads the search's result instead of searching again."""
     from docsift.session import cut_lineage
     if idx.chunk_blocks is None:
         c = idx.chunks.select("chunk_id", "document_id", "text")
         return hits.join(c, "chunk_id").join(idx.sources, "document_id", "left").drop("document_id")
-    if idx.n_blocks() < PRUNE_MIN_BLOCKS:
-        return hits.join(idx.chunk_blocks.select("chunk_id", "text", "source"), "chunk_id")
-    hits = cut_lineage(hits, "hits")
-    return hits.join(idx.chunks_for(hits).select("chunk_id", "text", "source"), "chunk_id")
+    # ids count from 1; the comparison lets Spark see that the hits are selective
+    hits = (cut_lineage(hits, "hits").filter("chunk_id > 0")
+            .withColumn("cb", F.shiftright("chunk_id", idx.block_shift).cast("int")))
+    return hits.join(idx.chunk_blocks.select("cb", "chunk_id", "text", "source"), ["cb", "chunk_id"]).drop("cb")
 
 
 # ------------------------------------------------------------------ G8, F6
 def semantic_hits(queries: DataFrame, idx: SearchIndex, k: int = SEMANTIC_K,
                   rewrite=M.default_rewrite, query_embedder=None, method: str = "exact",
-                  nprobe: int = 8, idf: DataFrame | None = None) -> DataFrame:
+                  nprobe: int = 8, idf: DataFrame | None = None,
+                  rewritten: DataFrame | None = None) -> DataFrame:
     """G8 ranking: rewrite -> embed -> top-k -> (query_id, rank, chunk_id,
     score); score is the squared L2 distance. ``method='ivf'`` searches the
-    index's IVF lists (approximate, reads only the probed lists)."""
-    rq = rewrite(queries.select("query_id", "text"))
+    index's IVF lists (approximate, reads only the probed lists). The
+    rewriter and the query embedder run once: their results are written
+    before anything reads them twice (``rewritten``: done by the caller)."""
+    from docsift.session import cut_lineage
+    rq = rewritten if rewritten is not None else cut_lineage(rewrite(queries.select("query_id", "text")), "rewritten")
     if query_embedder is None:
         idf = idx.idf_for(rq) if idf is None else idf
         qv = vx.embed_queries(lx.query_terms(rq), idf, idx.n_passages, vx.EMBED_DIM)
@@ -147,6 +141,7 @@ def semantic_hits(queries: DataFrame, idx: SearchIndex, k: int = SEMANTIC_K,
               .select("query_id", F.coalesce("vec", zero).alias("vec")))
     else:
         qv = rq.select("query_id", query_embedder(F.col("text")).alias("vec"))
+    qv = cut_lineage(qv, "query-vectors")
     if method == "ivf":
         hits = vx.ivf_query(qv, idx.ivf, k, nprobe)
     else:
@@ -259,10 +254,11 @@ def hybrid_search(queries: DataFrame, idx: SearchIndex, summarizer=None,
     from docsift.session import cut_lineage
     materialize = materialize or cut_lineage
     # this batch's slice of the idf table: words of the queries and of their rewrites
-    words = queries.select("query_id", "text").unionByName(rewrite(queries.select("query_id", "text")))
+    rewritten = materialize(rewrite(queries.select("query_id", "text")))
+    words = queries.select("query_id", "text").unionByName(rewritten.select("query_id", "text"))
     idf = materialize(idx.idf_for(words))
     sem = semantic_hits(queries, idx, SEMANTIC_K, rewrite, query_embedder=query_embedder,
-                        method=semantic_method, nprobe=nprobe, idf=idf)
+                        method=semantic_method, nprobe=nprobe, idf=idf, rewritten=rewritten)
     lex = bm25_hits(queries, idx, LEXICAL_K)
     hits = (sem.withColumn("origin", F.lit("semantic"))
             .unionByName(lex.withColumn("origin", F.lit("lexical"))))

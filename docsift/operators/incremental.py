@@ -27,11 +27,3 @@ def reconcile_flags(manifest: DataFrame, done: DataFrame) -> DataFrame:
     d = done.groupBy("doc_id").agg(F.sum("n_chunks").alias("_n"))
     return (manifest.join(d, "doc_id", "left")
             .withColumn("chunked", F.coalesce(F.col("_n"), F.lit(0)) > 0).drop("_n"))
-
-
-def done_outputs(chunk_counts: DataFrame) -> DataFrame:
-    """The fixture's earlier-run state: outputs exist for doc_id % 3 = 0, and
-    are empty (a failed run) for doc_id % 9 = 0. (doc_id, n_chunks)."""
-    return (chunk_counts.filter((F.col("doc_id") % 3) == 0)
-            .select("doc_id", F.when((F.col("doc_id") % 9) == 0, F.lit(0).cast("bigint"))
-                    .otherwise(F.col("n_chunks").cast("bigint")).alias("n_chunks")))

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsift.functions.arrays import explode_rows, posexplode_rows
+from docsift.functions.arrays import explode_rows
 from docsift.functions import text as tx
 from docsift.operators.broadcast import broadcast_if_small
 
@@ -107,19 +107,20 @@ def term_bucket(term, n_buckets: int):
     return F.pmod(F.xxhash64(term), F.lit(n_buckets)).cast("int")
 
 
-def write_index(weights: DataFrame, path: str, n_postings: int) -> tuple[DataFrame, int]:
+def write_index(weights: DataFrame, path: str, n_postings: int, dfs: DataFrame) -> tuple[DataFrame, int]:
     """Postings written partitioned by term bucket ``tb``; a search reads only
     the buckets of its words. Each bucket is split into files by a salt
-    sized from the bucket's row count (known from df), so a bucket holding
-    a third of all postings is still written by many tasks."""
+    sized from the bucket's row count (the sum of its terms' df), so a bucket
+    holding a third of all postings is still written by many tasks. Files
+    are sorted by term, so a pushed term filter skips row groups."""
     n_tb = int(max(1, min(MAX_TERM_BUCKETS, math.ceil(n_postings / POSTINGS_PER_BUCKET))))
     w = weights.withColumn("tb", term_bucket(F.col("term"), n_tb))
-    sizes = (w.groupBy("tb").agg(F.count(F.lit(1)).alias("n"))
+    sizes = (dfs.groupBy(term_bucket(F.col("term"), n_tb).alias("tb")).agg(F.sum("df").alias("n"))
              .select("tb", F.greatest(F.lit(1), F.ceil(F.col("n") / POSTINGS_PER_FILE)).cast("int").alias("n_salt")))
     w = (w.join(F.broadcast(sizes), "tb")  # n_tb rows: bounded by MAX_TERM_BUCKETS
          .withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.col("n_salt")).cast("int")).drop("n_salt"))
     from docsift.session import ROW_GROUP_BYTES
-    (w.repartition("tb", "salt").drop("salt").write.mode("overwrite")
+    (w.repartition("tb", "salt").drop("salt").sortWithinPartitions("tb", "term", "chunk_id").write.mode("overwrite")
      .option("parquet.block.size", ROW_GROUP_BYTES).partitionBy("tb").parquet(path))
     return weights.sparkSession.read.parquet(path), n_tb
 
@@ -146,7 +147,7 @@ def bm25_build(psg: DataFrame, materialize, path: str | None = None) -> tuple[Da
     # partition of a hot term (or broadcasts the df table when it is small)
     with_df = post.join(dfs, "term")
     index, n_tb = write_index(bm25_weights(with_df, n, avgdl, mean_idf),
-                              path or scratch_path(psg.sparkSession, "bm25"), n_post)
+                              path or scratch_path(psg.sparkSession, "bm25"), n_post, dfs)
     return index, idf, {"n_passages": n, "avgdl": avgdl, "mean_idf": mean_idf,
                         "n_postings": n_post, "term_buckets": n_tb}
 

@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.operators.broadcast import row_count_at_most
-
-MAX_BROADCAST_NEEDLES = 1_000
 GRAM = 3
 
 
@@ -37,29 +34,27 @@ def document_splits(names: DataFrame, manifest: DataFrame) -> DataFrame:
 
 def name_contains(names: DataFrame, needles: DataFrame) -> DataFrame:
     """Every (needle, document_name) where the name contains the needle
-    literally (no LIKE wildcards). A small needle table is broadcast into a
-    nested-loop join; a large one goes through an equi-join on the needle's
-    leading 3-gram against all 3-grams of the names, then the containment is
-    verified -- exact either way, no cartesian product."""
-    n = names.select("document_name")
+    literally (no LIKE wildcards). Names and needles meet on one gram (up to
+    three characters) of the needle, the one that fewest names have; the
+    containment is then verified. No size switch, no cartesian product; the
+    empty needle is in every name."""
+    n = names.select("document_name").filter(F.col("document_name").isNotNull())
     nd = needles.select("needle").filter(F.col("needle").isNotNull())
-    if row_count_at_most(nd, MAX_BROADCAST_NEEDLES) <= MAX_BROADCAST_NEEDLES:
-        return n.join(F.broadcast(nd), F.instr(F.col("document_name"), F.col("needle")) > 0)
-    short = nd.filter(F.length("needle") < GRAM)
-    long_ = nd.filter(F.length("needle") >= GRAM).withColumn("g", F.substring("needle", 1, GRAM))
-    grams = (n.select("document_name", F.explode(F.sequence(
-        F.lit(1), F.greatest(F.lit(1), F.length("document_name") - GRAM + 1))).alias("i"))
-        .select("document_name", F.substring("document_name", F.col("i"), GRAM).alias("g"))
-        .distinct())
-    hit_long = (grams.join(long_, "g").filter(F.instr(F.col("document_name"), F.col("needle")) > 0)
-                .select("document_name", "needle"))
-    ch = (n.select("document_name", F.explode(F.split("document_name", "")).alias("c")).distinct())
-    one = short.filter(F.length("needle") == 1).withColumnRenamed("needle", "c")
-    hit_one = ch.join(one, "c").select("document_name", F.col("c").alias("needle"))
-    two = short.filter(F.length("needle") == 2).withColumn("c", F.substring("needle", 1, 1))
-    hit_two = (ch.join(two, "c").filter(F.instr(F.col("document_name"), F.col("needle")) > 0)
-               .select("document_name", "needle"))
-    out = hit_long.unionByName(hit_one).unionByName(hit_two)
-    if row_count_at_most(short.filter(F.length("needle") == 0), 0) > 0:
-        out = out.unionByName(n.select("document_name", F.lit("").alias("needle")))
-    return out
+
+    def grams(text, size):
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1),
+                                            lambda i: F.substring(text, i, size)))
+
+    sizes = nd.filter("needle <> ''").select(F.least(F.length("needle"), F.lit(GRAM)).alias("size")).distinct()
+    of_names = (n.join(F.broadcast(sizes), F.length("document_name") >= F.col("size"))  # at most GRAM sizes
+                .select("document_name", F.explode(grams(F.col("document_name"), F.col("size"))).alias("g")))
+    common = of_names.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    rarest = (nd.filter("needle <> ''").distinct()
+              .select("needle", F.explode(grams(F.col("needle"), F.least(F.length("needle"), F.lit(GRAM)))).alias("g"))
+              .join(common, "g", "left")
+              .groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("r"))
+              .select("needle", F.col("r.g").alias("g")))
+    hits = (of_names.join(rarest, "g").filter(F.instr(F.col("document_name"), F.col("needle")) > 0)
+            .select("document_name", "needle"))
+    empty = nd.filter("needle = ''").limit(1)
+    return hits.unionByName(n.join(F.broadcast(empty), F.lit(True)).select("document_name", "needle"))

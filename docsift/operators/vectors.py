@@ -27,8 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docsift.functions.arrays import explode_rows, posexplode_rows
-from docsift.functions import text as tx
+from docsift.functions.arrays import explode_rows
 
 EMBED_DIM = 256
 DIST_DIGITS = 6
@@ -229,6 +228,11 @@ def _local_topk_rows(q: np.ndarray, qid: np.ndarray, b: np.ndarray, bid: np.ndar
         d[qid[:, None] == bid[None, :]] = np.inf
     dr = np.round(d, DIST_DIGITS)
     kk = min(k, d.shape[1])
+    if kk == 1 and not exclude_self:  # all queries at once; base rows by id, so ties go to the smaller
+        order = np.argsort(bid, kind="stable")
+        best = order[np.argmin(dr[:, order], axis=1)]
+        return pd.DataFrame({"query_id": qid.astype(np.int64), "id": bid[best].astype(np.int64),
+                             "dist": d[np.arange(len(d)), best]})
     kth = np.partition(dr, kk - 1, axis=1)[:, kk - 1]
     out_q, out_b, out_d = [], [], []
     for i in range(d.shape[0]):
@@ -332,7 +336,15 @@ def knn_exact(queries: DataFrame, base: DataFrame, k: int = 10, exclude_self: bo
     return _final_topk(_cogroup_topk(qk, bk, ["qb", "bb"], k, exclude_self), k)
 
 
-MAX_BROADCAST_BASE_ROWS = 1 << 20
+MAX_CENTROIDS = 1 << 14  # lists of an IVF index; their matrix is broadcast
+
+
+def _matrix(small: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, vectors) of a table of at most MAX_CENTROIDS rows."""
+    rows = small.select("id", "vec").limit(MAX_CENTROIDS + 1).collect()
+    if len(rows) > MAX_CENTROIDS:
+        raise ValueError(f"more than {MAX_CENTROIDS} centroids: train fewer lists")
+    return (np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.float64))
 
 
 def knn_small_base(queries: DataFrame, small: DataFrame, k: int) -> DataFrame:
@@ -340,16 +352,7 @@ def knn_small_base(queries: DataFrame, small: DataFrame, k: int) -> DataFrame:
     centroids: at most ``nlist`` rows). The base matrix is broadcast and the
     queries are scanned in place; each query's whole answer is computed in
     one task, so no shuffle and no global window are needed."""
-    spark = queries.sparkSession
-    first = small.select(F.size("vec")).first()
-    dim = max(1, first[0]) if first else 1
-    cap = min(MAX_BROADCAST_BASE_ROWS, MAX_BROADCAST_QUERY_FLOATS // dim)
-    rows = small.select("id", "vec").limit(cap + 1).collect()  # at most cap + 1 rows reach the driver
-    if len(rows) > cap:
-        return knn_exact(queries, small, k, method="blocks")
-    bid = np.array([r[0] for r in rows], dtype=np.int64)
-    bm = np.array([r[1] for r in rows], dtype=np.float64)
-    bb = spark.sparkContext.broadcast((bid, bm))
+    bb = queries.sparkSession.sparkContext.broadcast(_matrix(small))
 
     def fn(batches):
         ids, b = bb.value
@@ -376,6 +379,8 @@ def ivf_train(base: DataFrame, nlist: int = 100, seed: int = 7, max_iter: int =
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
     feats = base.select("id", array_to_vector(F.col("vec")).alias("features"))
+    if nlist > MAX_CENTROIDS:
+        raise ValueError(f"at most {MAX_CENTROIDS} lists")
     k = int(min(nlist, max(1, feats.count())))
     model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features").fit(feats)
     spark = base.sparkSession
@@ -387,11 +392,31 @@ def ivf_train(base: DataFrame, nlist: int = 100, seed: int = 7, max_iter: int =
 
 
 def ivf_assign(base: DataFrame, centroids: DataFrame) -> DataFrame:
-    """(id, vec, list_id) -- every vector to its nearest centroid (the
-    exact kernel with k=1 against the bounded centroid table)."""
-    cq = base.select(F.col("id").alias("query_id"), "vec")
-    near = knn_small_base(cq, centroids.select(F.col("list_id").alias("id"), "vec"), k=1)
-    return base.join(near.select(F.col("query_id").alias("id"), F.col("id").alias("list_id")), "id")
+    """(id, vec, list_id) -- every vector to its nearest centroid, in
+    place: the bounded centroid matrix is broadcast, the base isn't shuffled
+    or joined."""
+    bb = base.sparkSession.sparkContext.broadcast(_matrix(centroids.select(F.col("list_id").alias("id"), "vec")))
+
+    @F.pandas_udf("long")
+    def nearest(vec: pd.Series) -> pd.Series:
+        ids, b = bb.value
+        if not len(vec):
+            return pd.Series([], dtype="int64")
+        q = np.stack(vec.to_numpy()).astype(np.float64)
+        return _local_topk_sliced(q, np.arange(len(q)), b, ids, 1, False)["id"].reset_index(drop=True)
+
+    return base.select("id", "vec", nearest("vec").alias("list_id"))
+
+
+def _completed(res: DataFrame, queries: DataFrame, base: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    """Queries whose probes held fewer than ``k`` rows are answered exactly,
+    so every query has min(k, rows of the base) hits."""
+    from docsift.session import cut_lineage
+    approx = cut_lineage(res, "ann-approx")
+    full = approx.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
+    short = queries.join(full.select("query_id"), "query_id", "left_anti")
+    return (approx.join(full.select("query_id"), "query_id", "left_semi")
+            .unionByName(knn_exact(short, base, k, exclude_self)))
 
 
 def _salted(base_keyed: DataFrame, key: str, max_block: int) -> tuple[DataFrame, DataFrame]:
@@ -408,12 +433,15 @@ def ivf_search(queries: DataFrame, assigned: DataFrame, centroids: DataFrame, k:
                nprobe: int = 8, exclude_self: bool = False, max_block: int = B_BLOCK) -> DataFrame:
     """Probe the ``nprobe`` nearest lists, exact distances inside them."""
     probes = knn_small_base(queries, centroids.select(F.col("list_id").alias("id"), "vec"), k=nprobe)
+    from docsift.session import cut_lineage
+    assigned = cut_lineage(assigned, "ivf-assigned")  # read for the sizes, the lists and the short queries
     b, sizes = _salted(assigned, "list_id", max_block)
     qk = (queries.join(probes.select("query_id", F.col("id").alias("list_id")), "query_id")
           .join(sizes, "list_id")
           .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("n_salt") - 1))))
-    cand = _keyed_topk(qk, b, ["list_id", "salt"], k, exclude_self, 4 * _parallelism(queries.sparkSession))
-    return _final_topk(cand, k)
+    # one group per (list, salt): at most about max_block base rows, however large the base
+    cand = _cogroup_topk(qk, b, ["list_id", "salt"], k, exclude_self)
+    return _completed(_final_topk(cand, k), queries, assigned.select("id", "vec"), k, exclude_self)
 
 
 @dataclass
@@ -434,7 +462,8 @@ def ivf_build(base: DataFrame, path: str, nlist: int = 100, max_block: int = B_B
     cent, _ = ivf_train(base, nlist, max_iter=max_iter)
     cent.write.mode("overwrite").parquet(f"{path}/centroids")
     cent = spark.read.parquet(f"{path}/centroids")
-    assigned = ivf_assign(base, cent)
+    from docsift.session import cut_lineage
+    assigned = cut_lineage(ivf_assign(base, cent), "ivf-assigned")
     b, sizes = _salted(assigned, "list_id", max_block)
     sizes.write.mode("overwrite").parquet(f"{path}/sizes")
     n_dirs = int(min(max_dirs, max(1, nlist)))
@@ -454,8 +483,8 @@ def ivf_query(queries: DataFrame, ivf: IvfIndex, k: int = 10, nprobe: int = 8,
     lists = ivf.lists.filter(F.col("lb").isin(dirs))
     qk = (queries.join(probes, "query_id").join(ivf.sizes, "list_id")
           .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("n_salt") - 1))))
-    cand = _keyed_topk(qk, lists, ["list_id", "salt"], k, exclude_self, 4 * _parallelism(queries.sparkSession))
-    return _final_topk(cand, k)
+    cand = _cogroup_topk(qk, lists, ["list_id", "salt"], k, exclude_self)
+    return _completed(_final_topk(cand, k), queries, ivf.lists.select("id", "vec"), k, exclude_self)
 
 
 # ----------------------------------------------------------------- G5 LSH
@@ -493,16 +522,11 @@ def lsh_search(queries: DataFrame, base: DataFrame, k: int = 10, bucket_length:
              .agg(F.coalesce(F.sum("bn"), F.lit(0)).alias("evaluated")))
     qk = (qk0.join(sizes, "bucket")
           .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("n_salt") - 1))))
-    cand = _keyed_topk(qk, b, ["bucket", "salt"], k, exclude_self, 4 * _parallelism(queries.sparkSession))
+    # groups of about max_block rows, by the number of rows there are
+    groups = max(1, math.ceil(base.count() * tables / max_block))
+    cand = _keyed_topk(qk, b, ["bucket", "salt"], k, exclude_self, groups)
     cand = cand.groupBy("query_id", "id").agg(F.min("dist").alias("dist"))
-    # stored once: the completeness check, the fallback and the union all read it
-    from docsift.session import cut_lineage
-    approx = cut_lineage(_final_topk(cand, k), "lsh-approx")
-    full = approx.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
-    short = queries.join(full.select("query_id"), "query_id", "left_anti")
-    exact = knn_exact(short, base, k, exclude_self)
-    res = approx.join(full.select("query_id"), "query_id", "left_semi").unionByName(exact)
-    return res, stats
+    return _completed(_final_topk(cand, k), queries, base, k, exclude_self), stats
 
 
 def ann_recall(approx: DataFrame, exact: DataFrame, stats: DataFrame, n_base: int, k: int) -> DataFrame:

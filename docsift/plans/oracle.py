@@ -57,7 +57,7 @@ def bounds(pcs: str, m: int = tx.MAX_TOKENS) -> str:
 CHUNK_ARRAYS = f"""
 ca_p AS (SELECT doc_id, {pieces('text')} AS pcs FROM documents),
 ca_b AS (SELECT doc_id, pcs, {bounds('pcs')} AS b FROM ca_p),
-ca AS (SELECT doc_id, list_transform(b, lambda x: {{'n_tokens': x.n, 'text': array_to_string(
+ca AS MATERIALIZED (SELECT doc_id, list_transform(b, lambda x: {{'n_tokens': x.n, 'text': array_to_string(
           list_transform(pcs[x.s:x.s + x.c - 1], lambda p: p.t), {NL})}}) AS chunks FROM ca_b)
 """
 
@@ -103,7 +103,7 @@ ct_g AS (SELECT doc_id, off, g AS grp, array_to_string(list_transform(chunks[g *
            lambda c: c.text), '') AS text
          FROM (SELECT doc_id, off, chunks, unnest(range(0, len(chunks) // {G})) AS g FROM ct_off)),
 {summary_ctes('cs', 'ct_g', ['doc_id', 'grp', 'off'])},
-ct AS (
+ct AS MATERIALIZED (
   SELECT CAST(off + i + (i - 1) // {G} AS BIGINT) AS chunk_id, CAST(doc_id AS BIGINT) AS document_id,
          CAST(i + (i - 1) // {G} AS INTEGER) AS pos, 'chunk' AS kind, c.text AS text FROM ct_c
   UNION ALL
@@ -119,15 +119,15 @@ def with_(*ctes: str) -> str:
 # ------------------------------------------------------------------ BM25
 BM25 = """
 psg AS (SELECT chunk_id, trim(text) AS text FROM ct),
-ptok AS (SELECT chunk_id, {tok} AS toks FROM psg),
-post AS (SELECT chunk_id, term, count(*) AS tf, any_value(dl) AS dl
+ptok AS MATERIALIZED (SELECT chunk_id, {tok} AS toks FROM psg),
+post AS MATERIALIZED (SELECT chunk_id, term, count(*) AS tf, any_value(dl) AS dl
          FROM (SELECT chunk_id, len(toks) AS dl, unnest(toks) AS term FROM ptok) GROUP BY chunk_id, term),
 stats AS (SELECT count(*) AS n, sum(len(toks)) / count(*) AS avgdl FROM ptok),
-dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
-rawidf AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, stats),
+dfs AS MATERIALIZED (SELECT term, count(*) AS df FROM post GROUP BY term),
+rawidf AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, stats),
 meanidf AS (SELECT avg(raw) AS m FROM rawidf),
 idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * m ELSE raw END AS idf FROM rawidf, meanidf),
-bidx AS (SELECT p.term, p.chunk_id, p.tf, i.df,
+bidx AS MATERIALIZED (SELECT p.term, p.chunk_id, p.tf, i.df,
                 i.idf * p.tf * 2.5 / (p.tf + 1.5 * (0.25 + 0.75 * p.dl / s.avgdl)) AS w
          FROM post p JOIN idf i USING (term), stats s)
 """.format(tok=tokens("text"))

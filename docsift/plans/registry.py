@@ -23,11 +23,14 @@ from docsift.plans import oracle as O
 from docsift.session import scratch_path
 from docsift.sources import files as A
 from docsift.sources import tables as TB
-from docsift.sources.fixtures import comma_names, manifest_seed, table
+from docsift.sources.fixtures import comma_names, done_outputs, manifest_seed, table
 
 QUERIES: dict = {}
 SQL: dict = {}
 
+# what the fixture's summary model begins its answers with (E4 takes it away)
+LEAD_IN = "The main points of this text are:"
+
 
 def register(key: str, sql: str | None = None):
     def deco(fn):
@@ -303,11 +306,24 @@ def q_convert_pages(spark, sf):
     return C.convert_pages(table(spark, sf, "pages"))
 
 
-@register("conversion_failures", _w(SQL_ITEMS) + """ SELECT page_id, url, CASE WHEN html IS NULL OR trim(html) = ''
-  THEN 'empty input' ELSE 'no text' END AS reason FROM pages
+SQL_BROKEN_PAGES = """bp AS (SELECT page_id, url, CASE WHEN page_id % 7 = 0 THEN '  ' WHEN page_id % 7 = 1 THEN NULL
+  WHEN page_id % 7 = 2 THEN '<html><body><div></div></body></html>' ELSE html END AS html FROM pages)"""
+
+
+def broken_pages(spark, sf) -> DataFrame:
+    """The given pages, some without input or text, as a crawl has them."""
+    k = F.col("page_id") % 7
+    html = (F.when(k == 0, F.lit("  ")).when(k == 1, F.lit(None).cast("string"))
+            .when(k == 2, F.lit("<html><body><div></div></body></html>")).otherwise(F.col("html")))
+    return table(spark, sf, "pages").select("page_id", "url", html.alias("html"))
+
+
+@register("conversion_failures", _w(SQL_BROKEN_PAGES, SQL_ITEMS.replace("FROM pages", "FROM bp"))
+          + """ SELECT page_id, url, CASE WHEN html IS NULL OR trim(html) = ''
+  THEN 'empty input' ELSE 'no text' END AS reason FROM bp
   WHERE page_id NOT IN (SELECT page_id FROM it WHERE label = 'paragraph')""")
 def q_conversion_failures(spark, sf):
-    return C.conversion_failures(table(spark, sf, "pages"))
+    return C.conversion_failures(broken_pages(spark, sf))
 
 
 @register("enrich_chunks", _w(SQL_ITEMS) + """ SELECT page_id, item_no, heading, text, concat_ws(chr(10), heading, text) AS enriched
@@ -368,7 +384,7 @@ def q_document_table(spark, sf):
 # ======================================================= D: incremental
 def _done(spark, sf):
     counts = C.chunk_documents(docs(spark, sf)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"))
-    return D.done_outputs(counts)
+    return done_outputs(counts)
 
 
 @register("skip_processed", _w(O.CHUNKS, SQL_COUNTS, SQL_DONE, SQL_MANIFEST) + """ SELECT doc_id, document_name FROM mf
@@ -378,10 +394,11 @@ def q_skip_processed(spark, sf):
 
 
 @register("mark_chunked", _w(O.CHUNKS, SQL_COUNTS, SQL_DONE, SQL_MANIFEST) + """ SELECT mf.doc_id, mf.document_name,
-  coalesce(dn.n_chunks, 0) > 0 AS chunked FROM mf LEFT JOIN dn USING (doc_id)""")
+  mf.doc_id % 5 = 0 OR coalesce(dn.n_chunks, 0) > 0 AS chunked FROM mf LEFT JOIN dn USING (doc_id)""")
 def q_mark_chunked(spark, sf):
-    fresh = manifest(spark, sf).select("doc_id", "document_name", F.lit(False).alias("chunked"))
-    return D.mark_chunked(fresh, _done(spark, sf))
+    # flags set before, among them some without an output: they stay set
+    before = manifest(spark, sf).select("doc_id", "document_name", (F.col("doc_id") % 5 == 0).alias("chunked"))
+    return D.mark_chunked(before, _done(spark, sf))
 
 
 @register("reconcile_flags", _w(O.CHUNKS, SQL_COUNTS, SQL_DONE, SQL_MANIFEST) + """ SELECT mf.doc_id, mf.document_name,
@@ -412,12 +429,12 @@ def q_first_quoted(spark, sf):
     return model_output(spark, sf).select("conv_id", "turn", tx.first_quoted(F.col("raw")).alias("answer"))
 
 
-@register("strip_boilerplate", f"""SELECT conv_id, turn, replace(CASE WHEN turn % 3 = 0 THEN {O._q(tx.SUMMARY_LEAD_IN)} || ' ' || text
-  ELSE text END, {O._q(tx.SUMMARY_LEAD_IN)}, '') AS text FROM conversations""")
+@register("strip_boilerplate", f"""SELECT conv_id, turn, replace(CASE WHEN turn % 3 = 0 THEN {O._q(LEAD_IN)} || ' ' || text
+  ELSE text END, {O._q(LEAD_IN)}, '') AS text FROM conversations""")
 def q_strip_boilerplate(spark, sf):
     c = table(spark, sf, "conversations")
-    raw = F.when(F.col("turn") % 3 == 0, F.concat(F.lit(tx.SUMMARY_LEAD_IN + " "), F.col("text"))).otherwise(F.col("text"))
-    return c.select("conv_id", "turn", tx.strip_boilerplate(raw, tx.SUMMARY_LEAD_IN).alias("text"))
+    raw = F.when(F.col("turn") % 3 == 0, F.concat(F.lit(LEAD_IN + " "), F.col("text"))).otherwise(F.col("text"))
+    return c.select("conv_id", "turn", tx.strip_boilerplate(raw, LEAD_IN).alias("text"))
 
 
 @register("flatten_newlines", "SELECT conv_id, turn, replace(text, chr(10), ' ') AS text FROM conversations")
@@ -500,6 +517,13 @@ def q_knn_exact(spark, sf):
     return V.knn_exact(e.select(F.col("id").alias("query_id"), "vec"), e, k=10, exclude_self=True)
 
 
+@register("knn_exact_blocks", SQL_KNN_GRAPH)
+def q_knn_exact_blocks(spark, sf):
+    """The path for query sets of any size: both sides in blocks."""
+    e = _emb(spark, sf)
+    return V.knn_exact(e.select(F.col("id").alias("query_id"), "vec"), e, k=10, exclude_self=True, method="blocks")
+
+
 def _ivf(spark, sf):
     e = _emb(spark, sf)
     cent, _ = V.ivf_train(e, nlist=100)
@@ -542,6 +566,10 @@ SQL_SEMANTIC = _w(*IDX, O.CORPUS_VECTORS, O.SEMANTIC, O.SOURCES)
 def q_valid_hits(spark, sf):
     idx = search_index(spark, sf)
     s = H.semantic_search(bench_queries(spark, sf), idx).select("query_id", "rank", F.col("chunk_id").alias("id"))
+    # a padded hit and one on a chunk that is gone, as an index file may return them
+    q = bench_queries(spark, sf).select("query_id")
+    s = (s.unionByName(q.select("query_id", F.lit(11).alias("rank"), F.lit(-1).cast("long").alias("id")))
+         .unionByName(q.select("query_id", F.lit(12).alias("rank"), F.lit(idx.n_chunks + 1000).cast("long").alias("id"))))
     return V.valid_hits(s, idx.chunks).withColumnRenamed("id", "chunk_id")
 
 
@@ -635,7 +663,9 @@ def q_stream_ingest(spark, sf):
 
 @register("stream_dedupe", "SELECT doc_id, lang, source, n_chars FROM documents")
 def q_stream_dedupe(spark, sf):
-    out = S.stream_dedupe(spark, sf)
+    # every document file is delivered twice, in batches of their own
+    twice = S.document_stream(spark, sf).unionByName(S.document_stream(spark, sf))
+    out = S.stream_dedupe(twice)
     return spark.read.parquet(out).select("doc_id", "lang", "source", "n_chars")
 
 

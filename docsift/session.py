@@ -40,6 +40,7 @@ def get_session(cores: int | str = "*", shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -53,6 +54,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="docsift-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", current)
@@ -73,9 +76,20 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared checkpoint folder for written tables."""
-    base = checkpoint_dir(spark)
-    return os.path.join(base, f"{name}-{os.urandom(6).hex()}")
+    """A fresh path for written tables, in this application's own folder under
+    the shared checkpoint folder (``clear_scratch`` removes it)."""
+    return f"{_own_scratch(spark)}/{name}-{os.urandom(6).hex()}"
+
+
+def _own_scratch(spark: SparkSession) -> str:
+    return os.path.join(checkpoint_dir(spark), f"docsift-{spark.sparkContext.applicationId}")
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all that this application wrote under the checkpoint folder.
+    Call it when no DataFrame that reads those tables is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_scratch(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def store_partitioned(df: DataFrame, name: str, part_col: str, spread_col: str | None = None,

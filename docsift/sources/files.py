@@ -9,6 +9,7 @@ count at scale).
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,12 +69,13 @@ def write_chunk_lines(chunks: DataFrame, path: str, n_files: int | None = None)
     rows.write.mode("overwrite").json(f"{path}/kind=chunk")
 
 
-def append_summary_lines(summaries: DataFrame, path: str) -> None:
+def append_summary_lines(summaries: DataFrame, path: str, batch: int = 0) -> None:
     """A5: summary rows appended beside the chunk rows under kind=summary,
-    so a re-read never mistakes a summary for a chunk."""
+    so a re-read never mistakes a summary for a chunk. Each ``batch`` has
+    its own folder, so running it again replaces its rows."""
     (summaries.select("text", F.col("document_id").cast("bigint"), F.col("chunk_id").cast("bigint").alias("id"),
                       F.col("chunk_id").cast("bigint").alias("embedding"))
-     .write.mode("append").json(f"{path}/kind=summary"))
+     .write.mode("overwrite").json(f"{path}/kind=summary/batch={batch}"))
 
 
 def read_chunk_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -91,6 +93,8 @@ def read_chunk_lines(spark: SparkSession, path: str) -> DataFrame:
                 .option("columnNameOfCorruptRecord", "_bad").json(f"{path}/kind=summary")
                 .select("document_id", F.col("id").alias("chunk_id"), F.lit("summary").alias("kind"),
                         "text", "_bad", F.col("_metadata.file_path").alias("file")))
-    except Exception:  # no summaries appended yet
-        return chunks
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return chunks  # no summaries appended yet
     return chunks.unionByName(summ)

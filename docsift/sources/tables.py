@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,7 +91,9 @@ def load_index(spark: SparkSession, path: str, names: list[str], chunks: DataFra
     it is absent or stale (the caller rebuilds)."""
     try:
         stored = spark.read.parquet(f"{path}/_fingerprint").first()
-    except Exception:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     now = fingerprint(chunks).first()
     if stored is None or tuple(stored) != tuple(now):

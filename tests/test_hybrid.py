@@ -1,5 +1,7 @@
 from pyspark.sql import functions as F
 
+import pandas as pd
+
 from docsift.operators import hybrid as H
 
 
@@ -54,14 +56,31 @@ def test_rerank_scores_are_coverage(spark):
     assert got[1] == 1.0 and got[2] == 0.0 and 0 < got[3] < 1
 
 
-def test_pruned_and_unpruned_reads_agree(spark, monkeypatch):
+def test_reads_from_one_and_many_blocks_agree(spark, monkeypatch):
     idx = _index(spark, PASSAGES)
     q = spark.createDataFrame([(1, "fence height"), (2, "permits")], "query_id long, text string")
     plain = sorted(tuple(r) for r in H.hybrid_search(q, idx).collect())
-    monkeypatch.setattr(H, "PRUNE_MIN_BLOCKS", 0)
-    monkeypatch.setattr(H, "PRUNE_MIN_BUCKETS", 0)
     monkeypatch.setattr(H, "CHUNK_BLOCK_SHIFT", 2)  # several blocks for 14 chunks
     idx2 = _index(spark, PASSAGES)
-    assert idx2.n_blocks() > 1
-    pruned = sorted(tuple(r) for r in H.hybrid_search(q, idx2).collect())
-    assert pruned == plain
+    assert idx2.chunk_blocks.select("cb").distinct().count() > 1
+    assert sorted(tuple(r) for r in H.hybrid_search(q, idx2).collect()) == plain
+
+
+def test_a_rewriter_and_an_embedder_run_once(spark):
+    """A rewriter that answers differently each time: what is embedded is
+    what the word slice was cut for, and each query is rewritten once."""
+    import random
+    from pyspark.sql import functions as F
+    calls = spark.sparkContext.accumulator(0)
+    words = "fence height gate permits pool safety noise rules".split()
+
+    @F.pandas_udf("string")
+    def sampled(s: "pd.Series") -> "pd.Series":
+        calls.add(len(s))
+        return s.map(lambda _: " ".join(random.sample(words, 2)))
+
+    idx = _index(spark, PASSAGES)
+    q = spark.createDataFrame([(1, "fence height"), (2, "permits")], "query_id long, text string")
+    out = H.hybrid_search(q, idx, rewrite=lambda d: d.withColumn("text", sampled("text")), with_summary=False).collect()
+    assert calls.value == 2
+    assert {r.query_id for r in out} == {1, 2}

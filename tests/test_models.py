@@ -44,7 +44,7 @@ def test_pluggable_models_in_hybrid_search(spark):
     idx = H.SearchIndex.build(ct, src, embedder=emb)
     q = spark.createDataFrame([(1, "fence rules"), (2, "permits for parking")], "query_id long, text string")
     out = H.hybrid_search(q, idx, query_embedder=emb, reranker=M.rerank_model_udf(make_reranker),
-                          summarizer=M.model_summarizer(M.text_model_udf(make_summarizer)))
+                          summarizer=M.model_summarizer(M.text_model_udf(make_summarizer), "Sure:"))
     rows = out.collect()
     top1 = [r for r in rows if r.query_id == 1 and r.rank == 1][0]
     assert top1.text == "fence height rules"  # shares two words with the query
@@ -60,3 +60,25 @@ def test_model_rewrite_cleans_output(spark):
     q = spark.createDataFrame([(1, "fence rules")], "query_id long, text string")
     got = q.select(M.clean_model_output(udf(F.col("text"))).alias("t")).first().t
     assert got == "FENCE RULES"
+
+
+def test_a_failing_model_call_is_repeated(spark):
+    def make_model():
+        state = {"calls": 0}
+
+        def call(texts):
+            state["calls"] += 1
+            if state["calls"] % 2:
+                raise RuntimeError("busy")
+            return [t + "!" for t in texts]
+        return call
+
+    q = spark.createDataFrame([(1, "fence rules")], "query_id long, text string")
+    rewrite = M.model_rewriter(M.text_model_udf(make_model, wait_s=0.0))
+    assert rewrite(q).first().text == "fence rules!"
+
+
+def test_reranked_texts_are_cut_to_the_model_length(spark):
+    udf = M.rerank_model_udf(lambda: lambda qs, ts: [float(len(t.split())) for t in ts], max_words=3)
+    df = spark.createDataFrame([("q", "one two three four five"), ("q", None)], "q string, t string")
+    assert [r.s for r in df.select(udf("q", "t").alias("s")).collect()] == [3.0, 0.0]

@@ -20,10 +20,27 @@ def test_stream_ingest_equals_batch_and_rerun_adds_nothing(spark):
 
 
 def test_stream_dedupe(spark):
-    out = S.stream_dedupe(spark, SF_SMALL)
+    """Three deliveries of four files, and a restart that finds more."""
+    docs = table(spark, SF_SMALL, "documents")
+    folder, out, ckpt = (scratch_path(spark, n) for n in ("s2-in", "s2-out", "s2-ckpt"))
+
+    def deliver(df, name):
+        df.coalesce(1).write.parquet(f"{folder}/{name}/documents.parquet")
+
+    deliver(docs.filter("doc_id % 2 = 0"), "a")
+    deliver(docs.filter("doc_id % 3 = 0"), "b")
+    deliver(docs.filter("doc_id % 2 = 0"), "c")
+
+    def stream():
+        return (spark.readStream.schema(S.DOC_SCHEMA).option("maxFilesPerTrigger", 1)
+                .option("recursiveFileLookup", "true").parquet(folder))
+
+    S.stream_dedupe(stream(), out, ckpt)
+    deliver(docs, "d")
+    S.stream_dedupe(stream(), out, ckpt)
     got = spark.read.parquet(out)
-    assert got.count() == table(spark, SF_SMALL, "documents").count()
-    assert got.select("doc_id").distinct().count() == got.count()
+    assert got.select("batch").distinct().count() >= 3
+    assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in docs.collect())
 
 
 def test_entry_and_registry(spark):
