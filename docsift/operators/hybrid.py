@@ -85,6 +85,43 @@ class SearchIndex:
         return SearchIndex(chunks, index, idf_b.drop("tb"), vectors, n, sources, int(stats["n_passages"]),
                            ivf, n_tb, blocks, idf_b, shift)
 
+    def save(self, path: str) -> None:
+        """A10: every part under ``path``, the row of numbers last, so that a
+        half-written index is not taken for one."""
+        spark = self.chunks.sparkSession
+        self.chunk_blocks.write.mode("overwrite").partitionBy("cb").parquet(f"{path}/chunks")
+        by_term = ["tb"] if "tb" in self.bm25.columns else []
+        self.bm25.write.mode("overwrite").partitionBy(*by_term).parquet(f"{path}/bm25")
+        self.idf_buckets.write.mode("overwrite").partitionBy("tb").parquet(f"{path}/idf")
+        self.vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+        self.sources.write.mode("overwrite").parquet(f"{path}/sources")
+        if self.ivf is not None:
+            self.ivf.centroids.write.mode("overwrite").parquet(f"{path}/ivf/centroids")
+            self.ivf.sizes.write.mode("overwrite").parquet(f"{path}/ivf/sizes")
+            self.ivf.lists.write.mode("overwrite").partitionBy("lb").parquet(f"{path}/ivf/lists")
+        dirs = self.ivf.n_dirs if self.ivf is not None else 0
+        spark.createDataFrame([(self.n_chunks, self.term_buckets, self.block_shift, dirs)],
+                              "n_chunks long, term_buckets int, block_shift int, ivf_dirs int"
+                              ).write.mode("overwrite").parquet(f"{path}/numbers")
+
+    @staticmethod
+    def load(spark, path: str) -> "SearchIndex | None":
+        """The index saved under ``path``; None where there is none."""
+        from pyspark.errors import AnalysisException
+        read = spark.read.parquet
+        try:
+            n = read(f"{path}/numbers").first()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+        blocks, idf = read(f"{path}/chunks"), read(f"{path}/idf")
+        ivf = (vx.IvfIndex(read(f"{path}/ivf/centroids"), read(f"{path}/ivf/lists"), read(f"{path}/ivf/sizes"), n["ivf_dirs"])
+               if n["ivf_dirs"] else None)
+        return SearchIndex(blocks.select("chunk_id", "document_id", "pos", "kind", "text"), read(f"{path}/bm25"),
+                           idf.drop("tb"), read(f"{path}/vectors"), F.lit(float(n["n_chunks"])), read(f"{path}/sources"),
+                           n["n_chunks"], ivf, n["term_buckets"], blocks, idf, n["block_shift"])
+
     def idf_for(self, queries: DataFrame, text_col: str = "text") -> DataFrame:
         """The idf rows a query batch can need: only the term buckets of its
         words are read (at most ``term_buckets`` values)."""

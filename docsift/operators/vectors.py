@@ -391,6 +391,12 @@ def ivf_train(base: DataFrame, nlist: int = 100, seed: int = 7, max_iter: int =
     return cent, model
 
 
+def seeded_centroids(base: DataFrame, every: int) -> DataFrame:
+    """(list_id, vec): every ``every``-th vector by id as a list's centre -- no
+    training, the same on every run. At most MAX_CENTROIDS of them."""
+    return base.filter(F.col("id") % every == 0).select(F.col("id").alias("list_id"), "vec")
+
+
 def ivf_assign(base: DataFrame, centroids: DataFrame) -> DataFrame:
     """(id, vec, list_id) -- every vector to its nearest centroid, in
     place: the bounded centroid matrix is broadcast, the base isn't shuffled

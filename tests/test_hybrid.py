@@ -84,3 +84,14 @@ def test_a_rewriter_and_an_embedder_run_once(spark):
     out = H.hybrid_search(q, idx, rewrite=lambda d: d.withColumn("text", sampled("text")), with_summary=False).collect()
     assert calls.value == 2
     assert {r.query_id for r in out} == {1, 2}
+
+
+def test_a_saved_index_answers_as_the_built_one(spark):
+    from docsift.session import scratch_path
+    idx = _index(spark, PASSAGES)
+    path = scratch_path(spark, "saved")
+    assert H.SearchIndex.load(spark, path) is None
+    idx.save(path)
+    q = spark.createDataFrame([(1, "fence height"), (2, "permits")], "query_id long, text string")
+    got = sorted(tuple(r) for r in H.hybrid_search(q, H.SearchIndex.load(spark, path)).collect())
+    assert got == sorted(tuple(r) for r in H.hybrid_search(q, idx).collect())
