@@ -4,20 +4,22 @@ Documents whose sets of word 5-grams are equal form a class, and one set per
 class takes part. Sets link when 100 * |intersection| >= 80 * |union|.
 
 1. A set's prefix (its first |x| - ceil(0.8 |x|) + 1 shingles in one global
-   order) must meet the prefix of every set it links with. The order puts
-   shingles that are frequent anywhere last, so lists stay short; any order
-   is right, so the frequent shingles need no exact counts.
+   order) must meet the prefix of every set it links with, and in as many
+   shingles as ``least_lists`` says. The order puts shingles that are frequent
+   anywhere last, so lists stay short; any order is right, so the frequent
+   shingles need no exact counts.
 2. Index lists hold a prefix shingle's sets in blocks of sizes, and of one head
    each (below). Size and position bounds skip whole blocks: what two sets
    can still share from their positions on must reach what a link needs.
-3. Answers are derived between similar sets. Stars: every set of a list block is compared
-   with that block's first set (its head, if they link), never with every other
-   set of the block. For x linked with head l, |x - l| and |l - x| are known; for
-   any y of head m, |x & y| lies between |l & m| - |l - x| - |m - y| and
-   |l & m| + |x - l| + |y - m|. One comparison of two heads so decides most
-   pairs of their sets; only what the bounds leave open is compared itself.
-4. Pairs inside one connected component need no answer, since what is asked
-   for is reachability: rounds of stars first join most of it.
+3. Stars: every set of a list block meets that block's first set, never every
+   other set of the block. A set's head is the star centre it meets most; sets
+   meet across heads only where their heads' blocks share enough lists.
+4. Answers are derived between similar sets. For x of head l, |x - l| and |l - x|
+   are computed once; for any y of head m, |x & y| lies between
+   |l & m| - |l - x| - |m - y| and |l & m| + |x - l| + |y - m|. One comparison
+   of two heads so decides most pairs of their sets; only what the bounds
+   leave open is compared itself. Pairs that are connected already, need no
+   answer, since what is asked for is reachability.
 
 Nothing is capped: a pair is left out only if a bound excludes it or its two
 sets are connected already. Shingles and classes are 64-bit hashes of words
@@ -41,9 +43,9 @@ from docsift.llm.components import components
 
 WORDS = 5
 #: A shingle that this many different sets of a batch hold is reported as frequent there.
-BATCH_FREQUENT = 4
-#: The frequent shingles that the global order puts last: at most so many are broadcast (16 bytes each).
-MAX_FREQUENT = 500_000
+BATCH_FREQUENT = 2
+#: The frequent shingles that the global order puts last: at most so many are broadcast (12 bytes each).
+MAX_FREQUENT = 400_000
 STARS = 2
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -111,17 +113,29 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                                 "n": n[many], "shingle": shingles[many]})
 
     seen = stored(_texts(docs, id_col, text_col).mapInPandas(run, "doc long, node long, n long, shingle long"), "classes")
-    frequent = (seen.filter("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n"))
-                .orderBy(F.desc("n"), "shingle").limit(MAX_FREQUENT))
+    counts = stored(seen.filter("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n")), "frequent")
+    # The most frequent, down to the step of counts at which they would be too many; the steps are
+    # fewer than a thousand.
+    steps = counts.groupBy(F.floor(16 * F.log("n")).cast("int").alias("step")).agg(F.count("*").alias("k")).collect()
+    total, least = 0, 1 << 30
+    for r in sorted(steps, key=lambda r: -r["step"]):
+        total += r["k"]
+        if total > MAX_FREQUENT:
+            break
+        least = r["step"]
+    frequent = counts.filter(F.floor(16 * F.log("n")) >= least)
     return seen.filter("shingle is null").select("doc", "node", "n"), frequent
 
 
 def prefix_entries(docs: DataFrame, frequent: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The index: (shingle, node, n, pos) of each class's prefix, pos from 0."""
-    rows = frequent.orderBy("n", "shingle").toPandas()  # at most MAX_FREQUENT rows
-    keys = rows["shingle"].to_numpy(np.int64)
+    rows = frequent.toArrow()  # at most MAX_FREQUENT rows of 16 bytes
+    keys, counts = (rows.column(c).to_numpy() for c in ("shingle", "n"))
     place = np.argsort(keys, kind="stable")
-    shared = docs.sparkSession.sparkContext.broadcast((keys[place], place))
+    rank = np.empty(len(keys), dtype=np.int32)
+    rank[np.lexsort((keys, counts))] = np.arange(len(keys))  # rarer ones first
+    shared = docs.sparkSession.sparkContext.broadcast((keys[place], rank[place]))
+    del rows, keys, counts
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, rank = shared.value
@@ -160,15 +174,19 @@ def linked(n1: str, n2: str, shared: str):
     return f"180 * ({shared}) >= 80 * ({n1} + {n2})"
 
 
-def could_link(a: str, b: str) -> str:
-    """Size and position bound for two entries (or blocks: least n and pos): what both
-    can share from the positions on, this shingle included, reaches a link."""
-    return (f"180 * least({a}_n - {a}_pos, {b}_n - {b}_pos) >= 80 * ({a}_n + {b}_n) "
-            f"and 100 * least({a}_n, {b}_n) >= 80 * greatest({a}_n, {b}_n)")
+def sizes_link(n1: str, n2: str) -> str:
+    return f"100 * least({n1}, {n2}) >= 80 * greatest({n1}, {n2})"
+
+
+def least_lists(n1: str, n2: str, most: str) -> str:
+    """How many prefix shingles linked sets share at least: all but
+    |x| - |x & y| of the shingles of the prefix that ends first, and it lies in
+    the other's prefix. For blocks: least sizes, and the ``most`` of both."""
+    return f"1 - (4 * {most} + 4) div 5 + (4 * ({n1} + {n2}) + 8) div 9"
 
 
 def shared_counts(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (u, v, ...) of nodes, with ``shared`` = |u & v| from the whole sets."""
+    """pairs (u, v, ...) of nodes, with u_n, v_n and ``shared`` = |u & v| from the whole sets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             left, right = b.column("u_set"), b.column("v_set")
@@ -181,17 +199,20 @@ def shared_counts(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     x, y = y, x
                 n[i] = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x) if len(x) else 0
             kept = [k for k in b.schema.names if k not in ("u_set", "v_set")]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), pa.array(n)], [*kept, "shared"])
+            sizes = [pa.array(np.diff(o).astype(np.int64)) for o in (lo, ro)]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), *sizes, pa.array(n)],
+                                             [*kept, "u_n", "v_n", "shared"])
 
     u = sets.select(F.col("node").alias("u"), F.col("set").alias("u_set"))
     v = sets.select(F.col("node").alias("v"), F.col("set").alias("v_set"))
     full = pairs.join(u, "u").join(v, "v")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in full.schema if not f.name.endswith("_set"))
-    return full.mapInArrow(run, schema + ", shared long")
+    return full.mapInArrow(run, schema + ", u_n long, v_n long, shared long")
 
 
 def set_table(docs: DataFrame, members: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, set) of the given nodes, from one document of each class."""
+    """(node, set) of the given nodes, from one document of each class. The
+    texts meet the ids in one shuffle; repeated rows are dropped where it puts them."""
     one = (members.filter("doc is not null").join(nodes, "node").groupBy("node").agg(F.min("doc").alias("doc")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -201,24 +222,75 @@ def set_table(docs: DataFrame, members: DataFrame, nodes: DataFrame, id_col: str
             # An id may be on several texts; only the class's own one counts.
             yield out[[_node(s) == k for s, k in zip(sets, b["node"])]]
 
-    return stored(_texts(docs, id_col, text_col).join(one, "doc").select("node", "text")
-                  .mapInPandas(run, "node long, set array<bigint>").dropDuplicates(["node"]), "sets")
+    rows = (_texts(docs, id_col, text_col).join(one, "doc")
+            .dropDuplicates(["doc", "node", "text"]).select("node", "text").mapInPandas(run, "node long, set array<bigint>"))
+    return stored(rows, "sets")
 
 
 def star_pairs(entries: DataFrame, round_no: int) -> DataFrame:
-    """(u, v): each entry with the first set of its block of its list, and of the
-    block of the next smaller sizes; pairs of one component, and those that
-    bounds exclude, are left out. Sets of most copies and links come first
-    (``weight``), as others tend to derive from them; else an order that each round changes."""
+    """(u, v, lists): each set with the first sets of the blocks of its lists and of
+    the blocks of the next smaller sizes, where they share enough lists. Sets of
+    most copies and star pairs come first (``weight``), as others tend to derive
+    from them; else an order that each round changes."""
     e = entries.withColumn("h", F.xxhash64("node", F.lit(round_no)))
-    first = (e.groupBy("shingle", "block")
-             .agg(F.max(F.struct("weight", "h", "node", "n", "pos", "comp")).alias("f"))
-             .select("shingle", "block", F.col("f.node").alias("u"), F.col("f.n").alias("u_n"),
-                     F.col("f.pos").alias("u_pos"), F.col("f.comp").alias("u_comp")))
-    mine = e.select("shingle", F.explode(F.array("block", F.col("block") - 1)).alias("block"),
-                    F.col("node").alias("v"), F.col("n").alias("v_n"), F.col("pos").alias("v_pos"), "comp")
-    return (mine.join(first, ["shingle", "block"]).filter("u <> v and u_comp <> comp").filter(could_link("u", "v"))
-            .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    first = (e.groupBy("shingle", "block").agg(F.max(F.struct("weight", "h", "node", "n")).alias("f"))
+             .select("shingle", "block", F.col("f.node").alias("c"), F.col("f.n").alias("c_n")))
+    mine = e.select("shingle", F.explode(F.array("block", F.col("block") - 1)).alias("block"), "node", "n")
+    return (mine.join(first, ["shingle", "block"]).filter("c <> node").filter(sizes_link("c_n", "n"))
+            .groupBy(F.least("c", "node").alias("u"), F.greatest("c", "node").alias("v"),
+                     (F.col("c_n") + F.col("n")).alias("both"), F.greatest("c_n", "n").alias("most"))
+            .agg(F.count("*").alias("lists"))
+            .filter(f"lists >= {least_lists('both', '0', 'most')}").select("u", "v", "lists"))
+
+
+def followed_heads(stars: DataFrame) -> DataFrame:
+    """(node, head): the star centre of most pairs that a set meets, if it
+    has more than the set itself. A head that would follow another stands for itself."""
+    both = stars.select("u", "v", "lists").union(stars.select("v", "u", "lists"))
+    degree = both.groupBy("u").agg(F.count("*").alias("degree"))
+    nearest = stored(both.join(degree.toDF("v", "degree"), "v").groupBy(F.col("u").alias("node"))
+                     .agg(F.max(F.struct("degree", "lists", "v")).alias("b"))
+                     .join(degree.toDF("node", "own"), "node")
+                     .filter(F.struct("b.degree", "b.v") > F.struct("own", "node"))
+                     .select("node", F.col("b.v").alias("head")), "nearest")
+    return stored(nearest.join(nearest.select(F.col("node").alias("head")), "head", "left_anti"), "heads")
+
+
+def head_pairs(entries: DataFrame, heads: DataFrame) -> DataFrame:
+    """(u, v): heads of which some sets could link, by the blocks of their lists."""
+    blocks = (entries.join(heads, "node", "left").withColumn("head", F.coalesce("head", "node"))
+              .groupBy("shingle", "block", "head")
+              .agg(F.min("n").alias("n"), F.max("n").alias("most"), F.min("pos").alias("pos")))
+    cols = ("head", "n", "most", "pos")
+    a = blocks.select("shingle", F.explode(F.array("block", F.col("block") - 1)).alias("block"), F.col("block").alias("a_block"),
+                      *[F.col(c).alias(f"a_{c}") for c in cols])
+    b = blocks.select("shingle", "block", *[F.col(c).alias(f"b_{c}") for c in cols])
+    met = (a.join(b, ["shingle", "block"])
+           .filter("a_head <> b_head and (a_block > block or a_head < b_head)")
+           .filter("100 * a_most >= 80 * b_n and 100 * b_most >= 80 * a_n")
+           .groupBy("a_head", "b_head", "a_block", "block")
+           .agg(F.count("*").alias("lists"), F.min("a_n").alias("a_n"), F.min("b_n").alias("b_n"),
+                F.max(F.greatest("a_most", "b_most")).alias("most"),
+                F.max(F.expr("180 * least(a_most - a_pos, b_most - b_pos) - 80 * (a_n + b_n)")).alias("reach")))
+    return (met.filter(f"reach >= 0 and lists >= {least_lists('a_n', 'b_n', 'most')}")
+            .select(F.least("a_head", "b_head").alias("u"), F.greatest("a_head", "b_head").alias("v")).distinct())
+
+
+def open_pairs(answers: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(u, v, sure) of sets in different components that the answers of their
+    heads (u, v, shared) leave possible. nodes: (node, head, n, plus, minus, comp)."""
+    span = nodes.groupBy("head").agg(F.max("plus").alias("plus"), F.min("n").alias("n"))
+    wide = (answers.join(span.toDF("u", "u_plus", "u_n"), "u").join(span.toDF("v", "v_plus", "v_n"), "v")
+            .filter(linked("u_n", "v_n", "shared + u_plus + v_plus")))
+    a = nodes.select(*[F.col(c).alias(f"a_{c}") for c in nodes.columns])
+    b = nodes.select(*[F.col(c).alias(f"b_{c}") for c in nodes.columns])
+    half = (wide.select("u", "v", "shared", "v_plus", "v_n").join(a, F.col("u") == F.col("a_head"))
+            .filter(linked("a_n", "v_n", "shared + a_plus + v_plus")).drop("v_plus", "v_n"))
+    return (half.join(b, F.col("v") == F.col("b_head"))
+            .filter("a_comp <> b_comp").filter(sizes_link("a_n", "b_n"))
+            .filter(linked("a_n", "b_n", "shared + a_plus + b_plus"))
+            .select(F.least("a_node", "b_node").alias("u"), F.greatest("a_node", "b_node").alias("v"),
+                    F.expr(linked("a_n", "b_n", "shared - a_minus - b_minus")).alias("sure")).distinct())
 
 
 def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -233,89 +305,50 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                .withColumns({"prev": F.lag("node").over(lists), "next": F.lead("node").over(lists)})
                .filter("prev is not null or next is not null").drop("prev", "next"))
     entries = stored(entries, "entries")
-    sizes = members.select("node", "n").distinct()
-    sets = set_table(docs, members, entries.select("node").distinct(), id_col, text_col)
-    with_n = lambda p: (p.join(sizes.toDF("u", "u_n"), "u").join(sizes.toDF("v", "v_n"), "v"))
-
-    comps = entries.select("node", F.col("node").alias("comp")).limit(0)
-    copies = members.groupBy("node").agg(F.count("*").alias("weight"))
-    weights = stored(copies.filter("weight > 1"), "weights")
-    compared = links = None
+
+    copies = members.groupBy("node").agg(F.count("*").alias("weight")).filter("weight > 1")
+    weights, met = stored(copies, "weights"), None
     for k in range(stars):
-        now = (entries.join(comps, "node", "left").join(weights, "node", "left")
-               .withColumns({"comp": F.coalesce("comp", "node"), "weight": F.coalesce("weight", F.lit(1))}))
-        pairs = star_pairs(now, k)
-        if compared is not None:
-            pairs = pairs.join(compared.select("u", "v"), ["u", "v"], "left_anti")
-        found = stored(shared_counts(with_n(pairs), sets), "compared")
-        new = found.filter(linked("u_n", "v_n", "shared"))
-        compared = found if compared is None else compared.unionByName(found)
-        if new.isEmpty():
-            break
-        links = new if links is None else links.unionByName(new)
-        comps = components(links)
-        ends = links.select(F.col("u").alias("node")).union(links.select("v")).withColumn("weight", F.lit(1))
-        weights = stored(copies.filter("weight > 1").union(ends).groupBy("node").agg(F.sum("weight").alias("weight")),
-                         "weights")
-    if links is None:
-        links = compared.limit(0)
-
-    # Heads: the linked star partner that shares most; a head stands for itself.
-    both = links.select("u", "v", "u_n", "v_n", "shared").union(links.select("v", "u", "v_n", "u_n", "shared"))
-    degree = both.groupBy("u").agg(F.count("*").alias("degree"))
-    nearest = (both.join(degree.toDF("v", "degree"), "v").groupBy(F.col("u").alias("node"))
-               .agg(F.max(F.struct("degree", "shared", "v", "v_n", "u_n")).alias("b"))
-               .join(degree.toDF("node", "own"), "node")
-               .filter(F.struct("b.degree", "b.v") > F.struct("own", "node"))
-               .select("node", F.col("b.v").alias("head"), (F.col("b.u_n") - F.col("b.shared")).alias("plus"),
-                       (F.col("b.v_n") - F.col("b.shared")).alias("minus")))
-    nearest = stored(nearest, "nearest")
-    inner = nearest.select(F.col("node").alias("head")).distinct()  # heads that follow another head stand for themselves
-    heads = stored(nearest.join(inner, "head", "left_anti"), "heads")
-    now = stored(entries.join(comps, "node", "left").join(heads, "node", "left")
-                 .select("shingle", "node", "n", "pos", "block", F.coalesce("comp", "node").alias("comp"),
-                         F.coalesce("head", "node").alias("head"), F.coalesce("plus", F.lit(0)).alias("plus"),
-                         F.coalesce("minus", F.lit(0)).alias("minus")), "headed")
-
-    # Lists of one component ask for nothing more.
-    mixed = now.groupBy("shingle").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b")
-    now = stored(now.join(mixed.select("shingle"), "shingle", "left_semi"), "mixed")
-    blocks = (now.groupBy("shingle", "block", "head", "comp")
-              .agg(F.min("n").alias("n"), F.max("n").alias("most"), F.min("pos").alias("pos"), F.max("plus").alias("plus")))
-    # Blocks of two heads whose sets could link by size and position.
-    a = blocks.select("shingle", F.explode(F.array("block", F.col("block") - 1)).alias("block"), F.col("block").alias("a_block"),
-                      *[F.col(c).alias(f"a_{c}") for c in ("head", "comp", "n", "most", "pos", "plus")])
-    b = blocks.select("shingle", "block", *[F.col(c).alias(f"b_{c}") for c in ("head", "comp", "n", "most", "pos", "plus")])
-    near = (a.join(b, ["shingle", "block"])
-            .filter("a_comp <> b_comp and (a_block > block or a_head < b_head)")
-            .filter("180 * least(a_most - a_pos, b_most - b_pos) >= 80 * (a_n + b_n)"
-                    " and 100 * a_most >= 80 * b_n and 100 * b_most >= 80 * a_n"))
-    head_pairs = (near.select(F.least("a_head", "b_head").alias("u"), F.greatest("a_head", "b_head").alias("v"),
-                              (F.col("a_plus") + F.col("b_plus")).alias("plus"), (F.col("a_n") + F.col("b_n")).alias("n"))
-                  .groupBy("u", "v").agg(F.max("plus").alias("plus"), F.min("n").alias("n")))
-    known = compared.select("u", "v", "shared").dropDuplicates(["u", "v"])
-    of_heads = head_pairs.join(known, ["u", "v"], "left")
-    told = stored(of_heads, "head_pairs")
-    fresh = shared_counts(told.filter("shared is null").drop("shared"), sets)
-    answers = stored(told.filter("shared is not null").unionByName(fresh).filter("180 * (shared + plus) >= 80 * n"),
-                     "head_answers")
-
-    # Sets of two heads: decided by the bounds, or compared.
-    l = now.select("shingle", F.col("head").alias("a_head"), F.col("node").alias("a"), F.col("block").alias("a_block"),  # noqa: E741
-                   *[F.col(c).alias(f"a_{c}") for c in ("n", "pos", "comp", "plus", "minus")])
-    r = now.select("shingle", F.col("head").alias("b_head"), F.col("node").alias("b"), F.col("block").alias("b_block"),
-                   *[F.col(c).alias(f"b_{c}") for c in ("n", "pos", "comp", "plus", "minus")])
-    open_pairs = (l.join(answers.select(F.col("u").alias("a_head"), F.col("v").alias("b_head"), "shared"), "a_head")
-                  .join(r, ["shingle", "b_head"])
-                  .filter("a_comp <> b_comp").filter(could_link("a", "b"))
-                  .filter(linked("a_n", "b_n", "shared + a_plus + b_plus"))
-                  .withColumn("sure", F.expr(linked("a_n", "b_n", "shared - a_minus - b_minus")))
-                  .select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), "sure").distinct())
-    open_pairs = stored(open_pairs, "open_pairs")
-    checked = shared_counts(with_n(open_pairs.filter("not sure")), sets).filter(linked("u_n", "v_n", "shared"))
-    late = stored(open_pairs.filter("sure").select("u", "v").union(checked.select("u", "v")), "late_links")
+        weighed = entries.join(weights, "node", "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
+        found = stored(star_pairs(weighed, k), "stars")
+        met = found if met is None else met.unionByName(found)
+        ends = met.select(F.col("u").alias("node")).union(met.select("v")).withColumn("weight", F.lit(1))
+        weights = stored(copies.union(ends).groupBy("node").agg(F.sum("weight").alias("weight")), "weights")
+    met = met.groupBy("u", "v").agg(F.max("lists").alias("lists"))
+    heads = followed_heads(met)
+    across = stored(head_pairs(entries, heads), "head_pairs")
+
+    pairs = stored(met.select("u", "v").union(across).distinct(), "pairs")
+    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    sets = set_table(docs, members, nodes, id_col, text_col)
+    compared = stored(shared_counts(pairs, sets), "compared")
+    # Sets that don't link with their head stand for themselves, and meet what they could link with.
+    # Their former head's blocks held theirs, so all the sets needed are there.
+    link = linked("u_n", "v_n", "shared")
+    ends = compared.filter(link).select("u", "v")
+    heads = stored(heads.join(ends.union(ends.select("v", "u")).toDF("node", "head"), ["node", "head"], "left_semi"), "heads")
+    across = stored(head_pairs(entries, heads), "head_pairs")
+    fresh = across.join(compared.select("u", "v"), ["u", "v"], "left_anti")
+    compared = compared.unionByName(stored(shared_counts(fresh, sets), "compared"))
+    links = compared.filter(link).select("u", "v")
+    comps = components(links)
+
+    # What a set has more and less than its head; a head's own row has neither.
+    known = compared.select("u", "v", "u_n", "v_n", "shared").union(compared.select("v", "u", "v_n", "u_n", "shared"))
+    near = known.toDF("node", "head", "n", "head_n", "shared").join(heads.select("node", "head"), ["node", "head"])
+    alone = (known.select(F.col("u").alias("node"), F.col("u_n").alias("n")).distinct()
+             .join(heads.select("node"), "node", "left_anti"))
+    info = (near.select("node", "head", "n", (F.col("n") - F.col("shared")).alias("plus"),
+                        (F.col("head_n") - F.col("shared")).alias("minus"))
+            .union(alone.select("node", F.col("node").alias("head"), "n", F.lit(0).cast("long"), F.lit(0).cast("long"))))
+    info = stored(info.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "followers")
+    answers = across.join(compared, ["u", "v"]).select("u", "v", "shared")
+    possible = stored(open_pairs(answers, info), "open_pairs")
+    checked = (shared_counts(possible.filter("not sure").select("u", "v").join(compared.select("u", "v"), ["u", "v"], "left_anti"), sets)
+               .filter(linked("u_n", "v_n", "shared")))
+    late = stored(possible.filter("sure").select("u", "v").union(checked.select("u", "v")), "late_links")
     if not late.isEmpty():
-        comps = components(links.select("u", "v").union(late))
+        comps = components(links.union(late))
     return members, comps
 
 
