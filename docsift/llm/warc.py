@@ -59,48 +59,54 @@ def record_id(key: object, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{key}/{digest}')}>"
 
 
-def warc_record(key: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One record, headers and all. A revisit has no body and names the
-    response by id; both carry the digest and length of the full payload."""
+def warc_record(key: int | None, url: str | None, payload: bytes | int, digest: str, refers_to: int | None) -> bytes:
+    """One record, headers and all. A revisit has no body (its ``payload`` is the
+    length alone) and names the response by id; both carry the digest and length of
+    the full payload."""
     b32 = base64.b32encode(bytes.fromhex(digest)).decode()
-    body = b"" if refers_to is not None else payload
+    body = payload if refers_to is None else b""
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
             f"WARC-Record-ID: {record_id(key, digest)}", f"WARC-Date: {DATE}",
             f"WARC-Target-URI: {safe_uri(url)}", f"WARC-Payload-Digest: sha1:{b32}",
-            f"X-Payload-Length: {len(payload)}"]
+            f"X-Payload-Length: {len(payload) if refers_to is None else payload}"]
     if key is not None:
         head.append(f"X-Key: {key}")
     if refers_to is not None:
         head += [f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Key: {refers_to}",
                  "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     else:
-        block = base64.b32encode(hashlib.sha1(body).digest()).decode()
-        head += ["Content-Type: text/html; charset=utf-8", f"WARC-Block-Digest: sha1:{block}"]
+        head += ["Content-Type: text/html; charset=utf-8", f"WARC-Block-Digest: sha1:{b32}"]
     head.append(f"Content-Length: {len(body)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
-def with_revisits(pages: DataFrame, key: str, url: str, html: str, least: int = MIN_REVISIT) -> DataFrame:
-    """(key, url, html, digest, refers_to) of every row: refers_to is the
-    largest key among rows of an equal payload of at least ``least`` bytes where that
-    isn't the row's own. Rows that share the largest key are all responses,
-    and so are those whose key is null."""
+def member(key, url: str | None, payload: bytes | int, digest: str, refers_to: int | None = None) -> bytes:
+    """A record as one gzip member, the same bytes every time."""
+    return gzip.compress(warc_record(None if pd.isna(key) else int(key), url, payload, digest, refers_to), 6, mtime=0)
+
+
+def with_digests(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
+    """(key, url, html, digest, n_bytes, h) of every row; null html is empty."""
     rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"),
                         F.coalesce(F.col(html), F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    top = (rows.filter(F.octet_length("html") >= least).groupBy("digest")
-           .agg(F.max("key").alias("top"), F.count("*").alias("n")).filter("n > 1").drop("n"))
-    return (rows.join(top, "digest", "left")
-            .withColumn("refers_to", F.when(F.col("key") < F.col("top"), F.col("top"))).drop("top"))
+    return rows.withColumns({"digest": F.sha1(F.col("html").cast("binary")),
+                             "n_bytes": F.octet_length("html").cast("long"), "h": F.xxhash64("url", "html")})
+
+
+def revisited(records: DataFrame, least: int = MIN_REVISIT) -> DataFrame:
+    """(digest, top): the largest key of each payload of at least ``least``
+    bytes that several records have. Rows below it revisit it; rows that share it
+    are all responses, and so are those whose key is null."""
+    return (records.filter(F.col("n_bytes") >= least).groupBy("digest")
+            .agg(F.max("key").alias("top"), F.count("*").alias("n")).filter("n > 1").drop("n"))
 
 
 def write_archive(records: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES,
-                  file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Write (key, url, html, digest, refers_to) under ``folder``; returns the
+                  file_bytes: int = FILE_BYTES, least: int = MIN_REVISIT) -> DataFrame:
+    """Write records (``with_digests``) under ``folder``; returns the
     committed manifest, a row for each file. An empty table gives an archive without files."""
     spark = records.sparkSession
-    records = records.withColumn("h", F.xxhash64("url", "html"))
-    total = records.agg(F.coalesce(F.sum(F.octet_length("html") + 512), F.lit(0)).alias("n")).first()["n"]
+    total = records.agg(F.coalesce(F.sum(F.col("n_bytes") + 512), F.lit(0)).alias("n")).first()["n"]
     shards = max(1, -(-total // shard_bytes))
     # The rows of smallest hash, whatever the partitioning: a bounded, repeatable sample.
     picked = (records.select("key", "h").orderBy(F.xxhash64("key", "h"), "h", "key")
@@ -115,6 +121,19 @@ def write_archive(records: DataFrame, folder: str, shard_bytes: int = SHARD_BYTE
         return pd.Series([bisect.bisect_right(borders, order(None if pd.isna(k) else int(k), x))
                           for k, x in zip(key.astype("Int64"), h)], dtype="int32")
 
+    def responses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["member"] = [member(key, url, html.encode(), digest) for key, url, html, digest
+                           in zip(b["key"].astype("Int64"), b["url"], b["html"], b["digest"])]
+            yield b.drop(columns="html").astype({"key": "Int64"})
+
+    def revisits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keys, tops = b["key"].astype("Int64"), b["top"].astype("Int64")
+            b["member"] = [made if pd.isna(to) or pd.isna(key) or key >= to else member(key, url, n, digest, int(to))
+                           for key, to, url, n, digest, made in zip(keys, tops, b["url"], b["n_bytes"], b["digest"], b["member"])]
+            yield b[["shard", "key", "h", "member"]].astype({"key": "Int64"})
+
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, root = file_system(folder)
         system.create_dir(f"{root}/{temp}", recursive=True)
@@ -129,27 +148,29 @@ def write_archive(records: DataFrame, folder: str, shard_bytes: int = SHARD_BYTE
                 done.append((shard, nth, name, f"part-{shard:06d}-{nth:04d}.warc.gz", count, size, sha.hexdigest()))
 
         for b in batches:
-            for s, key, url, html, digest, to in zip(b["shard"], b["key"].astype("Int64"), b["url"], b["html"], b["digest"],
-                                                     b["refers_to"].astype("Int64")):
+            for s, made in zip(b["shard"], b["member"]):
                 if out is None or s != shard or size >= file_bytes:
                     close()
                     nth = nth + 1 if s == shard and out is not None else 0
                     shard, count, size, sha = s, 0, 0, hashlib.sha1()
                     name = f"{temp}/{shard:06d}-{nth:04d}-{uuid.uuid4().hex}"
                     out = system.open_output_stream(f"{root}/{name}", compression=None)
-                member = gzip.compress(warc_record(None if pd.isna(key) else int(key), url, html.encode(), digest,
-                                                   None if pd.isna(to) else int(to)), 6, mtime=0)
-                out.write(member)
-                sha.update(member)
-                size += len(member)
+                out.write(made)
+                sha.update(made)
+                size += len(made)
                 count += 1
         close()
         yield pd.DataFrame(done, columns=[c.split()[0] for c in MANIFEST.split(", ")])
 
-    ranged = (records.withColumn("shard", shard_of("key", "h")).repartition(min(shards, 4096), "shard")
-              .sortWithinPartitions("shard", F.col("key").asc_nulls_first(), "h", "url"))
-    attempt = stored(ranged.select("shard", "key", "url", "html", "digest", "refers_to").mapInPandas(write, MANIFEST),
-                     "warc-attempt")
+    # Records are compressed before they move, so both shuffles carry what the files will hold.
+    columns = "shard int, key long, h long, url string, digest string, n_bytes long, member binary"
+    packed = (records.withColumn("shard", shard_of("key", "h"))
+              .select("shard", "key", "h", "url", "digest", "n_bytes", "html").mapInPandas(responses, columns)
+              .join(revisited(records, least), "digest", "left")
+              .mapInPandas(revisits, "shard int, key long, h long, member binary"))
+    ranged = (packed.repartition(min(shards, 4096), "shard")
+              .sortWithinPartitions("shard", F.col("key").asc_nulls_first(), "h", "member"))
+    attempt = stored(ranged.select("shard", "member").mapInPandas(write, MANIFEST), "warc-attempt")
 
     def rename(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -253,7 +274,7 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "warc")
-    write_archive(with_revisits(table(spark, sf_dir, "pages"), "page_id", "url", "html"), folder,
+    write_archive(with_digests(table(spark, sf_dir, "pages"), "page_id", "url", "html"), folder,
                   shard_bytes=8 << 20, file_bytes=4 << 20)
     return read_archive(spark, folder).select(
         F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")

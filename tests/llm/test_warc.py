@@ -9,7 +9,7 @@ SCHEMA = "page_id long, url string, html string, key string, digest string"
 def archive(spark, pages, **kw):
     df = spark.createDataFrame([(*p, "x", "y") for p in pages], SCHEMA)
     folder = scratch_path(spark, "warc-test")
-    manifest = warc.write_archive(warc.with_revisits(df, "page_id", "url", "html"), folder, **kw)
+    manifest = warc.write_archive(warc.with_digests(df, "page_id", "url", "html"), folder, **kw)
     return folder, manifest
 
 
