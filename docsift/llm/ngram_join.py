@@ -57,7 +57,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_sets(texts: list[str | None], width: int = WORDS) -> list[np.ndarray]:
+def shingle_sets(texts: list[str | None], width: int = WORDS, step: int = 256) -> list[np.ndarray]:
+    """``_sets`` of ``step`` texts at a time, so that a task never holds the words of a whole batch."""
+    return [s for i in range(0, len(texts), step) for s in _sets(texts[i:i + step], width)]
+
+
+def _sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes (int64) of each whole text: A-Z are
     lower-cased, words end at ASCII white space; a text of fewer words has its whole
     sequence as the one shingle; no words, an empty set."""
