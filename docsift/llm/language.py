@@ -2,7 +2,7 @@
 character n-grams.
 
 A word (a run of letters, lower-cased) that the model knows counts with its
-log frequency in each language. Any other word counts with its longest known
+smoothed log frequency in each language, or a floor common to all languages. Any other word counts with its longest known
 n-grams: those of ``LONGEST`` characters (word borders marked), failing that of
 one character fewer, and so on. A text's language has the largest mean over
 its words; the score is its share under a softmax of evidence that grows with
@@ -32,6 +32,7 @@ WORDS = 20_000
 GRAMS = 20_000
 LONGEST = 5
 MIN_WORD = 3
+SMOOTHING = 0.5
 MEMO_WORDS = 400_000
 UNDETERMINED = "und"
 _RUN = re.compile(r"[^\W\d_]+")
@@ -99,20 +100,26 @@ class Scorer:
         return model.langs[best], float(p[best] / p.sum())
 
 
-def _log_table(counts: DataFrame, key: str, keep: int, langs: list[str]) -> dict[str, np.ndarray]:
+def _log_table(counts: DataFrame, key: str, keep: int, langs: list[str], least: int = 1) -> dict[str, np.ndarray]:
     """counts (lang, key, n) -> key to log frequencies by language, of each
-    language's ``keep`` most frequent keys. The driver gets at most
-    ``keep`` rows for each language and language pair."""
-    top = (counts.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), key)))
+    language's ``keep`` most frequent keys that it has ``least`` times. Totals
+    and frequencies are those of all ``counts``. What a language has not seen
+    gets one floor, the same for all: that of the largest one, under every
+    frequency. The driver gets at most ``keep`` rows for each language
+    and language pair."""
+    top = (counts.filter(F.col("n") >= least)
+           .withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), key)))
            .filter(F.col("k") <= keep).select(key).distinct())
     rows = counts.join(top, key).select("lang", key, "n").collect()
     totals = {r["lang"]: r["t"] for r in counts.groupBy("lang").agg(F.sum("n").alias("t")).collect()}
+    spread = SMOOTHING * len({r[key] for r in rows})
+    floor = math.log(SMOOTHING / (max(totals.values(), default=0) + spread)) if rows else 0.0
+    unseen = np.full(len(langs), floor, dtype="float32")
     out: dict[str, np.ndarray] = {}
     place = {x: i for i, x in enumerate(langs)}
-    unseen = np.array([math.log(0.5 / totals[x]) if x in totals else 0.0 for x in langs], dtype="float32")
     for r in rows:
         v = out.setdefault(r[key], unseen.copy())
-        v[place[r["lang"]]] = math.log(r["n"] / totals[r["lang"]])
+        v[place[r["lang"]]] = math.log((r["n"] + SMOOTHING) / (totals[r["lang"]] + spread))
     return out
 
 
@@ -136,7 +143,7 @@ def learn(docs: DataFrame, rows_per_language: int = TRAIN_DOCS) -> BackoffModel:
         by = (counts.filter(F.length(marked) >= n).select("lang", g.alias("gram"), "n")
               .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
         grams[n] = _log_table(by, "gram", GRAMS, langs)
-    words = _log_table(counts.filter(F.col("n") >= MIN_WORD), "word", WORDS, langs)
+    words = _log_table(counts, "word", WORDS, langs, MIN_WORD)
     return BackoffModel(langs, words, grams)
 
 

@@ -87,3 +87,19 @@ def test_language_cases(spark):
     by = {(r.doc_id, r.lang_pred) for r in language.identify(docs, model, ["doc_id"]).collect()}
     assert by == {(1, "und"), (2, "und"), (3, "und"), (4, "en"), (None, "en"), (7, "und")}
     assert language.identify(docs.limit(0), model, ["doc_id"]).count() == 0
+
+
+def test_a_language_of_one_short_document(spark):
+    import random
+    rnd = random.Random(3)
+    vocab = {x: [f"{x}{a}{b}{c}" for a in "aeiou" for b in "bdfgklmnrst" for c in "aeiou"] for x in ("q", "w")}
+    text = lambda x: " ".join(rnd.choices(vocab[x], [1 / (k + 1) for k in range(len(vocab[x]))], k=80))
+    rows = [(k, text(x), x) for k, x in enumerate(["q", "w"] * 200)]
+    learns = spark.range(1000, 1100).filter(language.training_row(F.col("id"))).first()[0]
+    schema = "doc_id long, text string, lang string"
+    for rare in ("zorvi plumta hexka", "zorvi plumta hexka zorvi zorvi " + " ".join(vocab["q"][40:90]), "12 34"):
+        docs = spark.createDataFrame(rows + [(learns, rare, "rare")], schema)
+        asked = spark.createDataFrame(rows + [(9999, "hexka zorvi plumta", "rare")], schema)
+        got = language.identify(asked, language.learn(docs), ["doc_id", "lang"]).collect()
+        assert all(r.lang == r.lang_pred for r in got if r.lang != "rare")
+        assert rare == "12 34" or [r.lang_pred for r in got if r.lang == "rare"] == ["rare"]
