@@ -336,23 +336,32 @@ def knn_exact(queries: DataFrame, base: DataFrame, k: int = 10, exclude_self: bo
     return _final_topk(_cogroup_topk(qk, bk, ["qb", "bb"], k, exclude_self), k)
 
 
-MAX_CENTROIDS = 1 << 14  # lists of an IVF index; their matrix is broadcast
+MAX_CENTROIDS = 1 << 14  # lists whose matrix is broadcast; more are met in blocks
 
 
-def _matrix(small: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, vectors) of a table of at most MAX_CENTROIDS rows."""
+def _matrix(small: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """(ids, vectors) of a table of at most MAX_CENTROIDS rows, None for a larger one."""
     rows = small.select("id", "vec").limit(MAX_CENTROIDS + 1).collect()
     if len(rows) > MAX_CENTROIDS:
-        raise ValueError(f"more than {MAX_CENTROIDS} centroids: train fewer lists")
+        return None
     return (np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.float64))
 
 
+def _in_blocks(queries: DataFrame, small: DataFrame, k: int) -> DataFrame:
+    """Top-k against more centroids than a broadcast takes. Blocks of queries are
+    as large as a scan's, so that the centroids are copied to few of them."""
+    return knn_exact(queries, small, k, method="blocks", q_block=MAX_SCAN_QUERIES)
+
+
 def knn_small_base(queries: DataFrame, small: DataFrame, k: int) -> DataFrame:
-    """Top-k of every query against a base of checked, bounded size (k-means
-    centroids: at most ``nlist`` rows). The base matrix is broadcast and the
-    queries are scanned in place; each query's whole answer is computed in
-    one task, so no shuffle and no global window are needed."""
-    bb = queries.sparkSession.sparkContext.broadcast(_matrix(small))
+    """Top-k of every query against a small base (centroids). The base matrix
+    of at most MAX_CENTROIDS rows is broadcast and the queries are scanned in place;
+    each query's whole answer is computed in one task, so no shuffle and no
+    global window are needed. A larger base meets the queries block by block."""
+    matrix = _matrix(small)
+    if matrix is None:
+        return _in_blocks(queries, small, k)
+    bb = queries.sparkSession.sparkContext.broadcast(matrix)
 
     def fn(batches):
         ids, b = bb.value
@@ -393,15 +402,23 @@ def ivf_train(base: DataFrame, nlist: int = 100, seed: int = 7, max_iter: int =
 
 def seeded_centroids(base: DataFrame, every: int) -> DataFrame:
     """(list_id, vec): every ``every``-th vector by id as a list's centre -- no
-    training, the same on every run. At most MAX_CENTROIDS of them."""
+    training, the same on every run. Their number grows with the base."""
     return base.filter(F.col("id") % every == 0).select(F.col("id").alias("list_id"), "vec")
 
 
 def ivf_assign(base: DataFrame, centroids: DataFrame) -> DataFrame:
     """(id, vec, list_id) -- every vector to its nearest centroid, in
-    place: the bounded centroid matrix is broadcast, the base isn't shuffled
-    or joined."""
-    bb = base.sparkSession.sparkContext.broadcast(_matrix(centroids.select(F.col("list_id").alias("id"), "vec")))
+    place: a matrix of at most MAX_CENTROIDS centroids is broadcast, the base isn't
+    shuffled or joined. More centroids meet the vectors in blocks."""
+    cent = centroids.select(F.col("list_id").alias("id"), "vec")
+    matrix = _matrix(cent)
+    if matrix is None:
+        from docsift.session import cut_lineage
+        # ids may repeat, so each row has a key of its own, written with it
+        keyed = cut_lineage(base.select("id", "vec", F.monotonically_increasing_id().alias("query_id")), "ivf-rows")
+        near = _in_blocks(keyed.select("query_id", "vec"), cent, 1).select("query_id", F.col("id").alias("list_id"))
+        return keyed.join(near, "query_id").select("id", "vec", "list_id")
+    bb = base.sparkSession.sparkContext.broadcast(matrix)
 
     @F.pandas_udf("long")
     def nearest(vec: pd.Series) -> pd.Series:

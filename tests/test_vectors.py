@@ -149,3 +149,17 @@ def test_matched_kernel_big_key_path_is_exact(monkeypatch):
     monkeypatch.setattr(V, "MAX_DIST_ELEMS", 16)
     got = V._matched_topk_kernel(5, False, ["list_id", "salt"])(qp, bp).sort_values(cols).reset_index(drop=True)
     assert ref[cols].equals(got[cols]) and np.allclose(ref["dist"], got["dist"])
+
+
+def test_more_centroids_than_a_broadcast_takes(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    data = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(120)]
+    base = spark.createDataFrame(data + [(3, data[50][1])], "id long, vec array<double>")  # an id on two vectors
+    qs = spark.createDataFrame(data[:30], "query_id long, vec array<double>")
+    cent = V.seeded_centroids(base.filter("id <> 3"), 2)
+    want = sorted((r.id, r.list_id) for r in V.ivf_assign(base, cent).collect())
+    hits = lambda: sorted(tuple(r) for r in V.ivf_search(qs, V.ivf_assign(base.filter("id <> 3"), cent), cent, k=5, nprobe=4).collect())
+    found = hits()
+    monkeypatch.setattr(V, "MAX_CENTROIDS", 16)
+    assert sorted((r.id, r.list_id) for r in V.ivf_assign(base, cent).collect()) == want
+    assert hits() == found
