@@ -6,9 +6,9 @@ last return the columns of ``documents``. ``run`` writes each stage's result
 under the shared checkpoint folder and reads it back for the next.
 
 Defined results: null, empty and wordless texts are scored as any other by the first
-stage and go at the second, which can't tell their language; repeated rows and
-rows sharing an id are one document for the third stage, which keeps one of
-them; rows with a null id are kept by it; an empty table stays empty.
+stage and go at the second, which can't tell their language; a document
+is an id with a text, so that ids on several texts are decided text by text; repeated
+rows are one document for the third stage; rows with a null id are kept by it; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -24,6 +24,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 MIN_LANGUAGE_SCORE = 0.5
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """COLUMNS and row_key, equal for rows of equal id and text."""
+    return docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("row_key"))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rule-ensemble quality: documents that score under 0.5 go."""
     ship_package(spark)
@@ -44,21 +49,25 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: of each group of near duplicates the document of
-    the smallest id stays."""
+    the smallest id stays (of several texts of that id, one)."""
     ship_package(spark)
-    groups = ngram_join.near_duplicates(docs)
-    # A document goes if it leads no group; ids on several rows need one row picked.
-    leads = groups.filter("doc_id is not null").groupBy("doc_id").agg(
-        F.max(F.col("component_id") == F.col("doc_id")).alias("leads"), F.count("*").alias("copies"))
-    leads = stored(leads.filter("leads").select(F.col("doc_id").alias("k_id"), "copies"), "leaders")
-    # One job, one join of the texts; nulls and ids on one row pass without a sort.
-    kept = docs.select(*COLUMNS).join(leads, F.col("doc_id") == F.col("k_id"), "left")
+    keyed = _keyed(docs).withColumn("row_key", F.when(F.col("doc_id").isNotNull(), F.col("row_key")))
+    groups = (ngram_join.near_duplicates(keyed, "row_key").filter("row_key is not null").groupBy("row_key")
+              .agg(F.min("component_id").alias("component"), F.min("n_shingles").alias("n"), F.count("*").alias("copies")))
+    ids = keyed.filter("doc_id is not null").groupBy("row_key").agg(F.min("doc_id").alias("doc_id"))
+    leads = (groups.join(ids, "row_key").groupBy("component")
+             .agg(F.min(F.struct("doc_id", "row_key", "n", "copies")).alias("d")))
+    leads = stored(leads.select(F.col("d.row_key").alias("k"), "d.n", "d.copies"), "leaders")
+    # One job, one join of the texts; nulls and keys on one row pass without a sort.
+    kept = keyed.join(leads, F.col("row_key") == F.col("k"), "left")
     once = kept.filter("doc_id is null or copies = 1").select(*COLUMNS)
-    several = leads.filter("copies > 1").select(F.col("k_id").alias("doc_id"))
+    several = leads.filter("copies > 1")
     if several.isEmpty():
         return once
-    picked = docs.select(*COLUMNS).join(several, "doc_id", "left_semi").groupBy("doc_id").agg(
-        F.min(F.struct("text", "lang", "source", "n_chars")).alias("d")).select("doc_id", "d.*")
+    # Texts without words are alike in nothing, so only equal rows of them become one.
+    apart = F.when(F.col("n") == 0, F.struct("lang", "source", "n_chars"))
+    picked = (keyed.join(several, F.col("row_key") == F.col("k")).groupBy("row_key", apart.alias("apart"))
+              .agg(F.min(F.struct(*COLUMNS)).alias("d")).select("d.*"))
     return once.unionByName(picked)
 
 
@@ -66,9 +75,10 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Positional index against ``benchmark``: documents that hold a run of ten
     consecutive words of an item go."""
     ship_package(spark)
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    hit = stored(found.filter("contaminated").select("doc_id").distinct(), "contaminated")
-    return docs.select(*COLUMNS).join(hit, docs.doc_id.eqNullSafe(hit.doc_id), "left_anti")
+    keyed = _keyed(docs)
+    found = decontaminate.decontaminate(keyed, table(spark, sf_dir, "benchmark"), id_col="row_key")
+    hit = stored(found.filter("contaminated").select("row_key").distinct(), "contaminated")
+    return keyed.join(hit, "row_key", "left_anti").select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,3 +37,20 @@ def test_an_empty_table_stays_empty(spark):
     for name, stage in cp.STAGES:
         docs = cp.stored(stage(spark, docs, SF), name)
         assert docs.count() == 0
+
+
+def test_ids_on_several_texts_are_decided_text_by_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(7, a, "en", "a", 1), (9, a + " end", "en", "a", 1), (7, b, "en", "a", 1), (3, b, "en", "a", 1), (7, c, "en", "a", 1),
+            (8, "", "en", "a", 0), (8, "", "de", "a", 0), (8, "", "en", "a", 0)]
+    out = cp.near_duplicate_stage(spark, spark.createDataFrame(rows, SCHEMA), SF)
+    assert sorted((r.doc_id, r.text, r.lang) for r in out.collect()) == sorted([
+        (3, b, "en"), (7, a, "en"), (7, c, "en"), (8, "", "de"), (8, "", "en")])
+
+
+def test_decontamination_keeps_clean_rows_of_a_contaminated_id(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    rows = [(None, item, "en", "a", 1), (None, "clean", "en", "a", 1), (None, None, None, None, None),
+            (4, "x " + item, "en", "a", 1), (4, "other text", "en", "a", 1)]
+    out = cp.decontamination_stage(spark, spark.createDataFrame(rows, SCHEMA), SF)
+    assert sorted((str(r.doc_id), str(r.text)) for r in out.collect()) == [("4", "other text"), ("None", "None"), ("None", "clean")]
