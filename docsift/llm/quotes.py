@@ -5,7 +5,8 @@ passages and the unquoted passages of every message are normalised (lower
 case, single spaces) and hashed; joining the hashes finds the message that
 a passage comes from: the earliest with it before the quoting one in the same
 conversation, else the earliest of all that precedes it in (conv_id, turn)
-order. A message replies to the source of its longest passage of the outermost
+order. Passages under ``MIN_WORDS`` words ("Yes, agreed") are the same in many
+conversations by chance and link within theirs only. A message replies to the source of its longest passage of the outermost
 level. Reply chains are followed by doubling, and each message
 gets its thread, its depth in it and its text without quotes, so that sorting by
 (thread_conv, thread_turn, depth, conv_id, turn) gives conversations in which
@@ -29,6 +30,8 @@ from docsift.llm.common import stored, table
 
 MIN_WORDS = 3
 _MARKS = re.compile(r"^(?: {0,3}>)+ ?")
+# Letters of scripts that set no spaces: two count as a word.
+_SPACELESS = re.compile(r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3005-\u3007\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\U00020000-\U0003FFFF]")
 _ATTRIBUTION = re.compile(r"^.{0,200}\b(?:wrote|writes|said|schrieb|a écrit|escribió)\s*:\s*$")
 
 
@@ -70,18 +73,24 @@ def parsed(text: str | None) -> tuple[str, list[tuple[int, str]]]:
     return "\n".join(own).strip(), [(level, "\n".join(lines)) for level, lines in quotes]
 
 
-def units(text: str) -> dict[int, int]:
-    """Hash to length of the passages that may be quoted or recognised: the whole, its paragraphs
-    and its lines, those of ``MIN_WORDS`` words or more."""
-    out: dict[int, int] = {}
+def telling(n: str) -> bool:
+    """Whether a normalised passage has ``MIN_WORDS`` words or more."""
+    rest, letters = _SPACELESS.subn(" ", n)
+    return 2 * len(rest.split()) + letters >= 2 * MIN_WORDS
+
+
+def units(text: str) -> dict[int, tuple[int, bool]]:
+    """Hash to (length, ``telling``) of the passages that may be quoted or recognised: the whole,
+    its paragraphs and its lines, all that aren't empty."""
+    out: dict[int, tuple[int, bool]] = {}
     for part in [text, *re.split(r"\n\s*\n", text), *text.split("\n")]:
         n = normalised(part)
-        if n.count(" ") >= MIN_WORDS - 1:
-            out[_key(n)] = len(n)
+        if n:
+            out[_key(n)] = len(n), telling(n)
     return out
 
 
-_PARSED = ("body string, n_quotes int, quotes array<struct<level:int,hash:bigint,len:int>>, "
+_PARSED = ("body string, n_quotes int, quotes array<struct<level:int,hash:bigint,len:int,telling:boolean>>, "
            "units array<bigint>")
 
 
@@ -93,7 +102,8 @@ def parse_column(text: Column) -> Column:
             for t in b:
                 body, quotes = parsed(t)
                 top = min((level for level, _ in quotes), default=0)
-                found = [{"level": level - top, "hash": h, "len": n} for level, q in quotes for h, n in units(q).items()]
+                found = [{"level": level - top, "hash": h, "len": n, "telling": tells}
+                         for level, q in quotes for h, (n, tells) in units(q).items()]
                 rows.append((body, len(quotes), found, list(units(body))))
             yield pd.DataFrame(rows, columns=["body", "n_quotes", "quotes", "units"])
 
@@ -122,7 +132,8 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     replies to none), thread_conv, thread_turn, depth, chat.
 
     Null and empty texts have an empty body and no quotes. Rows with a null
-    conv_id or turn link with nothing and are their own thread. Rows that share
+    conv_id or turn link with nothing and are their own thread. Quoted passages
+    under ``MIN_WORDS`` words link within their conversation only. Rows that share
     (conv_id, turn) are one message for links to it; each row keeps its own
     body. Other columns are not read; an empty table gives no rows."""
     m = stored(messages.select(F.col("conv_id").cast("long").alias("conv"), F.col("turn").cast("long").alias("turn"),
@@ -130,14 +141,14 @@ def link_quotes(messages: DataFrame) -> DataFrame:
                .select("conv", "turn", "role", "p.*").withColumn("row", F.expr("uuid()")), "messages")
     valid = m.filter("conv is not null and turn is not null")
     q = (valid.select("row", "conv", "turn", F.explode("quotes").alias("q"))
-         .select("row", "conv", "turn", "q.level", "q.hash", "q.len"))
+         .select("row", "conv", "turn", "q.level", "q.hash", "q.len", "q.telling"))
     wanted = q.select("hash").distinct()
     u = valid.select("conv", "turn", F.explode("units").alias("hash")).join(wanted, "hash", "left_semi")
     here = u.groupBy("conv", "hash").agg(F.min("turn").alias("h_turn"))
     first = u.groupBy("hash").agg(F.min(F.struct("conv", "turn")).alias("g"))
     found = (q.join(here, ["conv", "hash"], "left").join(first, "hash", "left")
              .withColumn("to", F.when(F.col("h_turn") < F.col("turn"), F.struct("conv", F.col("h_turn").alias("turn")))
-                         .when(F.col("g") < F.struct("conv", "turn"), F.col("g")))
+                         .when(F.col("telling") & (F.col("g") < F.struct("conv", "turn")), F.col("g")))
              .filter("to is not null"))
     # The longest passage of the outermost level names the message replied to.
     by_row = stored(found.groupBy("row", "conv", "turn").agg(

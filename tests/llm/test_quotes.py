@@ -48,3 +48,15 @@ def test_brute_force_long_chain_repeats_and_empty(spark):
     twice = spark.createDataFrame([(*r, "") for r in data + data], SCHEMA)
     assert quotes.link_quotes(twice).count() == 40
     assert rows(quotes.link_quotes(twice.limit(0))) == []
+
+
+def test_short_and_spaceless_passages(spark):
+    got = linked(spark, [
+        (1, 0, "user", "Yes"), (1, 1, "user", "> yes\nWhy so?"), (1, 2, "user", "> Why so?\n我们明天下午三点在公司门口见面"),
+        (1, 3, "user", "> 我们明天下午三点在公司门口见面\n好的"), (1, 4, "user", "> 好的\nok"),
+        (2, 0, "user", "> Yes\n> 好的\nsomething else"), (2, 1, "user", "> 我们明天下午三点在公司门口见面\nx"),
+    ])
+    reply = {k: (r["reply_conv"], r["reply_turn"]) for k, r in got.items()}
+    assert [reply[1, t] for t in range(5)] == [(None, None), (1, 0), (1, 1), (1, 2), (1, 3)]
+    assert reply[2, 0] == (None, None) and got[2, 0]["n_linked"] == 0  # too short to name another conversation
+    assert reply[2, 1] == (1, 2)
