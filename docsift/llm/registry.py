@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["ann", "decontaminate", "language", "ngram_join", "pack", "quality", "quotes", "token_counts", "url_filter", "warc"]
+MODULES = ["ann", "decontaminate", "language", "mixing", "ngram_join", "pack", "quality", "quotes",
+           "token_counts", "url_filter", "warc"]
 
 
 def _loaded():
