@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["ann", "decontaminate", "language", "mixing", "ngram_join", "pack", "quality", "quotes", "ranking",
+MODULES = ["alignment", "ann", "decontaminate", "language", "mixing", "ngram_join", "pack", "quality", "quotes", "ranking",
            "token_counts", "url_filter", "warc"]
 
 
