@@ -13,8 +13,8 @@ tokens whose byte ranges overlap are linked.
 4. The second pass aligns every text again and looks up its links' counts.
 
 Both tokenizers cut at a single space between two other characters, whatever stands around
-it, so a text is aligned in units of that kind; units seen before come from a memo that is
-bounded and held by the task. The table of pairs is at most the product of two
+it, so texts are aligned in units of that kind, the distinct units of some texts at a time, as
+one byte string. The table of pairs is at most the product of two
 vocabularies; up to ``BROADCAST_PAIRS`` it is broadcast, beyond that texts' pairs meet it in a join.
 """
 
@@ -40,8 +40,8 @@ SPREAD = 1 << 16
 BUCKET_PAIRS = 50_000
 FAN = 16
 BROADCAST_PAIRS = 4_000_000
-MEMO_UNITS = 60_000
-MEMO_CHARS = 64
+#: Characters that a task aligns at a time.
+PART_CHARS = 2_000_000
 #: Pairs a task gathers before it hands them on.
 TASK_PAIRS = 500_000
 SHIFT = 32
@@ -66,6 +66,18 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+class Aligned:
+    """Alignments of units: n_a, n_b, n_groups, n_links (0 for units of which a tokenizer
+    doesn't keep the bytes, where ``ok`` is false), their linked pairs one after
+    the other, and, if asked for, the text of their groups, each group ended by a semicolon."""
+
+    def __init__(self, size: int):
+        self.ok = np.ones(size, bool)
+        self.counts = np.zeros((size, 4), np.int64)
+        self.pairs = np.zeros(0, np.int64)
+        self.texts: list[bytes] = [b""] * size
+
+
 class Aligner:
     """Aligns texts in units; one for each task."""
 
@@ -77,13 +89,19 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         chars = byte_characters()
-        self.a_bytes = {i: bytes(chars[c] for c in t) for t, i in self.a.get_vocab().items()}
+        entries = self.a.get_vocab()
+        self.a_bytes = [b""] * (max(entries.values()) + 1)
+        for t, i in entries.items():
+            self.a_bytes[i] = bytes(chars[c] for c in t)
         self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
+        self.a_size, self.b_size = (np.array([len(x) for x in y]) for y in (self.a_bytes, self.b_bytes))
+        #: An id as text, within a group and at its end; A's ids first.
+        self.written = [f"{i}{end}".encode() for n, ends in ((len(self.a_bytes), ",|"), (len(self.b_bytes), ",;"))
+                        for i in range(n) for end in ends]
         pre = json.loads(self.a.to_str())["pre_tokenizer"] or {}
         across = any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(len(self.b_bytes)))
         #: Units are alike in any text only if no token may span a border.
         self.in_units = pre.get("type") == "ByteLevel" and pre.get("use_regex", False) and not across
-        self.memo: dict[str, tuple | None] = {}
 
     def _piece(self, i: int) -> bytes:
         p = self.b.id_to_piece(i)
@@ -92,61 +110,110 @@ class Aligner:
     def units(self, text: str) -> list[str]:
         return _BORDER.split(text) if self.in_units else [text]
 
-    def aligned(self, units: list[str]) -> list[tuple | None]:
-        """(n_a, n_b, n_groups, linked pairs, groups as text) of units, each read with a
-        space before it; None where a tokenizer doesn't keep the bytes."""
-        memo = self.memo
-        out = [memo.get(u, 0) for u in units]
-        new = [k for k, x in enumerate(out) if x == 0]
-        for i in range(0, len(new), 2000):
-            part = new[i:i + 2000]
-            a = self.a.encode_batch_fast([" " + units[k] for k in part], add_special_tokens=False)
-            b = self.b.encode([units[k] for k in part], num_threads=1)
-            for k, x, y in zip(part, a, b):
-                unit = units[k]
-                out[k] = self._align((" " + unit).encode(), x.ids, y)
-                if len(memo) < MEMO_UNITS and len(unit) <= MEMO_CHARS:
-                    memo[unit] = out[k]
+    def _encoded(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(A's ids, how many of each unit, B's ids, how many of each unit). Units with
+        a border at either end are read as one text; the others one by one."""
+        got: list[tuple] = []
+        run: list[str] = []
+        for u in units:
+            if not self.in_units or u[:1].isspace() or u[-1:].isspace() or "▁" in u:
+                got += [*self._run(run), self._one(u)]
+                run = []
+            else:
+                run.append(u)
+                if len(run) == 2000:
+                    got += self._run(run)
+                    run = []
+        got += self._run(run)
+        none = [np.zeros(0, np.int64)] * 4
+        return tuple(np.concatenate(x) for x in zip(none, *got))
+
+    def _one(self, unit: str) -> tuple:
+        a = self.a.encode(" " + unit, add_special_tokens=False).ids
+        b = self.b.encode(unit)
+        return np.array(a, np.int64), np.array([len(a)]), np.array(b, np.int64), np.array([len(b)])
+
+    def _run(self, units: list[str]) -> list[tuple]:
+        if not units:
+            return []
+        text = " ".join(units)
+        a = np.array(self.a.encode(" " + text, add_special_tokens=False).ids, np.int64)
+        b = np.array(self.b.encode(text), np.int64)
+        ends = np.cumsum([len(u.encode()) + 1 for u in units])
+        out = []
+        for ids, size in ((a, self.a_size), (b, self.b_size)):
+            upto = np.cumsum(size[ids])
+            last = np.minimum(np.searchsorted(upto, ends), len(upto) - 1)
+            if (upto[last] != ends).any():  # a tokenizer that doesn't keep the bytes
+                return [self._one(u) for u in units]
+            out += [ids, np.diff(last + 1, prepend=0)]
+        return [tuple(out)]
+
+    def aligned(self, units: list[str], texts: bool = True) -> Aligned:
+        """Units one after the other are one byte string, in which every unit ends a group."""
+        out = Aligned(len(units))
+        a, n_a, b, n_b = self._encoded(units)
+        raw = [b" " + u.encode() for u in units]
+        whole = b"".join(raw)
+        if (b"".join(map(self.a_bytes.__getitem__, a.tolist())) != whole
+                or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != whole):
+            i = j = 0
+            for k, (x, n, m) in enumerate(zip(raw, n_a.tolist(), n_b.tolist())):
+                out.ok[k] = (b"".join(map(self.a_bytes.__getitem__, a[i:i + n].tolist())) == x
+                             == b"".join(map(self.b_bytes.__getitem__, b[j:j + m].tolist())))
+                i, j = i + n, j + m
+            a, b = a[np.repeat(out.ok, n_a)], b[np.repeat(out.ok, n_b)]
+            n_a, n_b = n_a[out.ok], n_b[out.ok]
+        if not len(a):
+            return out
+        a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        first = np.searchsorted(b_end, a_end - self.a_size[a], "right")  # B's tokens that an A token overlaps
+        last = np.searchsorted(b_end, a_end)
+        links = last - first + 1
+        a_last, b_last = b_end[last] == a_end, a_end[np.searchsorted(a_end, b_end)] == b_end
+        at = np.repeat(first - np.cumsum(links) + links, links) + np.arange(links.sum())
+        out.pairs = np.repeat(a << SHIFT, links) | b[at]
+        start = np.cumsum(n_a) - n_a
+        out.counts[out.ok] = np.stack([n_a, n_b, np.add.reduceat(a_last.astype(np.int64), start),
+                                       np.add.reduceat(links, start)], axis=1)
+        if texts:
+            a_group, b_group = np.cumsum(a_last) - a_last, np.cumsum(b_last) - b_last
+            order = np.empty(len(a) + len(b), np.int64)  # a group's A ids, then its B ids
+            b_before, a_upto = np.searchsorted(b_group, a_group), np.searchsorted(a_group, b_group, "right")
+            order[np.arange(len(a)) + b_before] = 2 * a + a_last
+            order[np.arange(len(b)) + a_upto] = 2 * (len(self.a_bytes) + b) + b_last
+            written, to = list(map(self.written.__getitem__, order.tolist())), 0
+            for k, n in zip(np.nonzero(out.ok)[0].tolist(), (n_a + n_b).tolist()):
+                out.texts[k] = b"".join(written[to:to + n])
+                to += n
         return out
 
-    def _align(self, raw: bytes, a: list[int], b: list[int]) -> tuple | None:
-        left, right = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(left) != raw or b"".join(right) != raw:
-            return None
-        pairs, groups = [], []
-        i = j = i0 = j0 = 0
-        a_end, b_end = len(left[0]), len(right[0])
-        while True:
-            pairs.append(a[i] << SHIFT | b[j])
-            step = a_end - b_end
-            if step <= 0:
-                i += 1
-            if step >= 0:
-                j += 1
-            if not step:
-                groups.append(",".join(map(str, a[i0:i])) + "|" + ",".join(map(str, b[j0:j])))
-                if i == len(a):
-                    break
-                i0, j0 = i, j
-            if step <= 0:
-                a_end += len(left[i])
-            if step >= 0:
-                b_end += len(right[j])
-        return len(a), len(b), len(groups), np.array(pairs, dtype=np.int64), ";".join(groups).encode()
-
-    def documents(self, texts: list[str | None]) -> tuple[list[tuple | None], list[list[int] | None]]:
+    def documents(self, texts: list[str | None], written: bool = True) -> tuple[Aligned, list[list[int] | None]]:
         """(alignments of the texts' distinct units, each text's units as
         positions there; None for a text without tokens)."""
         seen: dict[str, int] = {}
         place = seen.setdefault
         rows = [[place(u, len(seen)) for u in self.units(t)] if t else None for t in texts]
-        found = self.aligned(list(seen))
-        bad = {k for k, x in enumerate(found) if x is None}
-        if bad:
+        found = self.aligned(list(seen), written)
+        if not found.ok.all():
+            bad = set(np.nonzero(~found.ok)[0].tolist())
             rows = [None if r is None or not bad.isdisjoint(r) else r for r in rows]
         return found, rows
 
 
+def _parts(texts: list[str | None]) -> Iterator[slice]:
+    """Slices of at most 1024 texts and, but for a longer one, ``PART_CHARS`` characters."""
+    start = size = 0
+    for k, t in enumerate(texts):
+        n = len(t or "")
+        if k > start and (k - start == 1024 or size + n > PART_CHARS):
+            yield slice(start, k)
+            start, size = k, 0
+        size += n
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
 
@@ -172,15 +239,13 @@ def task_counts(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id
 
         for b in batches:
             texts = list(b["text"])
-            for i in range(0, len(texts), 256):
-                found, rows = aligner.documents(texts[i:i + 256])
+            for part_ in _parts(texts):
+                found, rows = aligner.documents(texts[part_], written=False)
                 used = [k for r in rows if r is not None for k in r]
                 if not used:
                     continue
-                times = np.bincount(used, minlength=len(found))
-                links = [x[3] for k, x in enumerate(found) if times[k]]
-                n = np.repeat(times[times > 0], [len(x) for x in links])
-                parked.append(merged([(np.concatenate(links), n)]))
+                times = np.repeat(np.bincount(used, minlength=len(found.ok)), found.counts[:, 3])
+                parked.append(merged([(found.pairs[times > 0], times[times > 0])]))
                 if sum(len(p) for p, _ in parked) > TASK_PAIRS:
                     pairs, counts = merged([(pairs, counts), *parked])
                     parked = []
@@ -318,19 +383,16 @@ class PairTable:
 _OUT = "doc long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
-def _sums(found: list[tuple | None], shared) -> np.ndarray:
+def _sums(found: Aligned, shared: PairTable | None) -> np.ndarray:
     """Per unit: n_a, n_b, n_groups, n_links, n_best, count_sum (the last two 0 without a table)."""
-    out = np.zeros((len(found), 6), np.int64)
-    good = [k for k, x in enumerate(found) if x is not None]
-    if good:
-        links = [found[k][3] for k in good]
-        n = np.array([len(x) for x in links])
-        out[good, :3] = [found[k][:3] for k in good]
-        out[good, 3] = n
-        if shared is not None:
-            at, start = shared.slots(np.concatenate(links)), np.cumsum(n) - n
-            out[good, 4] = np.add.reduceat(shared.best[at].astype(np.int64), start)
-            out[good, 5] = np.add.reduceat(shared.counts[at], start)
+    out = np.zeros((len(found.ok), 6), np.int64)
+    out[:, :4] = found.counts
+    if shared is not None and len(found.pairs):
+        at = shared.slots(found.pairs)
+        n = found.counts[found.ok, 3]
+        start = np.cumsum(n) - n
+        out[found.ok, 4] = np.add.reduceat(shared.best[at].astype(np.int64), start)
+        out[found.ok, 5] = np.add.reduceat(shared.counts[at], start)
     return out
 
 
@@ -340,20 +402,19 @@ def looked_up(docs: DataFrame, a_path: str, b_path: str, shared, id_col: str, te
         pairs, aligner = shared.value, Aligner(a_path, b_path)
         for b in batches:
             texts, doc = list(b["text"]), b["doc"].astype("Int64")
-            for i in range(0, len(texts), 256):
-                found, rows = aligner.documents(texts[i:i + 256])
-                sums = _sums(found, pairs)
-                yield _frame(doc.iloc[i:i + 256], found, rows, sums)
+            for part in _parts(texts):
+                found, rows = aligner.documents(texts[part])
+                yield _frame(doc.iloc[part], found, rows, _sums(found, pairs))
 
     return _rows(docs, id_col, text_col).mapInPandas(run, _OUT)
 
 
-def _frame(doc: pd.Series, found: list, rows: list, sums: np.ndarray) -> pd.DataFrame:
+def _frame(doc: pd.Series, found: Aligned, rows: list, sums: np.ndarray) -> pd.DataFrame:
     total = np.array([sums[r].sum(axis=0) if r is not None else np.zeros(6, np.int64) for r in rows]).reshape(-1, 6)
     out = pd.DataFrame(total, columns=["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"])
     out.insert(0, "doc", doc.to_numpy())
     out["doc"] = out["doc"].astype("Int64")
-    out["groups_sha256"] = pd.Series([hashlib.sha256(b";".join([found[k][4] for k in r])).hexdigest() if r is not None else ""
+    out["groups_sha256"] = pd.Series([hashlib.sha256(b"".join([found.texts[k] for k in r])[:-1]).hexdigest() if r is not None else ""
                                       for r in rows], dtype=object)
     return out
 
@@ -366,15 +427,17 @@ def joined_up(docs: DataFrame, a_path: str, b_path: str, pairs: DataFrame, id_co
         aligner, row = Aligner(a_path, b_path), TaskContext.get().partitionId() << 33
         for b in batches:
             texts, doc = list(b["text"]), b["doc"].astype("Int64")
-            for i in range(0, len(texts), 256):
-                found, rows = aligner.documents(texts[i:i + 256])
-                out = _frame(doc.iloc[i:i + 256], found, rows, _sums(found, None))
+            for part in _parts(texts):
+                found, rows = aligner.documents(texts[part])
+                ends = np.cumsum(found.counts[:, 3])
+                out = _frame(doc.iloc[part], found, rows, _sums(found, None))
                 out["row"] = np.arange(row, row + len(out))
                 out["pair"], out["times"] = pd.array([None] * len(out), dtype="Int64"), 0
                 yield out
                 for k, r in enumerate(rows):
                     if r is not None:
-                        p, n = np.unique(np.concatenate([found[u][3] for u in r]), return_counts=True)
+                        p, n = np.unique(np.concatenate([found.pairs[ends[u] - found.counts[u, 3]:ends[u]] for u in r]),
+                                         return_counts=True)
                         yield pd.DataFrame({"pair": p, "times": n, "row": row + k}).reindex(columns=out.columns).astype(
                             {c: "Int64" for c in out.columns if c != "groups_sha256"} | {"groups_sha256": object})
                 row += len(out)
