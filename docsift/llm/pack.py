@@ -34,7 +34,7 @@ CAPACITY = 2048
 SEPARATOR = 0
 TOKENIZER = "word_bpe_49k.json"
 BUCKET_ROWS = 50_000
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 250_000
 
 
 class WordIds:
@@ -100,16 +100,6 @@ class WordIds:
                     yield b"".join([new[w] if w in new else memo[w] for w in words])
 
 
-_TOKENIZERS: dict[str, WordIds] = {}
-
-
-def _tokenizer(path: str) -> WordIds:
-    """One per Python worker."""
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordIds(path)
-    return _TOKENIZERS[path]
-
-
 def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool = False,
                      id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, salt[, ids]) of every whole
@@ -118,7 +108,7 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_
     step = 4 * capacity
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok, salt = _tokenizer(path), 0
+        tok, salt = WordIds(path), 0  # its memo goes with the task
         for b in batches:
             rows: list[tuple] = []
             for doc, ids in zip(b["doc"], tok(b["text"])):
@@ -166,10 +156,13 @@ def _exact_fill(left: np.ndarray, gap: int) -> list[int] | None:
         a = int(a)
         if 3 * a < gap:
             break
-        if b := pair(gap - a, a):
-            c = gap - a - b
-            if left[a] >= 1 + (b == a) + (c == a):
-                return [a, b, c]
+        rest = gap - a
+        b = np.arange(min(a, rest - 1), (rest + 1) // 2 - 1, -1)  # the larger of the two others
+        c = rest - b
+        ok = (left[b] > (b == c)) & have[c] & (left[a] > (b == a).astype(int) + (c == a))
+        if ok.any():
+            i = int(ok.argmax())
+            return [a, int(b[i]), int(c[i])]
     return None
 
 
