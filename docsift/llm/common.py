@@ -29,6 +29,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of two numbers that a broadcast may hold.
+BROADCAST_ROWS = 500_000
+
+
+def sized_broadcast(df: DataFrame) -> DataFrame:
+    """``df``, a stored table of a few numbers a row, with a broadcast hint if its counted rows are few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def training_row(id_col: Column) -> Column:
     """Rows that models may learn from: crc32(id as text) mod 3 is not 1."""
     return F.crc32(id_col.cast("string").cast("binary")) % 3 != 1

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.common import stored
+from docsift.llm.common import sized_broadcast, stored
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -32,6 +32,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             hooks = jumped.select("node", "up")
             if jumped.filter("moved").isEmpty():
                 break
+        hooks = sized_broadcast(hooks)  # few components are left after some rounds, a hub's being one key
         at = hooks.select(F.col("node").alias("comp"), "up")
         labels = stored(labels.join(at, "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")),
                         f"{name}-labels")

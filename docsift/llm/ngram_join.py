@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from docsift.llm.common import stored, table
+from docsift.llm.common import sized_broadcast, stored, table
 from docsift.llm.components import components
 
 WORDS = 5
@@ -47,6 +47,8 @@ BATCH_FREQUENT = 2
 #: The frequent shingles that the global order puts last: at most so many are broadcast (12 bytes each).
 MAX_FREQUENT = 400_000
 STARS = 2
+#: Index lists that candidates share at least, where their sizes allow so many.
+COMMON = 3
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -98,11 +100,13 @@ def _node(s: np.ndarray) -> int:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    """(doc, text, unnamed): ``unnamed`` tells the texts of rows without an id apart."""
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"),
+                       F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).alias("unnamed"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """((doc, node, n) of every row, node being the class of equal sets;
+    """((doc, node, n, unnamed) of every row, node being the class of equal sets;
     (shingle, n) that batches report as frequent)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -110,14 +114,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             sets = shingle_sets(list(b["text"]))
             nodes = [_node(s) for s in sets]
             yield pd.DataFrame({"doc": b["doc"].astype("Int64"), "node": nodes, "n": [len(s) for s in sets],
-                                "shingle": pd.array([None] * len(b), dtype="Int64")})
+                                "shingle": pd.array([None] * len(b), dtype="Int64"), "unnamed": b["unnamed"].astype("Int64")})
             distinct = list({k: s for k, s in zip(nodes, sets)}.values())
             shingles, n = np.unique(np.concatenate([*distinct, np.zeros(0, np.int64)]), return_counts=True)
             many = n >= BATCH_FREQUENT
             yield pd.DataFrame({"doc": pd.array([None] * int(many.sum()), dtype="Int64"), "node": 0,
-                                "n": n[many], "shingle": shingles[many]})
+                                "n": n[many], "shingle": shingles[many], "unnamed": pd.array([None] * int(many.sum()), dtype="Int64")})
 
-    seen = stored(_texts(docs, id_col, text_col).mapInPandas(run, "doc long, node long, n long, shingle long"), "classes")
+    seen = stored(_texts(docs, id_col, text_col).mapInPandas(run, "doc long, node long, n long, shingle long, unnamed long"), "classes")
     counts = stored(seen.filter("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n")), "frequent")
     # The most frequent, down to the step of counts at which they would be too many; the steps are
     # fewer than a thousand.
@@ -129,7 +133,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             break
         least = r["step"]
     frequent = counts.filter(F.floor(16 * F.log("n")) >= least)
-    return seen.filter("shingle is null").select("doc", "node", "n"), frequent
+    return seen.filter("shingle is null").select("doc", "node", "n", "unnamed"), frequent
 
 
 def prefix_entries(docs: DataFrame, frequent: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,9 +220,11 @@ def shared_counts(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def set_table(docs: DataFrame, members: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, set) of the given nodes, from one document of each class. The
-    texts meet the ids in one shuffle; repeated rows are dropped where it puts them."""
-    one = (members.filter("doc is not null").join(nodes, "node").groupBy("node").agg(F.min("doc").alias("doc")))
+    """(node, set) of the given nodes, from one document of each class: that of the
+    smallest id, or a text of rows without an id where a class has no other. The
+    texts meet these in one shuffle; repeated rows are dropped where it puts them."""
+    one = stored(members.join(nodes, "node").groupBy("node")
+                 .agg(F.min("doc").alias("doc"), F.min("unnamed").alias("unnamed")), "chosen")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -227,9 +233,12 @@ def set_table(docs: DataFrame, members: DataFrame, nodes: DataFrame, id_col: str
             # An id may be on several texts; only the class's own one counts.
             yield out[[_node(s) == k for s, k in zip(sets, b["node"])]]
 
-    rows = (_texts(docs, id_col, text_col).join(one, "doc")
-            .dropDuplicates(["doc", "node", "text"]).select("node", "text").mapInPandas(run, "node long, set array<bigint>"))
-    return stored(rows, "sets")
+    texts = _texts(docs, id_col, text_col)
+    rows = (texts.drop("unnamed").join(one.filter("doc is not null").select("node", "doc"), "doc")
+            .dropDuplicates(["doc", "node", "text"]).select("node", "text"))
+    unnamed = (texts.filter("doc is null").join(one.filter("doc is null").select("node", "unnamed"), "unnamed")
+               .dropDuplicates(["unnamed", "node", "text"]).select("node", "text"))
+    return stored(rows.unionByName(unnamed).mapInPandas(run, "node long, set array<bigint>"), "sets")
 
 
 def star_pairs(entries: DataFrame, round_no: int) -> DataFrame:
@@ -262,7 +271,12 @@ def followed_heads(stars: DataFrame) -> DataFrame:
 
 
 def head_pairs(entries: DataFrame, heads: DataFrame) -> DataFrame:
-    """(u, v): heads of which some sets could link, by the blocks of their lists."""
+    """(u, v): heads of which some sets could link, by the blocks of their lists.
+
+    Of the shingles that linked sets share, the k-th in the global order lies
+    where both still hold what they must share, less k - 1. So blocks meet only
+    at positions that the first ``COMMON`` of them can have; sets whose rare
+    shingles are all their own meet nowhere, however many sets a list holds."""
     blocks = (entries.join(heads, "node", "left").withColumn("head", F.coalesce("head", "node"))
               .groupBy("shingle", "block", "head")
               .agg(F.min("n").alias("n"), F.max("n").alias("most"), F.min("pos").alias("pos")))
@@ -270,14 +284,16 @@ def head_pairs(entries: DataFrame, heads: DataFrame) -> DataFrame:
     a = blocks.select("shingle", F.explode(F.array("block", F.col("block") - 1)).alias("block"), F.col("block").alias("a_block"),
                       *[F.col(c).alias(f"a_{c}") for c in cols])
     b = blocks.select("shingle", "block", *[F.col(c).alias(f"b_{c}") for c in cols])
+    left = f"least(a_most - a_pos, b_most - b_pos) + {COMMON - 1}"
     met = (a.join(b, ["shingle", "block"])
            .filter("a_head <> b_head and (a_block > block or a_head < b_head)")
            .filter("100 * a_most >= 80 * b_n and 100 * b_most >= 80 * a_n")
+           .filter(f"180 * ({left}) >= 80 * (a_n + b_n)")
            .groupBy("a_head", "b_head", "a_block", "block")
            .agg(F.count("*").alias("lists"), F.min("a_n").alias("a_n"), F.min("b_n").alias("b_n"),
                 F.max(F.greatest("a_most", "b_most")).alias("most"),
                 F.max(F.expr("180 * least(a_most - a_pos, b_most - b_pos) - 80 * (a_n + b_n)")).alias("reach")))
-    return (met.filter(f"reach >= 0 and lists >= {least_lists('a_n', 'b_n', 'most')}")
+    return (met.filter(f"reach >= 0 and lists >= least({COMMON}, {least_lists('a_n', 'b_n', 'most')})")
             .select(F.least("a_head", "b_head").alias("u"), F.greatest("a_head", "b_head").alias("v")).distinct())
 
 
@@ -300,7 +316,7 @@ def open_pairs(answers: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   stars: int = STARS) -> tuple[DataFrame, DataFrame]:
-    """(members (doc, node, n), comps (node, comp)): the classes and their
+    """(members (doc, node, n, unnamed), comps (node, comp)): the classes and their
     connected components; a node without links has no row in comps."""
     members, frequent = classes(docs, id_col, text_col)
     lists = Window.partitionBy("shingle").orderBy("node")
@@ -363,14 +379,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id is the smallest id reachable by links, the row's own
     included. Equal sets link. Null texts and texts without words have no
     shingles and link with nothing (their component is their own id); rows with a
-    null id keep a null component and give no id to others; repeated rows give a row
-    each; other columns are not read; an empty table gives no rows."""
+    null id link as any other and so may connect documents, but keep a null component and
+    give no id; repeated rows give a row each; other columns are not read; an empty table gives no rows."""
     members, comps = similar_links(docs, id_col, text_col)
-    m = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = m.filter("n > 0 and doc is not null").groupBy("comp").agg(F.min("doc").alias("least"))
-    return (m.join(least, "comp", "left")
+    least = (members.filter("n > 0 and doc is not null").groupBy("node").agg(F.min("doc").alias("least"), F.count("*").alias("rows"))
+             .join(comps, "node", "left"))
+    least = stored(least.filter("rows > 1 or comp is not null").drop("rows").withColumn("comp", F.coalesce("comp", "node")), "least")
+    first = least.groupBy("comp").agg(F.min("least").alias("first"))
+    # A row for each class that is more than one document; all others are their own component.
+    named = stored(least.join(first, "comp").select("node", "first"), "component_ids")
+    return (members.join(sized_broadcast(named), "node", "left")
             .select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"),
-                    F.when(F.col("doc").isNull() | (F.col("n") == 0), F.col("doc")).otherwise(F.col("least"))
+                    F.when(F.col("doc").isNotNull() & (F.col("n") > 0), F.coalesce("first", "doc")).otherwise(F.col("doc"))
                     .alias("component_id")))
 
 

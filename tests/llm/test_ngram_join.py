@@ -19,7 +19,7 @@ def brute(rows, width=5):
 
     for i, a in enumerate(sets):
         for j, b in enumerate(sets[:i]):
-            if rows[i][0] is not None and rows[j][0] is not None and a and b and 100 * len(a & b) >= 80 * len(a | b):
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
                 up[top(i)] = top(j)
     least = defaultdict(lambda: 1 << 60)
     for i, (d, _) in enumerate(rows):
@@ -81,3 +81,20 @@ def test_components_of_chains_stars_and_nulls(spark):
     df = spark.createDataFrame([*edges, (None, 1), (7, None)], "u long, v long")
     got = dict(components(df).collect())
     assert got == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 160)} | {200: 200, 201: 200, 202: 200}
+
+
+def test_rows_without_an_id_connect_documents(spark):
+    w = [f"w{i}" for i in range(80)]
+    a, b, c, d = w[:70], w[7:70] + w[70:], w[3:70] + w[70:75], w[30:]
+    rows = [(1, a), (None, c), (2, b), (None, c), (9, d), (None, d[1:]), (7, d[2:] + ["end"])]
+    rows = [(i, " ".join(x)) for i, x in rows]
+    want = brute(rows)
+    assert [r[2] for r in want if r[0] == 2] == [1]
+    assert found(spark, rows) == want
+
+
+def test_many_variants_that_hardly_link(spark):
+    rng = random.Random(8)
+    rows = [(i, t) for i, t in enumerate(copies(rng, [f"b{i}" for i in range(140)], 150, 9))]
+    rows += [(None if i % 3 == 0 else 1000 + i, t) for i, t in enumerate(copies(rng, [f"c{i}" for i in range(60)], 60, 4))]
+    assert found(spark, rows) == brute(rows)
