@@ -21,6 +21,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from docsift.operators import hybrid as H  # noqa: E402
 from docsift.operators import lexical as L  # noqa: E402
+from docsift.operators import quantized as PQ  # noqa: E402
 from docsift.operators import vectors as V  # noqa: E402
 from docsift.plans import corpus, registry  # noqa: E402
 from docsift.session import cut_lineage, get_session, scratch_path  # noqa: E402
@@ -75,7 +76,7 @@ def main() -> None:
     def ivf():
         cent, _ = V.ivf_train(e, nlist=nlist)
         assigned = cut_lineage(V.ivf_assign(e, cent), "ivf")
-        return cut_lineage(V.ivf_search(eq, assigned, cent, k=10, nprobe=max(1, nlist // 4),
+        return cut_lineage(V.ivf_search(eq, assigned, cent, k=10, nprobe=max(1, nlist // 2),
                                         exclude_self=True), "ivfres")
     ivf_res, q["ivf_search"] = timed(ivf)
 
@@ -84,6 +85,9 @@ def main() -> None:
         return cut_lineage(res, "lsh"), cut_lineage(stats, "lshstats")
     (lsh_res, lsh_stats), q["ann_search"] = timed(lsh)
 
+    pq, q["pq_build"] = timed(lambda: PQ.build(e, scratch_path(spark, "pq")))
+    pq_res, q["pq_search"] = timed(lambda: cut_lineage(PQ.search(eq, pq, k=10, exclude_self=True), "pqres"))
+
     def recall(res):
         r = V.ann_recall(res, exact, lsh_stats, n_vec, 10)
         return r.agg(F.avg("recall")).first()[0]
@@ -95,6 +99,8 @@ def main() -> None:
                "semantic_ivf_nprobe": max(1, n_lists // 10),"lsh_recall_at_10": round(recall(lsh_res), 4),
                "lsh_candidate_share": round(lsh_stats.agg(F.avg("evaluated")).first()[0] / n_vec, 4),
                "ivf_recall_at_10": round(recall(ivf_res), 4),
+               "pq_recall_at_10": round(recall(pq_res), 4),
+               "pq_measured_share": round(PQ.measured(eq, pq).agg(F.avg("evaluated")).first()[0] / n_vec, 4),
                "ivf_nlist": nlist}
 
     from docsift.streaming import jobs as S

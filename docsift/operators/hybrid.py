@@ -17,6 +17,7 @@ from docsift.functions import models as M
 from docsift.functions import text as tx
 from docsift.operators import lexical as lx
 from docsift.operators import vectors as vx
+from docsift.operators.segments import fingerprint
 from docsift.operators.summarize import extractive_summary
 
 SEMANTIC_K = 10
@@ -100,13 +101,15 @@ class SearchIndex:
             self.ivf.sizes.write.mode("overwrite").parquet(f"{path}/ivf/sizes")
             self.ivf.lists.write.mode("overwrite").partitionBy("lb").parquet(f"{path}/ivf/lists")
         dirs = self.ivf.n_dirs if self.ivf is not None else 0
-        spark.createDataFrame([(self.n_chunks, self.term_buckets, self.block_shift, dirs)],
-                              "n_chunks long, term_buckets int, block_shift int, ivf_dirs int"
+        mark = str(fingerprint(self.chunks))
+        spark.createDataFrame([(self.n_chunks, self.term_buckets, self.block_shift, dirs, mark)],
+                              "n_chunks long, term_buckets int, block_shift int, ivf_dirs int, fingerprint string"
                               ).write.mode("overwrite").parquet(f"{path}/numbers")
 
     @staticmethod
-    def load(spark, path: str) -> "SearchIndex | None":
-        """The index saved under ``path``; None where there is none."""
+    def load(spark, path: str, chunks: DataFrame | None = None) -> "SearchIndex | None":
+        """The index saved under ``path``; None where there is none. With
+        ``chunks`` (chunk_id, text), the table that it should be of, None for an index of any other."""
         from pyspark.errors import AnalysisException
         read = spark.read.parquet
         try:
@@ -115,6 +118,8 @@ class SearchIndex:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             return None
+        if chunks is not None and n["fingerprint"] != str(fingerprint(chunks)):
+            return None
         blocks, idf = read(f"{path}/chunks"), read(f"{path}/idf")
         ivf = (vx.IvfIndex(read(f"{path}/ivf/centroids"), read(f"{path}/ivf/lists"), read(f"{path}/ivf/sizes"), n["ivf_dirs"])
                if n["ivf_dirs"] else None)

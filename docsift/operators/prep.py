@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docsift.functions.arrays import explode_rows, posexplode_rows
 from docsift.functions import text as tx
-from docsift.operators.ids import running_offsets
+from docsift.operators.ids import dense_ids, running_offsets
 
 # --------------------------------------------------------------------- C1-C4
 def page_ranges(manifest: DataFrame, per_split: int = tx.PAGES_PER_SPLIT) -> DataFrame:
@@ -212,12 +212,13 @@ def chunk_documents(docs: DataFrame, max_tokens: int = tx.MAX_TOKENS) -> DataFra
 
 
 # ------------------------------------------------------------------- C10-C14
-def assign_chunk_ids(chunks: DataFrame) -> DataFrame:
-    """Dense global 1-based chunk ids in (doc_id, pos) order, from a
-    per-document running sum (no global single-task window)."""
-    counts = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    off = running_offsets(counts, "doc_id", "n")
-    return (chunks.join(off.select("doc_id", "offset"), "doc_id")
+def assign_chunk_ids(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Dense global 1-based chunk ids in (``key``, pos) order, from a
+    per-document running sum (no global single-task window). The key may be of any
+    type that sorts: numbers, names, hashes."""
+    counts = chunks.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    off = running_offsets(counts, key, "n")
+    return (chunks.join(off.select(key, "offset"), key)
             .withColumn("chunk_id", (F.col("offset") + F.col("pos")).cast("bigint"))
             .drop("offset"))
 
@@ -254,3 +255,11 @@ def document_table(docs: DataFrame) -> DataFrame:
                  F.lit(".json")).alias("filename"),
         F.lit("pdf").alias("doctype"),
         F.lit("").alias("text"))
+
+
+def document_ids(docs: DataFrame) -> DataFrame:
+    """C14 with ids of its own: (id, document_id, filename), ids 1, 2, ... in the
+    order of the files' paths; documents of one path follow by document id."""
+    files = document_table(docs).select(F.col("id").alias("document_id"), "filename")
+    return (dense_ids(files, ["filename"], "id", tie_cols=["document_id"])
+            .select(F.col("id").cast("bigint").alias("id"), F.col("document_id").cast("bigint").alias("document_id"), "filename"))

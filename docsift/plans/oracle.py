@@ -122,11 +122,11 @@ psg AS (SELECT chunk_id, trim(text) AS text FROM ct),
 ptok AS MATERIALIZED (SELECT chunk_id, {tok} AS toks FROM psg),
 post AS MATERIALIZED (SELECT chunk_id, term, count(*) AS tf, any_value(dl) AS dl
          FROM (SELECT chunk_id, len(toks) AS dl, unnest(toks) AS term FROM ptok) GROUP BY chunk_id, term),
-stats AS (SELECT count(*) AS n, sum(len(toks)) / count(*) AS avgdl FROM ptok),
+stats AS MATERIALIZED (SELECT count(*) AS n, sum(len(toks)) / count(*) AS avgdl FROM ptok),
 dfs AS MATERIALIZED (SELECT term, count(*) AS df FROM post GROUP BY term),
-rawidf AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM dfs, stats),
-meanidf AS (SELECT avg(raw) AS m FROM rawidf),
-idf AS (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * m ELSE raw END AS idf FROM rawidf, meanidf),
+rawidf AS MATERIALIZED (SELECT term, df, ln((SELECT n FROM stats) - df + 0.5) - ln(df + 0.5) AS raw FROM dfs),
+meanidf AS MATERIALIZED (SELECT avg(raw) AS m FROM rawidf),
+idf AS MATERIALIZED (SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT m FROM meanidf) ELSE raw END AS idf FROM rawidf),
 bidx AS MATERIALIZED (SELECT p.term, p.chunk_id, p.tf, i.df,
                 i.idf * p.tf * 2.5 / (p.tf + 1.5 * (0.25 + 0.75 * p.dl / s.avgdl)) AS w
          FROM post p JOIN idf i USING (term), stats s)

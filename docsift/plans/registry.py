@@ -17,6 +17,8 @@ from docsift.operators import incremental as D
 from docsift.operators import lexical as L
 from docsift.operators import lookup as B
 from docsift.operators import prep as C
+from docsift.operators import quantized as PQ
+from docsift.operators import segments as G
 from docsift.operators import vectors as V
 from docsift.operators.summarize import extractive_summary
 from docsift.plans import corpus
@@ -210,8 +212,9 @@ def q_update_rows(spark, sf):
 @register("index_roundtrip", _w(*IDX) + " SELECT term, df, round(idf, 6) AS idf FROM idf")
 def q_index_roundtrip(spark, sf):
     path = scratch_path(spark, "index")
-    search_index(spark, sf).save(path)
-    got = H.SearchIndex.load(spark, path)
+    index = search_index(spark, sf)
+    index.save(path)
+    got = H.SearchIndex.load(spark, path, index.chunks)
     return got.idf.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
@@ -383,6 +386,22 @@ def q_document_table(spark, sf):
     return C.document_table(docs(spark, sf))
 
 
+@register("document_ids", _w(SQL_DOCTABLE) + """ SELECT CAST(row_number() OVER (ORDER BY filename, id) AS BIGINT) AS id,
+  CAST(id AS BIGINT) AS document_id, filename FROM dt""")
+def q_document_ids(spark, sf):
+    return C.document_ids(docs(spark, sf))
+
+
+# Chunk ids over hashed document keys, which lie anywhere in the range of their type.
+@register("assign_chunk_ids_hashed", _w(O.CHUNKS, """hk AS (SELECT md5(CAST(doc_id AS VARCHAR)) AS doc_key, pos, text FROM ch),
+cn AS (SELECT doc_key, count(*) AS n FROM hk GROUP BY doc_key),
+co AS (SELECT doc_key, coalesce(sum(n) OVER (ORDER BY doc_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM cn)""")
+          + " SELECT doc_key, pos, text, CAST(off + pos AS BIGINT) AS chunk_id FROM hk JOIN co USING (doc_key)")
+def q_assign_chunk_ids_hashed(spark, sf):
+    c = C.chunk_documents(docs(spark, sf)).select(F.md5(F.col("doc_id").cast("string")).alias("doc_key"), "pos", "text")
+    return C.assign_chunk_ids(c, "doc_key")
+
+
 # ======================================================= D: incremental
 def _done(spark, sf):
     counts = C.chunk_documents(docs(spark, sf)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"))
@@ -489,6 +508,26 @@ SQL_BM25_SEARCH = _w(*IDX, O.BM25_SEARCH, O.SOURCES) + """ SELECT b.query_id, b.
   FROM btop b JOIN ct USING (chunk_id) LEFT JOIN src ON src.document_id = ct.document_id WHERE rank <= 3"""
 
 
+def grown_index(spark, sf) -> G.SegmentedIndex:
+    """The chunks in four additions, every eleventh deleted, half of those put
+    back with a text of their own, segments merged."""
+    c = chunks(spark, sf).select("chunk_id", "text")
+    index = G.SegmentedIndex.create(spark, scratch_path(spark, "segments"))
+    for part in range(4):
+        index = index.add(c.filter(F.col("chunk_id") % 4 == part))
+    index = index.delete(c.filter(F.col("chunk_id") % 11 == 0).select("chunk_id"))
+    changed = c.filter(F.col("chunk_id") % 22 == 0).withColumn("text", F.concat("text", F.lit(" reworded")))
+    return index.merge().update(changed)
+
+
+# The same hits as an index rebuilt from the final table.
+@register("bm25_segments", _w(O.CHUNK_TABLE, O.BM25.replace("trim(text) AS text FROM ct)", """trim(CASE WHEN chunk_id % 22 = 0
+  THEN text || ' reworded' ELSE text END) AS text FROM ct WHERE chunk_id % 11 <> 0 OR chunk_id % 22 = 0)"""), O.QUERIES, O.BM25_SEARCH)
+          + " SELECT query_id, rank, chunk_id, score FROM btop WHERE rank <= 5")
+def q_bm25_segments(spark, sf):
+    return grown_index(spark, sf).search(bench_queries(spark, sf), 5)
+
+
 @register("bm25_search", SQL_BM25_SEARCH)
 def q_bm25_search(spark, sf):
     return H.bm25_search(bench_queries(spark, sf), search_index(spark, sf))
@@ -579,6 +618,23 @@ def q_ann_recall(spark, sf):
     return V.ann_recall(approx, exact, stats, e.count(), 10)
 
 
+@register("ann_search_quantized")
+def q_ann_search_quantized(spark, sf):
+    e = _emb(spark, sf)
+    index = PQ.build(e, scratch_path(spark, "pq"))
+    return PQ.search(e.select(F.col("id").alias("query_id"), "vec"), index, k=10, exclude_self=True)
+
+
+@register("ann_recall_quantized")
+def q_ann_recall_quantized(spark, sf):
+    e = _emb(spark, sf)
+    q = e.select(F.col("id").alias("query_id"), "vec")
+    index = PQ.build(e, scratch_path(spark, "pq"))
+    approx = PQ.search(q, index, k=10, exclude_self=True)
+    exact = V.knn_exact(q, e, k=10, exclude_self=True)
+    return V.ann_recall(approx, exact, PQ.measured(q, index), e.count(), 10)
+
+
 SQL_SEMANTIC = _w(*IDX, O.CORPUS_VECTORS, O.SEMANTIC, O.SOURCES)
 
 

@@ -95,3 +95,15 @@ def test_a_saved_index_answers_as_the_built_one(spark):
     q = spark.createDataFrame([(1, "fence height"), (2, "permits")], "query_id long, text string")
     got = sorted(tuple(r) for r in H.hybrid_search(q, H.SearchIndex.load(spark, path)).collect())
     assert got == sorted(tuple(r) for r in H.hybrid_search(q, idx).collect())
+
+
+def test_a_stale_index_is_refused(spark, tmp_path):
+    chunks = spark.createDataFrame([(1, 1, 1, "chunk", "alpha beta"), (2, 1, 2, "chunk", "gamma")],
+                                   "chunk_id long, document_id long, pos int, kind string, text string")
+    sources = spark.createDataFrame([(1, "a.pdf")], "document_id long, source string")
+    path = str(tmp_path / "index")
+    H.SearchIndex.build(chunks, sources).save(path)
+    assert H.SearchIndex.load(spark, path, chunks) is not None
+    edited = chunks.withColumn("text", F.when(F.col("chunk_id") == 2, "gamma!").otherwise(F.col("text")))
+    for other in (edited, chunks.filter("chunk_id = 1"), chunks.union(edited.filter("chunk_id = 2"))):
+        assert H.SearchIndex.load(spark, path, other) is None

@@ -144,3 +144,27 @@ def test_dense_rank_ids_are_dense_and_ordered(spark):
     df = spark.createDataFrame([(k,) for k in keys], "k long")
     got = {r.k: r.id for r in dense_rank_ids(df, "k", shift=4).collect()}
     assert got == {k: i + 1 for i, k in enumerate(sorted(keys))}
+
+
+def test_offsets_over_names_hashes_and_ranges(spark):
+    from docsift.operators.ids import dense_ids, range_offsets
+    rnd = random.Random(6)
+    data = [(f"k{rnd.getrandbits(60):x}" if i else None, rnd.getrandbits(62) * rnd.choice((1, -1)), rnd.randint(0, 5)) for i in range(200)]
+    df = spark.createDataFrame(data, "name string, hash long, n int").repartition(5)
+    for shift in (3, 19):  # many ranges, one
+        for key, at in (("name", 0), ("hash", 1)):
+            acc = 0
+            got = {r[key]: r.offset for r in range_offsets(df, [key], "n", shift=shift).collect()}
+            for r in sorted(data, key=lambda r: (r[at] is not None, r[at] if r[at] is not None else 0)):
+                assert got[r[at]] == acc
+                acc += r[2]
+    ids = dense_ids(spark.createDataFrame([("b", 2), ("a", 9), ("b", 1), ("a", 9)], "f string, d int"), ["f"], tie_cols=["d"])
+    assert sorted((r.id, r.f, r.d) for r in ids.collect()) == [(1, "a", 9), (2, "a", 9), (3, "b", 1), (4, "b", 2)]
+    assert range_offsets(df.limit(0), ["name"], "n").count() == 0
+
+
+def test_one_key_for_most_rows_gets_one_rank(spark):
+    from docsift.operators.ids import dense_rank_ids
+    df = spark.createDataFrame([("hot",)] * 300 + [("a",), (None,), ("z",)], "k string")
+    got = {(r.k, r.id) for r in dense_rank_ids(df, "k", shift=2).collect()}
+    assert got == {(None, 1), ("a", 2), ("hot", 3), ("z", 4)}
