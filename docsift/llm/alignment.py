@@ -14,12 +14,13 @@ tokens whose byte ranges overlap are linked.
 
 Both tokenizers cut at a single space between two other characters, whatever stands around
 it, so texts are aligned in units of that kind, the distinct units of some texts at a time, as
-one byte string. The table of pairs is at most the product of two
+one byte string; a task remembers, up to a bound, those that come again. The table of pairs is at most the product of two
 vocabularies; up to ``BROADCAST_PAIRS`` it is broadcast, beyond that texts' pairs meet it in a join.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import math
@@ -41,7 +42,10 @@ BUCKET_PAIRS = 50_000
 FAN = 16
 BROADCAST_PAIRS = 4_000_000
 #: Characters that a task aligns at a time.
-PART_CHARS = 2_000_000
+PART_CHARS = 5_000_000
+#: Units that a task remembers, and their longest.
+MEMO_UNITS = 120_000
+MEMO_CHARS = 40
 #: Pairs a task gathers before it hands them on.
 TASK_PAIRS = 500_000
 SHIFT = 32
@@ -68,18 +72,25 @@ def byte_characters() -> dict[str, int]:
 
 class Aligned:
     """Alignments of units: n_a, n_b, n_groups, n_links (0 for units of which a tokenizer
-    doesn't keep the bytes, where ``ok`` is false), their linked pairs one after
-    the other, and, if asked for, the text of their groups, each group ended by a semicolon."""
+    doesn't keep the bytes, where ``ok`` is false); the linked pairs of the units in
+    ``order``, one after the other, a unit's from ``start``; and, if asked for, the text of
+    each one's groups, each group ended by a semicolon."""
 
     def __init__(self, size: int):
         self.ok = np.ones(size, bool)
         self.counts = np.zeros((size, 4), np.int64)
+        self.order, self.start = np.arange(size), np.zeros(size, np.int64)
         self.pairs = np.zeros(0, np.int64)
         self.texts: list[bytes] = [b""] * size
 
+    def placed(self) -> "Aligned":
+        n = self.counts[self.order, 3]
+        self.start[self.order] = np.cumsum(n) - n
+        return self
 
-class Aligner:
-    """Aligns texts in units; one for each task."""
+
+class Tables:
+    """Two tokenizers and what their vocabularies say; loaded once a worker."""
 
     def __init__(self, a_path: str, b_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use the cores
@@ -107,6 +118,18 @@ class Aligner:
         p = self.b.id_to_piece(i)
         return bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
 
+
+_tables = functools.lru_cache(maxsize=1)(Tables)
+
+
+class Aligner:
+    """Aligns texts in units; one for each task. Units that some texts hold more than once
+    are remembered, up to a bound."""
+
+    def __init__(self, a_path: str, b_path: str):
+        self.__dict__.update(_tables(a_path, b_path).__dict__)
+        self.memo: dict[str, tuple] = {}
+
     def units(self, text: str) -> list[str]:
         return _BORDER.split(text) if self.in_units else [text]
 
@@ -149,7 +172,31 @@ class Aligner:
             out += [ids, np.diff(last + 1, prepend=0)]
         return [tuple(out)]
 
-    def aligned(self, units: list[str], texts: bool = True) -> Aligned:
+    def aligned(self, units: list[str], texts: bool = True, times: np.ndarray | None = None) -> Aligned:
+        """``times``: how often each unit occurs."""
+        out, memo = Aligned(len(units)), self.memo
+        known = [memo.get(u) for u in units]
+        old = [k for k, m in enumerate(known) if m is not None]
+        new = [k for k, m in enumerate(known) if m is None]
+        made = self._aligned([units[k] for k in new], texts)
+        at = np.array(new, np.int64)
+        out.ok[at], out.counts[at] = made.ok, made.counts
+        for k, t in zip(new, made.texts):
+            out.texts[k] = t
+        if old:
+            out.counts[old] = [known[k][0] for k in old]
+            for k in old:
+                out.texts[k] = known[k][2]
+        out.pairs = np.concatenate([*(known[k][1] for k in old), made.pairs])
+        out.order = np.concatenate([np.array(old, np.int64), at[made.ok]])
+        if times is not None and len(memo) < MEMO_UNITS:
+            often = [(k, i) for i, k in enumerate(new) if times[k] > 1 and made.ok[i] and len(units[k]) <= MEMO_CHARS]
+            for k, i in often[:MEMO_UNITS - len(memo)]:
+                lo, n = made.start[i], made.counts[i, 3]
+                memo[units[k]] = (tuple(made.counts[i].tolist()), made.pairs[lo:lo + n].copy(), made.texts[i])
+        return out.placed()
+
+    def _aligned(self, units: list[str], texts: bool) -> Aligned:
         """Units one after the other are one byte string, in which every unit ends a group."""
         out = Aligned(len(units))
         a, n_a, b, n_b = self._encoded(units)
@@ -164,6 +211,7 @@ class Aligner:
                 i, j = i + n, j + m
             a, b = a[np.repeat(out.ok, n_a)], b[np.repeat(out.ok, n_b)]
             n_a, n_b = n_a[out.ok], n_b[out.ok]
+        out.order = np.nonzero(out.ok)[0]
         if not len(a):
             return out
         a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
@@ -186,27 +234,30 @@ class Aligner:
             for k, n in zip(np.nonzero(out.ok)[0].tolist(), (n_a + n_b).tolist()):
                 out.texts[k] = b"".join(written[to:to + n])
                 to += n
-        return out
+        return out.placed()
 
-    def documents(self, texts: list[str | None], written: bool = True) -> tuple[Aligned, list[list[int] | None]]:
+    def documents(self, texts: list[str | None], written: bool = True) -> tuple[Aligned, list[list[int] | None], np.ndarray]:
         """(alignments of the texts' distinct units, each text's units as
-        positions there; None for a text without tokens)."""
+        positions there, None for a text without tokens; how often each unit occurs in the others)."""
         seen: dict[str, int] = {}
         place = seen.setdefault
         rows = [[place(u, len(seen)) for u in self.units(t)] if t else None for t in texts]
-        found = self.aligned(list(seen), written)
+        count = lambda: np.bincount([k for r in rows if r is not None for k in r], minlength=len(seen)).astype(np.int64)
+        times = count()
+        found = self.aligned(list(seen), written, times)
         if not found.ok.all():
             bad = set(np.nonzero(~found.ok)[0].tolist())
             rows = [None if r is None or not bad.isdisjoint(r) else r for r in rows]
-        return found, rows
+            times = count()
+        return found, rows, times
 
 
 def _parts(texts: list[str | None]) -> Iterator[slice]:
-    """Slices of at most 1024 texts and, but for a longer one, ``PART_CHARS`` characters."""
+    """Slices of at most 2048 texts and, but for a longer one, ``PART_CHARS`` characters."""
     start = size = 0
     for k, t in enumerate(texts):
         n = len(t or "")
-        if k > start and (k - start == 1024 or size + n > PART_CHARS):
+        if k > start and (k - start == 2048 or size + n > PART_CHARS):
             yield slice(start, k)
             start, size = k, 0
         size += n
@@ -240,12 +291,9 @@ def task_counts(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id
         for b in batches:
             texts = list(b["text"])
             for part_ in _parts(texts):
-                found, rows = aligner.documents(texts[part_], written=False)
-                used = [k for r in rows if r is not None for k in r]
-                if not used:
-                    continue
-                times = np.repeat(np.bincount(used, minlength=len(found.ok)), found.counts[:, 3])
-                parked.append(merged([(found.pairs[times > 0], times[times > 0])]))
+                found, _, times = aligner.documents(texts[part_], written=False)
+                n = np.repeat(times[found.order], found.counts[found.order, 3])
+                parked.append(merged([(found.pairs[n > 0], n[n > 0])]))
                 if sum(len(p) for p, _ in parked) > TASK_PAIRS:
                     pairs, counts = merged([(pairs, counts), *parked])
                     parked = []
@@ -389,10 +437,9 @@ def _sums(found: Aligned, shared: PairTable | None) -> np.ndarray:
     out[:, :4] = found.counts
     if shared is not None and len(found.pairs):
         at = shared.slots(found.pairs)
-        n = found.counts[found.ok, 3]
-        start = np.cumsum(n) - n
-        out[found.ok, 4] = np.add.reduceat(shared.best[at].astype(np.int64), start)
-        out[found.ok, 5] = np.add.reduceat(shared.counts[at], start)
+        start = found.start[found.order]
+        out[found.order, 4] = np.add.reduceat(shared.best[at].astype(np.int64), start)
+        out[found.order, 5] = np.add.reduceat(shared.counts[at], start)
     return out
 
 
@@ -403,7 +450,7 @@ def looked_up(docs: DataFrame, a_path: str, b_path: str, shared, id_col: str, te
         for b in batches:
             texts, doc = list(b["text"]), b["doc"].astype("Int64")
             for part in _parts(texts):
-                found, rows = aligner.documents(texts[part])
+                found, rows, _ = aligner.documents(texts[part])
                 yield _frame(doc.iloc[part], found, rows, _sums(found, pairs))
 
     return _rows(docs, id_col, text_col).mapInPandas(run, _OUT)
@@ -428,15 +475,14 @@ def joined_up(docs: DataFrame, a_path: str, b_path: str, pairs: DataFrame, id_co
         for b in batches:
             texts, doc = list(b["text"]), b["doc"].astype("Int64")
             for part in _parts(texts):
-                found, rows = aligner.documents(texts[part])
-                ends = np.cumsum(found.counts[:, 3])
+                found, rows, _ = aligner.documents(texts[part])
                 out = _frame(doc.iloc[part], found, rows, _sums(found, None))
                 out["row"] = np.arange(row, row + len(out))
                 out["pair"], out["times"] = pd.array([None] * len(out), dtype="Int64"), 0
                 yield out
                 for k, r in enumerate(rows):
                     if r is not None:
-                        p, n = np.unique(np.concatenate([found.pairs[ends[u] - found.counts[u, 3]:ends[u]] for u in r]),
+                        p, n = np.unique(np.concatenate([found.pairs[found.start[u]:found.start[u] + found.counts[u, 3]] for u in r]),
                                          return_counts=True)
                         yield pd.DataFrame({"pair": p, "times": n, "row": row + k}).reindex(columns=out.columns).astype(
                             {c: "Int64" for c in out.columns if c != "groups_sha256"} | {"groups_sha256": object})

@@ -89,6 +89,8 @@ def test_small_parts_change_nothing(spark, docs, monkeypatch):
     want = got(al.aligned(df, A, B))
     monkeypatch.setattr(al, "PART_CHARS", 50)
     assert got(al.aligned(df, A, B)) == want
+    monkeypatch.setattr(al, "MEMO_UNITS", 2)
+    assert got(al.aligned(df, A, B)) == want
 
 
 def test_perfect_hash_is_minimal_and_verified():
