@@ -7,7 +7,9 @@
 3. Phrase search walks those lists from the rarest: a posting gives the
    offset-adjusted start of a possible occurrence, and each further list
    keeps only starts it confirms.
-4. What is left is compared word for word with its document.
+4. What is left is compared word for word with its document: a row for each
+   occurrence, of documents that have any. Other documents' texts are read and
+   tokenised twice, for the counts and for the postings, and never shuffled.
 
 A common word is a probe only of windows that hold nothing rarer, so the
 lists stay short while every occurrence is found: an occurrence has all of
@@ -54,15 +56,13 @@ def document_key(id_col: str, text_col: str) -> Column:
 
 
 def windows_of(items: DataFrame, width: int = WINDOW) -> DataFrame:
-    """items (item_id, text) -> (win, phrase, len, words, item_ids): each
-    distinct run of ``width`` consecutive words (the whole item, if shorter)."""
+    """items (item_id, text) -> (win, words, item_id): the distinct runs of
+    ``width`` consecutive words of each item (the whole item, if shorter)."""
     w = items.select("item_id", words_of(F.col("text")).alias("words")).filter(F.size("words") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("words") - width + 1, F.lit(1)))
     return (w.select("item_id", "words", F.explode(starts).alias("at"))
             .select("item_id", F.slice("words", F.col("at"), F.lit(width)).alias("words"))
-            .groupBy("words").agg(F.collect_set("item_id").alias("item_ids"))
-            .select(F.xxhash64("words").alias("win"), F.array_join("words", " ").alias("phrase"),
-                    F.size("words").alias("len"), "words", "item_ids"))
+            .select(F.xxhash64("words").alias("win"), "words", "item_id").distinct())
 
 
 def _sized(df: DataFrame, rows: int) -> DataFrame:
@@ -70,13 +70,26 @@ def _sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= PLAN_BROADCAST_ROWS else df
 
 
+def scanned(docs: DataFrame, terms: DataFrame, n_terms: int,
+            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, th, n_words, term_id, pos) from one pass over the whole texts: a row
+    for every occurrence of ``terms`` (term, term_id), positions from 0, and in any
+    case one for each text's last word, or for its lack of words. That row alone
+    has doc and n_words."""
+    last = F.coalesce(F.col("pos") == F.col("size") - 1, F.lit(True))
+    return (docs.select(F.col(id_col).alias("doc"), document_key(id_col, text_col), raw_words(F.col(text_col)).alias("words"))
+            .select("doc", "th", F.size("words").alias("size"), F.posexplode_outer("words").alias("pos", "word"))
+            .withColumn("term", lowered(F.col("word")))
+            .join(_sized(terms.select("term", "term_id"), n_terms), "term", "left")
+            .withColumn("last", last).filter("last or term_id is not null")
+            .select(F.when(F.col("last"), F.col("doc")).alias("doc"), "th",
+                    F.when(F.col("last"), F.col("size")).alias("n_words"), "term_id", "pos"))
+
+
 def postings(docs: DataFrame, terms: DataFrame, n_terms: int,
              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The positional index: (term_id, th, pos) of every occurrence of
-    ``terms`` (term, term_id) in the whole texts. Positions count from 0."""
-    return (docs.select(document_key(id_col, text_col), F.posexplode(raw_words(F.col(text_col))).alias("pos", "word"))
-            .withColumn("term", lowered(F.col("word")))
-            .join(_sized(terms.select("term", "term_id"), n_terms), "term").select("term_id", "th", "pos"))
+    """The positional index alone: (term_id, th, pos) of every occurrence."""
+    return scanned(docs, terms, n_terms, id_col, text_col).filter("term_id is not null").select("term_id", "th", "pos")
 
 
 def term_counts(docs: DataFrame, terms: DataFrame, n_terms: int,
@@ -132,17 +145,72 @@ def proximity_matches(index: DataFrame, pairs: DataFrame, within: int) -> DataFr
             .select("pair_id", "th", "pos_a", "pos_b"))
 
 
+def near_words(docs: DataFrame, pairs: DataFrame, within: int, id_col: str = "doc_id",
+               text_col: str = "text") -> DataFrame:
+    """pairs (pair_id, a, b) of words -> (``id_col``, pair_id, pos_a, pos_b):
+    everywhere in the whole texts where the two words are at most ``within``
+    positions apart, in either order. The index holds the postings of all the
+    pairs' words. Words are compared after lower-casing A-Z; pairs with a null or an
+    absent word match nothing; repeated documents give their matches each."""
+    low = pairs.select("pair_id", ascii_lower(F.col("a")).alias("a"), ascii_lower(F.col("b")).alias("b"))
+    terms = stored(low.select(F.col("a").alias("term")).union(low.select("b")).filter("term is not null").distinct()
+                   .withColumn("term_id", F.xxhash64("term")), "terms")
+    found = stored(scanned(docs, terms, terms.count(), id_col, text_col), "postings")
+    index = found.filter("term_id is not null").select("term_id", "th", "pos").distinct()  # of repeated rows, one
+    ids = low.select("pair_id", F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")).filter("a is not null and b is not null")
+    rows = found.filter("n_words is not null").select("th", F.col("doc").alias(id_col))
+    return proximity_matches(index, ids, within).join(rows, "th").select(id_col, "pair_id", "pos_a", "pos_b")
+
+
 def find_phrases(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id",
-                 text_col: str = "text") -> DataFrame:
-    """(th, start, win) that the index confirms, for stored ``windows``."""
+                 text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """((th, start, win) that the index confirms, for stored ``windows``;
+    (doc, th, n_words) of every row of ``docs``)."""
     terms = stored(windows.select(F.explode("words").alias("term")).distinct(), "terms")
     n_terms = terms.count()
     counts = term_counts(docs, terms, n_terms, id_col, text_col)
     plan = stored(probe_plan(windows, counts), "plan")
     n_plan = plan.count()
     listed = stored(plan.select("term", "term_id").distinct(), "listed")
-    index = stored(postings(docs, listed, n_terms, id_col, text_col), "postings")
-    return phrase_starts(index, plan, n_plan)
+    found = stored(scanned(docs, listed, n_terms, id_col, text_col), "postings")
+    # Repeated rows have one key, and their postings count once.
+    index = found.filter("term_id is not null").select("term_id", "th", "pos").distinct()
+    return (phrase_starts(index, plan, n_plan).distinct(),
+            found.filter("n_words is not null").select("doc", "th", "n_words"))
+
+
+def confirmed(docs: DataFrame, starts: DataFrame, windows: DataFrame, id_col: str = "doc_id",
+              text_col: str = "text") -> DataFrame:
+    """(doc, th, start, len, win): the ``starts`` (th, start, win) at which the
+    document's words are the window's, word for word. Only documents with a start
+    are read; each occurrence is a row of its own."""
+    keys = stored(starts.select("th").distinct(), "candidate_keys")
+    texts = (docs.select(F.col(id_col).alias("doc"), document_key(id_col, text_col), F.col(text_col).alias("text"))
+             .join(_sized(keys, keys.count()), "th").select("doc", "th", "text").distinct())
+    words = stored(texts.select("doc", "th", words_of(F.col("text")).alias("words")), "candidates")
+    phrases = windows.select("win", F.size("words").alias("len"), F.array_join("words", " ").alias("phrase"))
+    met = starts.join(_sized(phrases, windows.count()), "win").join(words, "th")
+    held = F.array_join(F.slice("words", F.col("start") + 1, F.col("len")), " ") == F.col("phrase")
+    return met.filter(held).select("doc", "th", "start", "len", "win")
+
+
+def phrase_matches(docs: DataFrame, items: DataFrame, width: int = WINDOW, id_col: str = "doc_id",
+                   text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((doc, th, start, len, win) of all occurrences; (win, item_id);
+    (doc, th, n_words) of every row of ``docs``)."""
+    owned = stored(windows_of(items.filter(F.col("item_id").isNotNull()), width), "owned_windows")
+    windows = stored(owned.select("win", "words").distinct(), "windows")
+    starts, rows = find_phrases(docs, windows, id_col, text_col)
+    found = confirmed(docs, stored(starts, "starts"), windows, id_col, text_col)
+    return stored(found, "occurrences"), owned.select("win", "item_id"), rows
+
+
+def phrase_spans(docs: DataFrame, items: DataFrame, width: int = WINDOW, id_col: str = "doc_id",
+                 text_col: str = "text") -> DataFrame:
+    """(``id_col``, item_id, start, len): every occurrence of every window of
+    every item, in words from 0; of repeated rows once."""
+    found, owners, _ = phrase_matches(docs, items, width, id_col, text_col)
+    return found.join(owners, "win").select(F.col("doc").alias(id_col), "item_id", "start", "len")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = WINDOW, id_col: str = "doc_id",
@@ -154,34 +222,29 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WINDOW, id_col
     the empty string); items without words, or with a null id, match nothing;
     repeated documents each get their row; an empty table on either side
     gives no hits. Columns other than the id and the text are not read.
+    Occurrences stay rows: a passage that many items share is joined to them after
+    a document's repeats of it are one row.
     """
-    items = items.filter(F.col("item_id").isNotNull())
-    windows = stored(windows_of(items, width), "windows")
-    starts = find_phrases(docs, windows, id_col, text_col)
-    hits = (starts.join(windows.select("win", "phrase", "len", "item_ids"), "win")
-            .groupBy("th")
-            .agg(F.collect_list(F.struct("start", "len", "phrase", "item_ids")).alias("found")))
-    d = docs.select(F.col(id_col).alias("doc"), document_key(id_col, text_col), F.col(text_col).alias("text"))
-    d = (d.join(hits, "th", "left").select("doc", "found", raw_words(F.col("text")).alias("words")))
-    none = F.array().cast("array<struct<start:int,len:int,phrase:string,item_ids:array<bigint>>>")
-    exact = F.when(F.col("found").isNull(), none).otherwise(F.array_sort(F.filter(
-        "found", lambda f: F.array_join(F.transform(F.slice("words", f["start"] + 1, f["len"]), lowered), " ")
-        == f["phrase"])))
-    zero = F.struct(F.lit(0).alias("upto"), F.lit(0).alias("n"))
-    covered = F.aggregate(
-        "exact", zero,
-        lambda a, f: F.struct(
-            F.greatest(a["upto"], f["start"] + f["len"]).alias("upto"),
-            (a["n"] + F.greatest(F.lit(0), f["start"] + f["len"] - F.greatest(a["upto"], f["start"]))).alias("n")),
-        lambda a: a["n"])
-    ids = F.array_sort(F.array_distinct(F.flatten(F.transform("exact", lambda f: f["item_ids"]))))
-    return (d.select("doc", F.size("words").cast("long").alias("n_words"), exact.alias("exact"))
-            .select("doc", "n_words", covered.cast("long").alias("n_hit"), ids.alias("item_ids"))
-            .select(F.col("doc").alias(id_col), "n_words", "n_hit",
-                    F.size("item_ids").cast("long").alias("n_items"),
-                    F.sha2(F.array_join(F.array_sort(F.col("item_ids").cast("array<string>")), ",").cast("binary"),
-                           256).alias("items_sha256"),
-                    "item_ids", (F.col("n_hit") > 0).alias("contaminated")))
+    found, owners, rows = phrase_matches(docs, items, width, id_col, text_col)
+    before = Window.partitionBy("doc", "th").orderBy("start", "len").rowsBetween(Window.unboundedPreceding, -1)
+    end = F.col("start") + F.col("len")
+    covered = (found.select("doc", "th", "start", "len").distinct()
+               .withColumn("upto", F.coalesce(F.max(end).over(before), F.lit(0)))
+               .groupBy("doc", "th")
+               .agg(F.sum(F.greatest(F.lit(0), end - F.greatest("upto", "start"))).cast("long").alias("n_hit")))
+    held = (found.select("doc", "th", "win").distinct().join(owners, "win")
+            .groupBy("doc", "th").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids")))
+    same = lambda a, b: a["th"].eqNullSafe(b["th"]) & a["doc"].eqNullSafe(b["doc"])
+    hits = stored(covered.join(held, same(covered, held)).select(covered["doc"], covered["th"], "n_hit", "item_ids"), "hits")
+    hits = _sized(hits, hits.count())
+    none = F.array().cast(hits.schema["item_ids"].dataType)
+    out = (rows.join(hits, same(rows, hits), "left")
+           .select(rows["doc"], F.col("n_words").cast("long").alias("n_words"),
+                   F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids")))
+    return out.select(F.col("doc").alias(id_col), "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+                      F.sha2(F.array_join(F.array_sort(F.col("item_ids").cast("array<string>")), ",").cast("binary"),
+                             256).alias("items_sha256"),
+                      "item_ids", (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

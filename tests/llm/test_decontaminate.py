@@ -56,12 +56,44 @@ def test_long_text(spark):
     assert found(spark, docs, [(7, item)]) == brute(docs, [(7, item)])
 
 
-def test_proximity(spark):
-    docs = [(1, "alpha b c beta d e alpha"), (2, "beta " * 3 + "x " * 50 + "alpha")]
+def test_repeated_passage_of_many_items(spark):
+    passage = " ".join(f"p{i}" for i in range(10))
+    items = [(i, passage) for i in range(200)] + [(200, "p9 p0 p1")]
+    docs = [(1, (passage + " ") * 3000), (1, (passage + " ") * 3000), (2, "q " + passage), (3, "p0 p1")]
+    whole = hashlib.sha256(",".join(sorted(map(str, range(201)))).encode()).hexdigest()
+    got = found(spark, docs, items)
+    assert got[0] == got[1] == (1, 30000, 30000, 201, whole, True)
+    assert got[2][:4] == (2, 11, 10, 200) and got[3][:4] == (3, 2, 0, 0)
+
+
+def test_spans(spark):
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choice(["a", "B", "c"]) for _ in range(n))
+    items = [(i, text(rng.choice([2, 4, 5]))) for i in range(6)]
+    docs = [(i, text(30)) for i in range(10)] + [(20, None)]
     d = spark.createDataFrame(docs, "doc_id long, text string")
-    terms = spark.createDataFrame([("alpha", 1), ("beta", 2)], "term string, term_id long")
-    pairs = spark.createDataFrame([(0, 1, 2)], "pair_id int, a long, b long")
-    keys = d.select("doc_id", dc.document_key("doc_id", "text"))
-    got = (dc.proximity_matches(dc.postings(d, terms, 2), pairs, 3).join(keys, "th")
-           .select("doc_id", "pos_a", "pos_b").collect())
-    assert sorted(map(tuple, got)) == [(1, 0, 3), (1, 6, 3)]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(map(tuple, dc.phrase_spans(d, b, width=4).collect()))
+    want = set()
+    for i, t in items:
+        w = words(t)
+        for k in range(max(len(w) - 4, 0) + 1):
+            run = w[k:k + 4]
+            for doc, dt in docs:
+                x = words(dt)
+                want |= {(doc, i, s, len(run)) for s in range(len(x) - len(run) + 1) if x[s:s + len(run)] == run}
+    assert got == sorted(want)
+
+
+def test_proximity(spark):
+    rng = random.Random(9)
+    vocab = ["Alpha", "beta", "gamma", "x", "y", "z"]
+    docs = [(i, " ".join(rng.choice(vocab) for _ in range(rng.choice([0, 3, 60])))) for i in range(20)]
+    docs += [(30, None), docs[0], (None, "alpha beta")]
+    pairs = [(0, "alpha", "BETA"), (1, "gamma", "gamma"), (2, "alpha", "nowhere"), (3, None, "beta"), (4, "beta", "alpha")]
+    d = spark.createDataFrame([(*r, 1) for r in docs], "doc_id long, text string, pos int")
+    p = spark.createDataFrame(pairs, "pair_id int, a string, b string")
+    got = sorted(map(tuple, dc.near_words(d, p, 3).collect()), key=str)
+    want = [(doc, k, i, j) for doc, t in docs for k, a, b in pairs if a and b for w in [words(t)]
+            for i, x in enumerate(w) if x == a.lower() for j, y in enumerate(w) if y == b.lower() and i != j and abs(i - j) <= 3]
+    assert got == sorted(want, key=str)
