@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from docsift.llm.common import sized_broadcast, stored, table
+from docsift.llm.common import BROADCAST_ROWS, sized_broadcast, stored, table
 from docsift.llm.components import components
 
 WORDS = 5
@@ -195,7 +195,8 @@ def least_lists(n1: str, n2: str, most: str) -> str:
 
 
 def shared_counts(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (u, v, ...) of nodes, with u_n, v_n and ``shared`` = |u & v| from the whole sets."""
+    """Stored pairs (u, v, ...) of nodes, with u_n, v_n and ``shared`` = |u & v| from
+    the whole sets. Of sets, only those of counted few pairs are shuffled."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             left, right = b.column("u_set"), b.column("v_set")
@@ -214,6 +215,8 @@ def shared_counts(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     u = sets.select(F.col("node").alias("u"), F.col("set").alias("u_set"))
     v = sets.select(F.col("node").alias("v"), F.col("set").alias("v_set"))
+    if pairs.count() <= BROADCAST_ROWS:
+        u, v = (x.join(F.broadcast(pairs.select(k)), k, "left_semi") for x, k in ((u, "u"), (v, "v")))
     full = pairs.join(u, "u").join(v, "v")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in full.schema if not f.name.endswith("_set"))
     return full.mapInArrow(run, schema + ", u_n long, v_n long, shared long")
@@ -221,8 +224,8 @@ def shared_counts(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def set_table(docs: DataFrame, members: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(node, set) of the given nodes, from one document of each class: that of the
-    smallest id, or a text of rows without an id where a class has no other. The
-    texts meet these in one shuffle; repeated rows are dropped where it puts them."""
+    smallest id, or a text of rows without an id where a class has no other. Counted
+    few of these go to the texts; else both meet in one shuffle."""
     one = stored(members.join(nodes, "node").groupBy("node")
                  .agg(F.min("doc").alias("doc"), F.min("unnamed").alias("unnamed")), "chosen")
 
@@ -233,10 +236,10 @@ def set_table(docs: DataFrame, members: DataFrame, nodes: DataFrame, id_col: str
             # An id may be on several texts; only the class's own one counts.
             yield out[[_node(s) == k for s, k in zip(sets, b["node"])]]
 
-    texts = _texts(docs, id_col, text_col)
-    rows = (texts.drop("unnamed").join(one.filter("doc is not null").select("node", "doc"), "doc")
+    texts, sent = _texts(docs, id_col, text_col), F.broadcast if one.count() <= BROADCAST_ROWS else lambda df: df
+    rows = (texts.drop("unnamed").join(sent(one.filter("doc is not null").select("node", "doc")), "doc")
             .dropDuplicates(["doc", "node", "text"]).select("node", "text"))
-    unnamed = (texts.filter("doc is null").join(one.filter("doc is null").select("node", "unnamed"), "unnamed")
+    unnamed = (texts.filter("doc is null").join(sent(one.filter("doc is null").select("node", "unnamed")), "unnamed")
                .dropDuplicates(["unnamed", "node", "text"]).select("node", "text"))
     return stored(rows.unionByName(unnamed).mapInPandas(run, "node long, set array<bigint>"), "sets")
 
@@ -349,7 +352,7 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ends = compared.filter(link).select("u", "v")
     heads = stored(heads.join(ends.union(ends.select("v", "u")).toDF("node", "head"), ["node", "head"], "left_semi"), "heads")
     across = stored(head_pairs(entries, heads), "head_pairs")
-    fresh = across.join(compared.select("u", "v"), ["u", "v"], "left_anti")
+    fresh = stored(across.join(compared.select("u", "v"), ["u", "v"], "left_anti"), "fresh_pairs")
     compared = compared.unionByName(stored(shared_counts(fresh, sets), "compared"))
     links = compared.filter(link).select("u", "v")
     comps = components(links)
@@ -365,8 +368,8 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     info = stored(info.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "followers")
     answers = across.join(compared, ["u", "v"]).select("u", "v", "shared")
     possible = stored(open_pairs(answers, info), "open_pairs")
-    checked = (shared_counts(possible.filter("not sure").select("u", "v").join(compared.select("u", "v"), ["u", "v"], "left_anti"), sets)
-               .filter(linked("u_n", "v_n", "shared")))
+    asked = stored(possible.filter("not sure").select("u", "v").join(compared.select("u", "v"), ["u", "v"], "left_anti"), "asked_pairs")
+    checked = shared_counts(asked, sets).filter(linked("u_n", "v_n", "shared"))
     late = stored(possible.filter("sure").select("u", "v").union(checked.select("u", "v")), "late_links")
     if not late.isEmpty():
         comps = components(links.union(late))
