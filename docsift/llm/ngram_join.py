@@ -280,9 +280,10 @@ def head_pairs(entries: DataFrame, heads: DataFrame) -> DataFrame:
     where both still hold what they must share, less k - 1. So blocks meet only
     at positions that the first ``COMMON`` of them can have; sets whose rare
     shingles are all their own meet nowhere, however many sets a list holds."""
-    blocks = (entries.join(heads, "node", "left").withColumn("head", F.coalesce("head", "node"))
-              .groupBy("shingle", "block", "head")
-              .agg(F.min("n").alias("n"), F.max("n").alias("most"), F.min("pos").alias("pos")))
+    # Stored, as both sides of the join read them.
+    blocks = stored(entries.join(sized_broadcast(heads), "node", "left").withColumn("head", F.coalesce("head", "node"))
+                    .groupBy("shingle", "block", "head")
+                    .agg(F.min("n").alias("n"), F.max("n").alias("most"), F.min("pos").alias("pos")), "blocks")
     cols = ("head", "n", "most", "pos")
     a = blocks.select("shingle", F.explode(F.array("block", F.col("block") - 1)).alias("block"), F.col("block").alias("a_block"),
                       *[F.col(c).alias(f"a_{c}") for c in cols])
@@ -333,7 +334,7 @@ def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     copies = members.groupBy("node").agg(F.count("*").alias("weight")).filter("weight > 1")
     weights, met = stored(copies, "weights"), None
     for k in range(stars):
-        weighed = entries.join(weights, "node", "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
+        weighed = entries.join(sized_broadcast(weights), "node", "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
         found = stored(star_pairs(weighed, k), "stars")
         met = found if met is None else met.unionByName(found)
         ends = met.select(F.col("u").alias("node")).union(met.select("v")).withColumn("weight", F.lit(1))
