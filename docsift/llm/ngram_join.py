@@ -59,9 +59,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_sets(texts: list[str | None], width: int = WORDS, step: int = 256) -> list[np.ndarray]:
-    """``_sets`` of ``step`` texts at a time, so that a task never holds the words of a whole batch."""
-    return [s for i in range(0, len(texts), step) for s in _sets(texts[i:i + step], width)]
+def shingle_sets(texts: list[str | None], width: int = WORDS, step: int = 1 << 19) -> list[np.ndarray]:
+    """``_sets`` of texts of ``step`` characters together (or one longer text) at a
+    time, so that a task never holds the words of a whole batch."""
+    out, at, held = [], 0, 0
+    for i, t in enumerate(texts):
+        if held and held + len(t or "") > step:
+            out.extend(_sets(texts[at:i], width))
+            at, held = i, 0
+        held += len(t or "") + 1
+    return out + _sets(texts[at:], width)
 
 
 def _sets(texts: list[str | None], width: int) -> list[np.ndarray]:
