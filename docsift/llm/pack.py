@@ -22,6 +22,7 @@ import math
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,7 @@ CAPACITY = 2048
 SEPARATOR = 0
 TOKENIZER = "word_bpe_49k.json"
 BUCKET_ROWS = 50_000
-MEMO_WORDS = 250_000
+MEMO_WORDS = 600_000
 
 
 class WordIds:
@@ -80,8 +81,9 @@ class WordIds:
         new = self._encode(list({p for parts in cut.values() for p in parts if p and p not in self.memo}))
         get = lambda p: (new[p] if p in new else self.memo[p]) if p else b""
         new.update({w: get(core) + get(end) for w, (core, end) in cut.items()})
-        if len(self.memo) < MEMO_WORDS:
-            self.memo.update(new)
+        room = MEMO_WORDS - len(self.memo)
+        if room > 0:
+            self.memo.update(new if len(new) <= room else islice(new.items(), room))
         return new
 
     def __call__(self, texts: list) -> Iterator[bytes]:
@@ -100,6 +102,16 @@ class WordIds:
                     yield b"".join([new[w] if w in new else memo[w] for w in words])
 
 
+_TOKENIZERS: dict[str, WordIds] = {}
+
+
+def _tokenizer(path: str) -> WordIds:
+    """One per Python worker, so that a later task finds the words of earlier ones."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = WordIds(path)
+    return _TOKENIZERS[path]
+
+
 def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool = False,
                      id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, salt[, ids]) of every whole
@@ -108,7 +120,7 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_
     step = 4 * capacity
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok, salt = WordIds(path), 0  # its memo goes with the task
+        tok, salt = _tokenizer(path), 0
         for b in batches:
             rows: list[tuple] = []
             for doc, ids in zip(b["doc"], tok(b["text"])):

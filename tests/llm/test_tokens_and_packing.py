@@ -114,3 +114,15 @@ def test_many_pieces_of_one_length_are_ranked_in_buckets(spark):
     got = pack.packed(pieces, capacity=10, bucket_rows=100).collect()
     assert len({(r.sequence_id, r.offset) for r in got}) == 5000
     assert len({r.sequence_id for r in got}) == 1667
+
+
+def test_words_are_encoded_once_a_worker(monkeypatch):
+    """op10's CPU time: every task encoded again what its worker had encoded for the task before."""
+    path = pack.tokenizer_path(pack.TOKENIZER)
+    assert pack._tokenizer(path) is pack._tokenizer(path)
+    monkeypatch.setattr(pack, "MEMO_WORDS", 5)
+    tok = pack.WordIds(path)
+    texts = ["red, dog owl red, zebra", "a full memo takes no more", "red, dog full memo"]
+    for _ in range(2):
+        assert list(tok(texts)) == [np.array(tok.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert len(tok.memo) == 5
