@@ -87,12 +87,12 @@ class WordIds:
         return new
 
     def __call__(self, texts: list) -> Iterator[bytes]:
-        split = []
-        for text in texts:
-            raw = (text or "").encode()
-            split.append((raw if b"<|" in raw else raw.lower()).split())
-        for i in range(0, len(split), 256):
-            part, memo = split[i:i + 256], self.memo
+        texts = list(texts)
+        for i in range(0, len(texts), 256):  # of so many texts at a time the words are held one by one
+            part, memo = [], self.memo
+            for text in texts[i:i + 256]:
+                raw = (text or "").encode()
+                part.append((raw if b"<|" in raw else raw.lower()).split())
             unknown = {w for words in part for w in words if w not in memo}
             new = self._learned(unknown) if unknown else {}
             for words in part:

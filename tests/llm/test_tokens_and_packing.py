@@ -126,3 +126,16 @@ def test_words_are_encoded_once_a_worker(monkeypatch):
     for _ in range(2):
         assert list(tok(texts)) == [np.array(tok.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert len(tok.memo) == 5
+
+
+def test_words_of_few_texts_are_held_at_a_time():
+    import tracemalloc
+    tok = pack.WordIds(pack.tokenizer_path(pack.TOKENIZER))
+    texts = [" ".join(f"w{k}" for k in range(i, i + 200)) for i in range(100)] * 50
+    want = list(tok(texts[:100]))  # the memo knows all words from here on
+    tracemalloc.start()
+    for k, ids in enumerate(tok(texts)):
+        assert ids == want[k % 100]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10_000_000  # 1,000,000 words would take 37 MB and more
