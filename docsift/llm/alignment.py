@@ -3,14 +3,15 @@
 Two tokenizers cut the same bytes. Where tokens of both end, a group ends;
 tokens whose byte ranges overlap are linked.
 
-1. The first pass aligns every text and counts, in each task, the id pairs it links.
+1. The first pass aligns every text, counts in each task the id pairs it links, and keeps
+   with every text its distinct pairs and how often it links each.
 2. The distinct pairs get a minimal perfect hash: pairs are dealt into
    buckets, and a bucket sets, level by level, one bit for each pair that is alone at
    its place; a pair's slot is the number of bits before its own. The keys,
    in slot order, verify every lookup.
 3. Counts become dense vectors by slot: one for a bucket and ``FAN`` tasks, then
    sums of ``FAN`` vectors, round by round, until a bucket has one.
-4. The second pass aligns every text again and looks up its links' counts.
+4. The second pass looks up the counts of every text's kept pairs; no text is aligned again.
 
 Both tokenizers cut at a single space between two other characters, whatever stands around
 it, so texts are aligned in units of that kind, the distinct units of some texts at a time, as
@@ -27,14 +28,17 @@ import math
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsift.llm.common import stored, table
 from docsift.llm.pack import tokenizer_path
+from docsift.session import cut_lineage
 
 A_TOKENIZER, B_TOKENIZER = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SPREAD = 1 << 16
@@ -48,6 +52,8 @@ MEMO_UNITS = 120_000
 MEMO_CHARS = 40
 #: Pairs a task gathers before it hands them on.
 TASK_PAIRS = 500_000
+#: Kept pairs that a task looks up at a time.
+PART_PAIRS = 1_000_000
 SHIFT = 32
 
 _BORDER = re.compile(r"(?<=\S) (?=\S)")
@@ -73,8 +79,8 @@ def byte_characters() -> dict[str, int]:
 class Aligned:
     """Alignments of units: n_a, n_b, n_groups, n_links (0 for units of which a tokenizer
     doesn't keep the bytes, where ``ok`` is false); the linked pairs of the units in
-    ``order``, one after the other, a unit's from ``start``; and, if asked for, the text of
-    each one's groups, each group ended by a semicolon."""
+    ``order``, one after the other, a unit's from ``start``; and the text of each one's
+    groups, each group ended by a semicolon."""
 
     def __init__(self, size: int):
         self.ok = np.ones(size, bool)
@@ -172,13 +178,13 @@ class Aligner:
             out += [ids, np.diff(last + 1, prepend=0)]
         return [tuple(out)]
 
-    def aligned(self, units: list[str], texts: bool = True, times: np.ndarray | None = None) -> Aligned:
+    def aligned(self, units: list[str], times: np.ndarray | None = None) -> Aligned:
         """``times``: how often each unit occurs."""
         out, memo = Aligned(len(units)), self.memo
         known = [memo.get(u) for u in units]
         old = [k for k, m in enumerate(known) if m is not None]
         new = [k for k, m in enumerate(known) if m is None]
-        made = self._aligned([units[k] for k in new], texts)
+        made = self._aligned([units[k] for k in new])
         at = np.array(new, np.int64)
         out.ok[at], out.counts[at] = made.ok, made.counts
         for k, t in zip(new, made.texts):
@@ -196,7 +202,7 @@ class Aligner:
                 memo[units[k]] = (tuple(made.counts[i].tolist()), made.pairs[lo:lo + n].copy(), made.texts[i])
         return out.placed()
 
-    def _aligned(self, units: list[str], texts: bool) -> Aligned:
+    def _aligned(self, units: list[str]) -> Aligned:
         """Units one after the other are one byte string, in which every unit ends a group."""
         out = Aligned(len(units))
         a, n_a, b, n_b = self._encoded(units)
@@ -224,32 +230,29 @@ class Aligner:
         start = np.cumsum(n_a) - n_a
         out.counts[out.ok] = np.stack([n_a, n_b, np.add.reduceat(a_last.astype(np.int64), start),
                                        np.add.reduceat(links, start)], axis=1)
-        if texts:
-            a_group, b_group = np.cumsum(a_last) - a_last, np.cumsum(b_last) - b_last
-            order = np.empty(len(a) + len(b), np.int64)  # a group's A ids, then its B ids
-            b_before, a_upto = np.searchsorted(b_group, a_group), np.searchsorted(a_group, b_group, "right")
-            order[np.arange(len(a)) + b_before] = 2 * a + a_last
-            order[np.arange(len(b)) + a_upto] = 2 * (len(self.a_bytes) + b) + b_last
-            written, to = list(map(self.written.__getitem__, order.tolist())), 0
-            for k, n in zip(np.nonzero(out.ok)[0].tolist(), (n_a + n_b).tolist()):
-                out.texts[k] = b"".join(written[to:to + n])
-                to += n
+        a_group, b_group = np.cumsum(a_last) - a_last, np.cumsum(b_last) - b_last
+        order = np.empty(len(a) + len(b), np.int64)  # a group's A ids, then its B ids
+        b_before, a_upto = np.searchsorted(b_group, a_group), np.searchsorted(a_group, b_group, "right")
+        order[np.arange(len(a)) + b_before] = 2 * a + a_last
+        order[np.arange(len(b)) + a_upto] = 2 * (len(self.a_bytes) + b) + b_last
+        written, to = list(map(self.written.__getitem__, order.tolist())), 0
+        for k, n in zip(np.nonzero(out.ok)[0].tolist(), (n_a + n_b).tolist()):
+            out.texts[k] = b"".join(written[to:to + n])
+            to += n
         return out.placed()
 
-    def documents(self, texts: list[str | None], written: bool = True) -> tuple[Aligned, list[list[int] | None], np.ndarray]:
+    def documents(self, texts: list[str | None]) -> tuple[Aligned, list[list[int] | None]]:
         """(alignments of the texts' distinct units, each text's units as
-        positions there, None for a text without tokens; how often each unit occurs in the others)."""
+        positions there, None for a text without tokens)."""
         seen: dict[str, int] = {}
         place = seen.setdefault
         rows = [[place(u, len(seen)) for u in self.units(t)] if t else None for t in texts]
-        count = lambda: np.bincount([k for r in rows if r is not None for k in r], minlength=len(seen)).astype(np.int64)
-        times = count()
-        found = self.aligned(list(seen), written, times)
+        times = np.bincount([k for r in rows if r is not None for k in r], minlength=len(seen))
+        found = self.aligned(list(seen), times)
         if not found.ok.all():
             bad = set(np.nonzero(~found.ok)[0].tolist())
             rows = [None if r is None or not bad.isdisjoint(r) else r for r in rows]
-            times = count()
-        return found, rows, times
+        return found, rows
 
 
 def _parts(texts: list[str | None]) -> Iterator[slice]:
@@ -269,12 +272,43 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
 
 
-def task_counts(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """First pass: (part, spread, pair, n), the links that each task (``part``) counts."""
+def _text_pairs(found: Aligned, rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs, times, ends): the distinct pairs of each text, one text after the other up to its
+    end, and how often the text links them."""
+    sizes = np.array([len(r or ()) for r in rows], np.int64)
+    unit = np.fromiter(chain.from_iterable(r or () for r in rows), np.int64, sizes.sum())
+    n = found.counts[unit, 3]
+    at = np.repeat(found.start[unit] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    keys, code = np.unique(found.pairs, return_inverse=True)
+    width = max(1, len(keys))
+    cell, times = np.unique(np.repeat(np.repeat(np.arange(len(rows)), sizes), n) * width + code[at], return_counts=True)
+    return keys[cell % width], times, np.searchsorted(cell, np.arange(1, len(rows) + 1) * width)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+#: What the first pass writes: counts (part to n) and texts (row to times), either with nulls for the other.
+_COUNTS = {"part": pa.int32(), "spread": pa.int32(), "pair": pa.int64(), "n": pa.int64()}
+_TEXTS = {"row": pa.int64(), "doc": pa.int64(), "n_a": pa.int64(), "n_b": pa.int64(), "n_groups": pa.int64(), "n_links": pa.int64(),
+          "groups_sha256": pa.string(), "pairs": pa.binary(), "times": pa.binary()}
+_PASS = ("part int, spread int, pair long, n long, row long, doc long, n_a long, n_b long, n_groups long, n_links long, "
+         "groups_sha256 string, pairs binary, times binary")
+
+
+def _batch(size: int, columns: dict) -> pa.RecordBatch:
+    """All columns of the first pass, nulls where ``columns`` has none."""
+    kinds = _COUNTS | _TEXTS
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(size, t) for c, t in kinds.items()],
+                                      list(kinds))
+
+
+def first_pass(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every text aligned once: rows (part, spread, pair, n) of the links that each task (``part``) counts,
+    and for every text a row (row, doc, n_a, n_b, n_groups, n_links, groups_sha256, pairs, times) without a
+    part; ``row`` is its own, ``pairs`` and ``times`` are 64-bit and 32-bit numbers, little-endian."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         part, aligner = TaskContext.get().partitionId(), Aligner(a_path, b_path)
+        row = part << 33
         pairs, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         parked: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -284,16 +318,18 @@ def task_counts(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id
             np.add.at(sums, at, np.concatenate([n for _, n in parked]))
             return keys, sums
 
-        def frame() -> pd.DataFrame:
-            return pd.DataFrame({"part": part, "spread": (_mix(pairs, 0) % np.uint64(SPREAD)).astype(np.int32),
-                                 "pair": pairs, "n": counts})
+        def frame() -> pa.RecordBatch:
+            return _batch(len(pairs), {"part": np.full(len(pairs), part, np.int32), "pair": pairs, "n": counts,
+                                       "spread": (_mix(pairs, 0) % np.uint64(SPREAD)).astype(np.int32)})
 
         for b in batches:
-            texts = list(b["text"])
+            doc, texts = b.column("doc"), b.column("text").to_pylist()
             for part_ in _parts(texts):
-                found, _, times = aligner.documents(texts[part_], written=False)
-                n = np.repeat(times[found.order], found.counts[found.order, 3])
-                parked.append(merged([(found.pairs[n > 0], n[n > 0])]))
+                found, rows = aligner.documents(texts[part_])
+                linked, times, ends = _text_pairs(found, rows)
+                yield _text_rows(row, doc.slice(part_.start, len(rows)), found, rows, linked, times, ends)
+                row += len(rows)
+                parked.append(merged([(linked, times)]))
                 if sum(len(p) for p, _ in parked) > TASK_PAIRS:
                     pairs, counts = merged([(pairs, counts), *parked])
                     parked = []
@@ -304,7 +340,31 @@ def task_counts(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id
             pairs, counts = merged([(pairs, counts), *parked])
         yield frame()
 
-    return _rows(docs, id_col, text_col).mapInPandas(run, "part int, spread int, pair long, n long")
+    return _rows(docs, id_col, text_col).mapInArrow(run, _PASS)
+
+
+def _text_rows(row: int, doc: pa.Array, found: Aligned, rows: list, pairs: np.ndarray, times: np.ndarray,
+               ends: np.ndarray) -> pa.RecordBatch:
+    total = np.array([found.counts[r].sum(axis=0) if r is not None else np.zeros(4, np.int64) for r in rows]).reshape(-1, 4)
+    sha = [hashlib.sha256(b"".join([found.texts[k] for k in r])[:-1]).hexdigest() if r is not None else "" for r in rows]
+    cut = list(zip([0, *ends.tolist()], ends.tolist()))
+    p, t = pairs.astype("<i8").tobytes(), times.astype("<i4").tobytes()
+    columns = dict(zip(("n_a", "n_b", "n_groups", "n_links"), total.T))
+    return _batch(len(rows), columns | {"row": np.arange(row, row + len(rows)), "doc": doc, "groups_sha256": sha,
+                                        "pairs": [p[8 * x:8 * y] for x, y in cut], "times": [t[4 * x:4 * y] for x, y in cut]})
+
+
+def _counts(passed: DataFrame) -> DataFrame:
+    return passed.filter("part is not null").select(*_COUNTS)
+
+
+def _texts(passed: DataFrame) -> DataFrame:
+    return passed.filter("part is null").select(*_TEXTS)
+
+
+def task_counts(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(part, spread, pair, n) of the first pass alone."""
+    return _counts(first_pass(docs, a_path, b_path, id_col, text_col))
 
 
 def perfect_hash(keys: np.ndarray) -> tuple[list[int], np.ndarray]:
@@ -431,71 +491,56 @@ class PairTable:
 _OUT = "doc long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
-def _sums(found: Aligned, shared: PairTable | None) -> np.ndarray:
-    """Per unit: n_a, n_b, n_groups, n_links, n_best, count_sum (the last two 0 without a table)."""
-    out = np.zeros((len(found.ok), 6), np.int64)
-    out[:, :4] = found.counts
-    if shared is not None and len(found.pairs):
-        at = shared.slots(found.pairs)
-        start = found.start[found.order]
-        out[found.order, 4] = np.add.reduceat(shared.best[at].astype(np.int64), start)
-        out[found.order, 5] = np.add.reduceat(shared.counts[at], start)
-    return out
+def _numbers(batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """The kept pairs of texts in turn, at most ``PART_PAIRS`` but for one text's: (the texts, pairs, times, ends)."""
+    pairs, times = batch.column("pairs"), batch.column("times")
+    sizes = [len(x) // 8 for x in pairs.to_pylist()]
+    start = held = 0
+    for k in range(len(sizes) + 1):
+        if k == len(sizes) or (k > start and held + sizes[k] > PART_PAIRS):
+            if k > start:
+                yield (slice(start, k), np.frombuffer(b"".join(pairs[start:k].to_pylist()), "<i8"),
+                       np.frombuffer(b"".join(times[start:k].to_pylist()), "<i4").astype(np.int64), np.cumsum(sizes[start:k]))
+            start, held = k, 0
+        if k < len(sizes):
+            held += sizes[k]
 
 
-def looked_up(docs: DataFrame, a_path: str, b_path: str, shared, id_col: str, text_col: str) -> DataFrame:
+def looked_up(texts: DataFrame, shared) -> DataFrame:
     """Second pass with the broadcast table."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pairs, aligner = shared.value, Aligner(a_path, b_path)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        names = [c.split()[0] for c in _OUT.split(", ")]
         for b in batches:
-            texts, doc = list(b["text"]), b["doc"].astype("Int64")
-            for part in _parts(texts):
-                found, rows, _ = aligner.documents(texts[part])
-                yield _frame(doc.iloc[part], found, rows, _sums(found, pairs))
+            sums = np.zeros((b.num_rows, 2), np.int64)
+            for part, pairs, times, ends in _numbers(b):
+                at = table.slots(pairs)
+                upto = np.cumsum(np.stack([table.best[at] * times, table.counts[at] * times]), axis=1)
+                sums[part] = np.diff(np.concatenate([np.zeros((2, 1), np.int64), upto], axis=1)[:, ends], axis=1,
+                                     prepend=0).T
+            found = {"n_best": pa.array(sums[:, 0]), "count_sum": pa.array(sums[:, 1])}
+            yield pa.RecordBatch.from_arrays([found[c] if c in found else b.column(c) for c in names], names)
 
-    return _rows(docs, id_col, text_col).mapInPandas(run, _OUT)
+    return texts.drop("row").mapInArrow(run, _OUT)
 
 
-def _frame(doc: pd.Series, found: Aligned, rows: list, sums: np.ndarray) -> pd.DataFrame:
-    total = np.array([sums[r].sum(axis=0) if r is not None else np.zeros(6, np.int64) for r in rows]).reshape(-1, 6)
-    out = pd.DataFrame(total, columns=["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"])
-    out.insert(0, "doc", doc.to_numpy())
-    out["doc"] = out["doc"].astype("Int64")
-    out["groups_sha256"] = pd.Series([hashlib.sha256(b"".join([found.texts[k] for k in r])[:-1]).hexdigest() if r is not None else ""
-                                      for r in rows], dtype=object)
-    return out
-
-
-def joined_up(docs: DataFrame, a_path: str, b_path: str, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Second pass beyond the broadcast: every document's pairs meet (pair, n) in a join, which splits
+def joined_up(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Second pass beyond the broadcast: every text's pairs meet (pair, n) in a join, which splits
     what one pair is too much for."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-        aligner, row = Aligner(a_path, b_path), TaskContext.get().partitionId() << 33
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, doc = list(b["text"]), b["doc"].astype("Int64")
-            for part in _parts(texts):
-                found, rows, _ = aligner.documents(texts[part])
-                out = _frame(doc.iloc[part], found, rows, _sums(found, None))
-                out["row"] = np.arange(row, row + len(out))
-                out["pair"], out["times"] = pd.array([None] * len(out), dtype="Int64"), 0
-                yield out
-                for k, r in enumerate(rows):
-                    if r is not None:
-                        p, n = np.unique(np.concatenate([found.pairs[found.start[u]:found.start[u] + found.counts[u, 3]] for u in r]),
-                                         return_counts=True)
-                        yield pd.DataFrame({"pair": p, "times": n, "row": row + k}).reindex(columns=out.columns).astype(
-                            {c: "Int64" for c in out.columns if c != "groups_sha256"} | {"groups_sha256": object})
-                row += len(out)
-
-    aligned = stored(_rows(docs, id_col, text_col).mapInPandas(run, _OUT + ", row long, pair long, times long"), "aligned")
+            row = b.column("row").to_numpy()
+            for part, pairs, times, ends in _numbers(b):
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(row[part], np.diff(ends, prepend=0))), pa.array(pairs),
+                                                  pa.array(times)], ["row", "pair", "times"])
+
     most = pairs.groupBy((F.col("pair") % (1 << SHIFT)).alias("b")).agg(F.max("n").alias("most"))
     known = pairs.withColumn("b", F.col("pair") % (1 << SHIFT)).join(most, "b").select("pair", "n", (F.col("n") == F.col("most")).alias("top"))
-    links = (aligned.filter("pair is not null").select("row", "pair", "times").join(known, "pair").groupBy("row")
+    links = (texts.select("row", "pairs", "times").mapInArrow(run, "row long, pair long, times long").join(known, "pair").groupBy("row")
              .agg(F.sum(F.when(F.col("top"), F.col("times")).otherwise(0)).alias("n_best"),
                   F.sum(F.col("times") * F.col("n")).alias("count_sum")))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return (aligned.filter("pair is null").drop("n_best", "count_sum").join(links, "row", "left")
+    return (texts.drop("pairs", "times").join(links, "row", "left")
             .select("doc", "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256"))
 
 
@@ -517,16 +562,17 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, broadcast_pairs: int = BR
     empty groups_sha256, and count no links. Repeated rows count and are given each; a null id
     stays null; other columns are not read; an empty table gives no rows."""
     spark = docs.sparkSession
-    partials = stored(task_counts(docs, a_path, b_path, id_col, text_col), "task_counts")
+    passed = cut_lineage(first_pass(docs, a_path, b_path, id_col, text_col), "first_pass")
+    partials, texts = _counts(passed), _texts(passed)
     n_pairs = partials.select("pair").distinct().count()
     buckets = 1 << min(16, max(0, math.ceil(math.log2(max(n_pairs / bucket_pairs, 1)))))
     hashes = stored(hashed_pairs(partials, buckets), "pair_hashes")
     counted = stored(hashes.join(dense_counts(partials, hashes, buckets), "bucket"), "pair_counts")
     if n_pairs > broadcast_pairs:
-        out = joined_up(docs, a_path, b_path, stored(pair_counts(counted), "pair_counts"), id_col, text_col)
+        out = joined_up(texts, stored(pair_counts(counted), "pair_counts"))
     else:
         shared = spark.sparkContext.broadcast(PairTable(counted.collect(), buckets))  # at most broadcast_pairs pairs
-        out = stored(looked_up(docs, a_path, b_path, shared, id_col, text_col), "aligned")
+        out = stored(looked_up(texts, shared), "aligned")
         shared.destroy()
     return out.withColumnRenamed("doc", id_col)
 

@@ -110,3 +110,24 @@ def test_empty_table(spark):
     for rows in ([], [(1, None)]):
         out = al.aligned(spark.createDataFrame(rows, "doc_id long, text string"), A, B).collect()
         assert [tuple(r) for r in out] == [(1, 0, 0, 0, 0, 0, 0, "")][:len(rows)]
+
+
+def test_each_text_is_read_once(spark, docs):
+    from pyspark.sql import functions as F
+    for bound in (al.BROADCAST_PAIRS, 0):
+        read = spark.sparkContext.accumulator(0)
+
+        @F.udf("string")
+        def counted(t):
+            read.add(1)
+            return t
+
+        df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("text", counted("text"))
+        assert len(al.aligned(df, A, B, broadcast_pairs=bound, bucket_pairs=400).collect()) == read.value == len(docs)
+
+
+def test_few_pairs_at_a_time_change_nothing(spark, docs, monkeypatch):
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = got(al.aligned(df, A, B))
+    monkeypatch.setattr(al, "PART_PAIRS", 3)
+    assert got(al.aligned(df, A, B)) == want
