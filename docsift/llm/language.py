@@ -38,25 +38,42 @@ UNDETERMINED = "und"
 _RUN = re.compile(r"[^\W\d_]+")
 
 
+class Evidence:
+    """Log frequencies of keys by language: a row each in one matrix, which takes a
+    tenth of an array for each key."""
+
+    def __init__(self, rows: dict[str, int], values: np.ndarray):
+        self.rows, self.values = rows, values
+
+    @staticmethod
+    def of(table: Evidence | dict[str, np.ndarray], langs: list[str]) -> Evidence:
+        if isinstance(table, Evidence):
+            return table
+        values = np.array(list(table.values()), dtype="float32").reshape(len(table), len(langs))
+        return Evidence({k: i for i, k in enumerate(table)}, values)
+
+
 class BackoffModel:
     """Log frequencies by language: ``words`` and, by length, ``grams``."""
 
-    def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[int, dict[str, np.ndarray]]):
-        self.langs, self.words, self.grams = langs, words, grams
+    def __init__(self, langs: list[str], words: Evidence | dict[str, np.ndarray], grams: dict[int, Evidence | dict[str, np.ndarray]]):
+        self.langs, self.words, self.grams = langs, Evidence.of(words, langs), {n: Evidence.of(g, langs) for n, g in grams.items()}
 
     def word(self, w: str) -> np.ndarray | None:
         """The evidence of one word; None without letters."""
-        known = self.words.get(w)
+        known = self.words.rows.get(w)
         if known is not None:
-            return known
+            return self.words.values[known]
         if not any(map(str.isalpha, w)):
             return None
         marked = f"<{w}>"
         for n in range(LONGEST, 0, -1):
-            table = self.grams.get(n, {})
-            found = [g for i in range(len(marked) - n + 1) if (g := table.get(marked[i:i + n])) is not None]
+            table = self.grams.get(n)
+            if table is None:
+                continue
+            found = [g for i in range(len(marked) - n + 1) if (g := table.rows.get(marked[i:i + n])) is not None]
             if found:
-                return np.mean(found, axis=0)
+                return np.mean(table.values[found], axis=0)
         return np.zeros(len(self.langs), dtype="float32")
 
 
@@ -100,7 +117,7 @@ class Scorer:
         return model.langs[best], float(p[best] / p.sum())
 
 
-def _log_table(counts: DataFrame, key: str, keep: int, langs: list[str], least: int = 1) -> dict[str, np.ndarray]:
+def _log_table(counts: DataFrame, key: str, keep: int, langs: list[str], least: int = 1) -> Evidence:
     """counts (lang, key, n) -> key to log frequencies by language, of each
     language's ``keep`` most frequent keys that it has ``least`` times. Totals
     and frequencies are those of all ``counts``. What a language has not seen
@@ -110,17 +127,17 @@ def _log_table(counts: DataFrame, key: str, keep: int, langs: list[str], least:
     top = (counts.filter(F.col("n") >= least)
            .withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), key)))
            .filter(F.col("k") <= keep).select(key).distinct())
-    rows = counts.join(top, key).select("lang", key, "n").collect()
+    got = counts.join(top, key).select("lang", key, "n").toArrow()  # columns: a row object for each would take many times that
     totals = {r["lang"]: r["t"] for r in counts.groupBy("lang").agg(F.sum("n").alias("t")).collect()}
-    spread = SMOOTHING * len({r[key] for r in rows})
+    keys = got[key].combine_chunks().dictionary_encode()
+    rows = {k: i for i, k in enumerate(keys.dictionary.to_pylist())}
+    spread = SMOOTHING * len(rows)
     floor = math.log(SMOOTHING / (max(totals.values(), default=0) + spread)) if rows else 0.0
-    unseen = np.full(len(langs), floor, dtype="float32")
-    out: dict[str, np.ndarray] = {}
+    values = np.full((len(rows), len(langs)), floor, dtype="float32")
     place = {x: i for i, x in enumerate(langs)}
-    for r in rows:
-        v = out.setdefault(r[key], unseen.copy())
-        v[place[r["lang"]]] = math.log((r["n"] + SMOOTHING) / (totals[r["lang"]] + spread))
-    return out
+    for i, lang, n in zip(keys.indices.to_pylist(), got["lang"].to_pylist(), got["n"].to_pylist()):
+        values[i, place[lang]] = math.log((n + SMOOTHING) / (totals[lang] + spread))
+    return Evidence(rows, values)
 
 
 def learn(docs: DataFrame, rows_per_language: int = TRAIN_DOCS) -> BackoffModel:

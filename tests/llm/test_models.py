@@ -1,4 +1,5 @@
 """Quality rules and language identification."""
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +104,17 @@ def test_a_language_of_one_short_document(spark):
         got = language.identify(asked, language.learn(docs), ["doc_id", "lang"]).collect()
         assert all(r.lang == r.lang_pred for r in got if r.lang != "rare")
         assert rare == "12 34" or [r.lang_pred for r in got if r.lang == "rare"] == ["rare"]
+
+
+def test_language_model_is_small_where_it_is_read():
+    import pickle
+    import tracemalloc
+    langs = ["a", "b", "c", "d", "e"]
+    table = {f"w{i}": np.full(5, -i, dtype="float32") for i in range(50_000)}
+    blob = pickle.dumps(language.BackoffModel(langs, table, {5: {k: -v for k, v in table.items()}}))
+    tracemalloc.start()
+    model = pickle.loads(blob)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert list(model.word("w77")) == [-77.0] * 5
+    assert held < 15_000_000  # with an array for each key 25 MB
