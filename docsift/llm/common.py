@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,19 @@ def sized_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+_KEPT: dict = {}
+
+
+def worker_memo(key: tuple | None, make: Callable[[], object] = lambda: None) -> object:
+    """What a Python worker keeps for its later tasks, of one operator at a time: workers serve
+    all stages of a session, and what an earlier stage kept would count against the memory of the
+    others. Kernels that keep nothing ask for ``None``."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def training_row(id_col: Column) -> Column:
     """Rows that models may learn from: crc32(id as text) mod 3 is not 1."""
     return F.crc32(id_col.cast("string").cast("binary")) % 3 != 1

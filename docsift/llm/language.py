@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docsift.llm.common import held_out, stored, table, training_row
+from docsift.llm.common import held_out, stored, table, training_row, worker_memo
 
 TRAIN_DOCS = 2000
 WORDS = 20_000
@@ -171,6 +171,7 @@ def predicted(text: Column, model: BackoffModel, spark: SparkSession) -> Column:
 
     @F.pandas_udf("lang_pred string, score double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        worker_memo(None)
         scorer = Scorer(shared.value)
         for b in batches:
             yield pd.DataFrame([scorer(t) for t in b], columns=["lang_pred", "score"])

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from docsift.llm.common import BROADCAST_ROWS, sized_broadcast, stored, table
+from docsift.llm.common import BROADCAST_ROWS, sized_broadcast, stored, table, worker_memo
 from docsift.llm.components import components
 
 WORDS = 5
@@ -117,6 +117,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     (shingle, n) that batches report as frequent)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_memo(None)
         for b in batches:
             sets = shingle_sets(list(b["text"]))
             nodes = [_node(s) for s in sets]
@@ -154,6 +155,7 @@ def prefix_entries(docs: DataFrame, frequent: DataFrame, id_col: str = "doc_id",
     del rows, keys, counts
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_memo(None)
         keys, rank = shared.value
         seen: set[int] = set()
         for b in batches:
@@ -205,6 +207,7 @@ def shared_counts(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Stored pairs (u, v, ...) of nodes, with u_n, v_n and ``shared`` = |u & v| from
     the whole sets. Of sets, only those of counted few pairs are shuffled."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memo(None)
         for b in batches:
             left, right = b.column("u_set"), b.column("v_set")
             lv, lo = left.values.to_numpy(zero_copy_only=False), left.offsets.to_numpy()
@@ -237,6 +240,7 @@ def set_table(docs: DataFrame, members: DataFrame, nodes: DataFrame, id_col: str
                  .agg(F.min("doc").alias("doc"), F.min("unnamed").alias("unnamed")), "chosen")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_memo(None)
         for b in batches:
             sets = shingle_sets(list(b["text"]))
             out = pd.DataFrame({"node": b["node"], "set": sets})

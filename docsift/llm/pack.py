@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docsift.llm.common import stored, table
+from docsift.llm.common import stored, table, worker_memo
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -102,14 +102,9 @@ class WordIds:
                     yield b"".join([new[w] if w in new else memo[w] for w in words])
 
 
-_TOKENIZERS: dict[str, WordIds] = {}
-
-
 def _tokenizer(path: str) -> WordIds:
     """One per Python worker, so that a later task finds the words of earlier ones."""
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordIds(path)
-    return _TOKENIZERS[path]
+    return worker_memo(("pack", path), lambda: WordIds(path))
 
 
 def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool = False,

@@ -22,7 +22,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsift.llm.common import held_out, stored, table, training_row
+from docsift.llm.common import held_out, stored, table, training_row, worker_memo
 
 TRAIN_ROWS = 20_000
 TREES = 40
@@ -64,6 +64,7 @@ def text_statistics(text: Column) -> Column:
 
     @F.pandas_udf(schema)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        worker_memo(None)
         for b in batches:
             yield pd.DataFrame([_statistics(t) for t in b], columns=STATISTICS, dtype="float64")
 

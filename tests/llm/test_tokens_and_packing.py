@@ -139,3 +139,12 @@ def test_words_of_few_texts_are_held_at_a_time():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 10_000_000  # 1,000,000 words would take 37 MB and more
+
+
+def test_a_worker_keeps_words_until_another_operator_runs():
+    from docsift.llm import common
+    path = pack.tokenizer_path(pack.TOKENIZER)
+    tok = pack._tokenizer(path)
+    assert pack._tokenizer(path) is tok
+    common.worker_memo(None)
+    assert pack._tokenizer(path) is not tok
