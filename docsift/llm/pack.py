@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import islice
@@ -48,7 +49,7 @@ class WordIds:
     ASCII punctuation after an ASCII letter or digit is cut there, as the
     tokenizer cuts it. Texts that may hold a special token are not lower-cased."""
 
-    CLOSING = b".,!?;:%$&*#)"
+    CLOSING = re.compile(rb"[.,!?;:%$&*#)](?<=[0-9A-Za-z].)[.,!?;:%$&*#)]*+(?!\S)")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use the cores
@@ -71,35 +72,28 @@ class WordIds:
                 at = to
         return out
 
-    def _parts(self, word: bytes) -> tuple[bytes, bytes]:
-        core = word.rstrip(self.CLOSING)
-        return (core, word[len(core):]) if core[-1:].isalnum() else (word, b"")
-
     def _learned(self, words: set[bytes]) -> dict[bytes, bytes]:
         """Ids of words that the memo lacks; it keeps them while it has room."""
-        cut = {w: self._parts(w) for w in words}
-        new = self._encode(list({p for parts in cut.values() for p in parts if p and p not in self.memo}))
-        get = lambda p: (new[p] if p in new else self.memo[p]) if p else b""
-        new.update({w: get(core) + get(end) for w, (core, end) in cut.items()})
+        new = self._encode(list(words))
         room = MEMO_WORDS - len(self.memo)
         if room > 0:
             self.memo.update(new if len(new) <= room else islice(new.items(), room))
         return new
 
     def __call__(self, texts: list) -> Iterator[bytes]:
-        texts = list(texts)
+        texts, known = list(texts), self.memo.get
         for i in range(0, len(texts), 256):  # of so many texts at a time the words are held one by one
-            part, memo = [], self.memo
+            part, unknown = [], set()
             for text in texts[i:i + 256]:
                 raw = (text or "").encode()
-                part.append((raw if b"<|" in raw else raw.lower()).split())
-            unknown = {w for words in part for w in words if w not in memo}
+                words = self.CLOSING.sub(rb" \g<0>", raw if b"<|" in raw else raw.lower()).split()
+                ids = list(map(known, words))  # each word is looked up once: None where the memo lacks it
+                lacks = [w for w, x in zip(words, ids) if x is None]
+                unknown.update(lacks)
+                part.append((words, ids) if lacks else (None, b"".join(ids)))
             new = self._learned(unknown) if unknown else {}
-            for words in part:
-                try:
-                    yield b"".join(map(memo.__getitem__, words))
-                except KeyError:  # the memo is full
-                    yield b"".join([new[w] if w in new else memo[w] for w in words])
+            for words, ids in part:
+                yield ids if words is None else b"".join([new[w] if x is None else x for w, x in zip(words, ids)])
 
 
 def _tokenizer(path: str) -> WordIds:

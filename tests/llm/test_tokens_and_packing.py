@@ -148,3 +148,12 @@ def test_a_worker_keeps_words_until_another_operator_runs():
     assert pack._tokenizer(path) is tok
     common.worker_memo(None)
     assert pack._tokenizer(path) is not tok
+
+
+def test_closing_punctuation_takes_no_memo_entries_of_its_own():
+    """op10's CPU time: a word was remembered, and encoded, anew for each punctuation behind it."""
+    tok = pack.WordIds(pack.tokenizer_path(pack.TOKENIZER))
+    texts = ["Zebra. zebra, zebra!! (zebra) zebra", ".zebra !zebra zebra.a. zebra.\tzebra)\x0b", "<|x Zebra.", "é. aé, 9%..", None]
+    want = [np.array(tok.tok.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert list(tok(texts)) == want
+    assert b"zebra" in tok.memo and not {b"zebra.", b"zebra,", b"zebra!!", b"zebra)"} & set(tok.memo)
