@@ -30,10 +30,10 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -106,6 +106,22 @@ def _node(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def repeated(x: np.ndarray, least: int = BATCH_FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """(values, counts) of those that ``x`` holds ``least`` times (2 or more). ``x`` is
+    sorted in place, and nothing else of its length is made but a flag for each value."""
+    x.sort()
+    same = np.zeros(len(x) + 1, dtype=bool)
+    same[1:-1] = x[1:] == x[:-1]
+    edges = np.flatnonzero(same[1:] != same[:-1])  # a run's first place, then its last
+    first, n = edges[::2], edges[1::2] - edges[::2] + 1
+    return x[first[n >= least]], n[n >= least]
+
+
+def _slices(b: pd.DataFrame, rows: int = 1000) -> Iterator[pd.DataFrame]:
+    """A batch, few rows at a time, so that a task never holds the sets of all."""
+    return (b.iloc[i:i + rows] for i in range(0, len(b), rows))
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, text, unnamed): ``unnamed`` tells the texts of rows without an id apart."""
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"),
@@ -123,11 +139,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             nodes = [_node(s) for s in sets]
             yield pd.DataFrame({"doc": b["doc"].astype("Int64"), "node": nodes, "n": [len(s) for s in sets],
                                 "shingle": pd.array([None] * len(b), dtype="Int64"), "unnamed": b["unnamed"].astype("Int64")})
-            distinct = list({k: s for k, s in zip(nodes, sets)}.values())
-            shingles, n = np.unique(np.concatenate([*distinct, np.zeros(0, np.int64)]), return_counts=True)
-            many = n >= BATCH_FREQUENT
-            yield pd.DataFrame({"doc": pd.array([None] * int(many.sum()), dtype="Int64"), "node": 0,
-                                "n": n[many], "shingle": shingles[many], "unnamed": pd.array([None] * int(many.sum()), dtype="Int64")})
+            held = np.concatenate([*{k: s for k, s in zip(nodes, sets)}.values(), np.zeros(0, np.int64)])
+            del sets
+            shingles, n = repeated(held)
+            none = pd.array([None] * len(n), dtype="Int64")
+            yield pd.DataFrame({"doc": none, "node": 0, "n": n, "shingle": shingles, "unnamed": none})
 
     seen = stored(_texts(docs, id_col, text_col).mapInPandas(run, "doc long, node long, n long, shingle long, unnamed long"), "classes")
     counts = stored(seen.filter("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n")), "frequent")
@@ -158,7 +174,7 @@ def prefix_entries(docs: DataFrame, frequent: DataFrame, id_col: str = "doc_id",
         worker_memo(None)
         keys, rank = shared.value
         seen: set[int] = set()
-        for b in batches:
+        for b in chain.from_iterable(map(_slices, batches)):
             cols: list[list[np.ndarray]] = [[], [], [], []]
             for s in shingle_sets(list(b["text"])):
                 if not len(s) or (node := _node(s)) in seen:
@@ -205,31 +221,16 @@ def least_lists(n1: str, n2: str, most: str) -> str:
 
 def shared_counts(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Stored pairs (u, v, ...) of nodes, with u_n, v_n and ``shared`` = |u & v| from
-    the whole sets. Of sets, only those of counted few pairs are shuffled."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker_memo(None)
-        for b in batches:
-            left, right = b.column("u_set"), b.column("v_set")
-            lv, lo = left.values.to_numpy(zero_copy_only=False), left.offsets.to_numpy()
-            rv, ro = right.values.to_numpy(zero_copy_only=False), right.offsets.to_numpy()
-            n = np.zeros(len(b), dtype=np.int64)
-            for i in range(len(b)):
-                x, y = lv[lo[i]:lo[i + 1]], rv[ro[i]:ro[i + 1]]
-                if len(y) < len(x):
-                    x, y = y, x
-                n[i] = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x) if len(x) else 0
-            kept = [k for k in b.schema.names if k not in ("u_set", "v_set")]
-            sizes = [pa.array(np.diff(o).astype(np.int64)) for o in (lo, ro)]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), *sizes, pa.array(n)],
-                                             [*kept, "u_n", "v_n", "shared"])
-
+    the whole sets. Of sets, only those of counted few pairs are shuffled. They meet in
+    Spark's rows: batches of both sets for Python would lie beside the heap."""
     u = sets.select(F.col("node").alias("u"), F.col("set").alias("u_set"))
     v = sets.select(F.col("node").alias("v"), F.col("set").alias("v_set"))
     if pairs.count() <= BROADCAST_ROWS:
         u, v = (x.join(F.broadcast(pairs.select(k)), k, "left_semi") for x, k in ((u, "u"), (v, "v")))
-    full = pairs.join(u, "u").join(v, "v")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in full.schema if not f.name.endswith("_set"))
-    return full.mapInArrow(run, schema + ", u_n long, v_n long, shared long")
+    return (pairs.join(u, "u").join(v, "v")
+            .withColumns({"u_n": F.size("u_set").cast("long"), "v_n": F.size("v_set").cast("long"),
+                          "shared": F.size(F.array_intersect("u_set", "v_set")).cast("long")})
+            .drop("u_set", "v_set"))
 
 
 def set_table(docs: DataFrame, members: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -241,7 +242,7 @@ def set_table(docs: DataFrame, members: DataFrame, nodes: DataFrame, id_col: str
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         worker_memo(None)
-        for b in batches:
+        for b in chain.from_iterable(map(_slices, batches)):
             sets = shingle_sets(list(b["text"]))
             out = pd.DataFrame({"node": b["node"], "set": sets})
             # An id may be on several texts; only the class's own one counts.

@@ -98,3 +98,25 @@ def test_many_variants_that_hardly_link(spark):
     rows = [(i, t) for i, t in enumerate(copies(rng, [f"b{i}" for i in range(140)], 150, 9))]
     rows += [(None if i % 3 == 0 else 1000 + i, t) for i, t in enumerate(copies(rng, [f"c{i}" for i in range(60)], 60, 4))]
     assert found(spark, rows) == brute(rows)
+
+
+def test_sets_are_compared_in_spark_rows(spark):
+    """The pipeline's executor memory: both sets of every pair went to Python in batches of 10,000 pairs."""
+    sets = spark.createDataFrame([(1, [1, 2, 3]), (2, [2, 3, 4, 5]), (3, [9])], "node long, set array<bigint>")
+    pairs = spark.createDataFrame([(1, 2, 7), (1, 3, 8), (2, 2, 9)], "u long, v long, lists int")
+    got = nj.shared_counts(pairs, sets)
+    assert sorted(got.select("u", "v", "lists", "u_n", "v_n", "shared").collect()) == [
+        (1, 2, 7, 3, 4, 2), (1, 3, 8, 3, 1, 0), (2, 2, 9, 4, 4, 4)]
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    assert "InArrow" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_repeated_values_are_counted_in_place():
+    import numpy as np
+    rng = np.random.default_rng(1)
+    for size in (0, 1, 2, 5, 1000):
+        x = rng.integers(-9, 300, size)
+        values, n = np.unique(x, return_counts=True)
+        for least in (2, 3):
+            got = nj.repeated(x.copy(), least)
+            assert [list(g) for g in got] == [list(values[n >= least]), list(n[n >= least])]
