@@ -153,3 +153,20 @@ def test_postings_move_once_for_all_queries(spark):
     assert "hashpartitioning(query_id" not in few._jdf.queryExecution().executedPlan().toString()
     for scores in (few, L.query_chunk_scores(w, qt, False)):
         assert sorted((r.query_id, r.chunk_id, r.score) for r in scores.collect()) == want
+
+
+def test_best_scores_are_the_top_of_all_scores(spark, monkeypatch):
+    """The kernel of best scores: several slabs, ties, repeated postings, a null query id."""
+    import random
+    rng = random.Random(3)
+    weights = [(f"t{rng.randint(0, 12)}", rng.randint(0, 60) * 7, rng.choice([0.5, 0.25, -0.125, 1.0])) for _ in range(700)]
+    index = spark.createDataFrame(weights, "term string, chunk_id long, w double").repartition(3)
+    queries = spark.createDataFrame([(i if i != 4 else None, " ".join(f"t{rng.randint(0, 14)}" for _ in range(i))) for i in range(12)],
+                                    "query_id long, text string")
+    monkeypatch.setattr(L, "SLAB_POSTINGS", 40)
+    key = lambda r: (r.query_id is None, r.query_id or 0, r["rank"], r.chunk_id, r.score)
+    want = sorted(map(key, L.top_k(L.bm25_scores(queries, index), 3).collect()))
+    best = L.bm25_scores(queries, index, best=3)
+    assert sorted(map(key, L.top_k(best, 3).collect())) == want and len(want) == 33
+    assert "PythonMapInArrow" in best._jdf.queryExecution().toString() or "MapInArrow" in best._jdf.queryExecution().toString()
+    assert L.bm25_scores(queries.filter("query_id = 0"), index, best=3).count() == 0
