@@ -7,24 +7,28 @@
    2 c.r + |r|^2 of its centre c and decoded residual r. The squared distance of
    a query q is then |q - c|^2 - 2 q.r plus that number, and q.r is a sum of one table
    value a slice, the tables being the query's alone.
-3. A search scans the codes of the lists its queries probe in place, keeps
-   ``refine`` candidates a query, and measures only those on the original vectors.
+3. A search estimates distances to the vectors that the codes stand for, in the lists that
+   its queries probe, keeps ``refine`` candidates a query, and measures only those on the
+   original vectors.
 
-Codes are about 1/16 of float vectors, so a scan reads and computes that much
-less than an exact one; queries beyond a broadcast's size go in blocks.
+Blocks of codes and vectors come to the queries in turn (``sweep``), so that no candidate
+is a row; where ids repeat, the codes are scanned in place, and candidates joined to vectors.
+Queries beyond ``SWEEP_BLOCKS`` broadcasts' size go in groups.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsift.operators.vectors import (DIST_DIGITS, MAX_BROADCAST_QUERY_FLOATS, MAX_SCAN_QUERIES, _completed, _final_topk)
+from docsift.operators import sweep
+from docsift.operators.vectors import (DIST_DIGITS, MAX_BROADCAST_QUERY_FLOATS, MAX_SCAN_QUERIES, _completed, _final_topk, _hits)
+from docsift.session import drop_path
 
 SAMPLE_ROWS = 20_000
 MAX_LISTS = 4096
@@ -34,6 +38,7 @@ REFINE = 120
 PROBE_SHARE = 0.75
 ROUNDS = 12
 QUERY_STEP = 256
+SWEEP_BLOCKS = 4  # times MAX_SCAN_QUERIES queries are swept at once
 
 
 def _means(x: np.ndarray, k: int, seed: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -87,6 +92,13 @@ class Quantizer:
             r[:, s] = book[codes[:, k]]
         return near, codes, (2 * c * r + r * r).sum(1)
 
+    def decode(self, near: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The vectors that lists and codes stand for."""
+        x = self.centres[near].astype(np.float32)
+        for k, (s, book) in enumerate(zip(self.cuts, self.books)):
+            x[:, s] += book[codes[:, k]]
+        return x
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """(queries, slices, codes): the products of a query's slices and the codebooks."""
         out = np.zeros((len(q), len(self.cuts), CODES), np.float32)
@@ -97,11 +109,14 @@ class Quantizer:
 
 @dataclass
 class QuantizedIndex:
-    """codes (id, list_id, code, term), stored partitioned by ``lb``; vectors (id, vec)."""
+    """codes (id, list_id, code, term), stored partitioned by ``lb``; vectors (id, vec). ``unique``:
+    no id is repeated. ``swept``: what was found for queries, which ``search`` and ``measured`` share."""
     quantizer: Quantizer | None
     codes: DataFrame
     vectors: DataFrame
     n_dirs: int
+    unique: bool = False
+    swept: list = field(default_factory=list)
 
 
 def usable(base: DataFrame, id_col: str = "id") -> DataFrame:
@@ -145,7 +160,11 @@ def build(base: DataFrame, path: str, lists: int | None = None, sample_rows: int
      .write.mode("overwrite").partitionBy("lb").parquet(f"{path}/codes"))
     base.write.mode("overwrite").parquet(f"{path}/vectors")
     shared.destroy()
-    return QuantizedIndex(quantizer, spark.read.parquet(f"{path}/codes"), spark.read.parquet(f"{path}/vectors"), n_dirs)
+    return QuantizedIndex(quantizer, spark.read.parquet(f"{path}/codes"), spark.read.parquet(f"{path}/vectors"), n_dirs, _unique(base, "id"))
+
+
+def _unique(rows: DataFrame, key: str) -> bool:
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count() == 0
 
 
 def _probes(z: Quantizer, q: np.ndarray, nprobe: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,12 +173,15 @@ def _probes(z: Quantizer, q: np.ndarray, nprobe: int) -> tuple[np.ndarray, np.nd
     return d, np.argpartition(d, nprobe - 1, axis=1)[:, :nprobe] if nprobe < d.shape[1] else np.tile(np.arange(d.shape[1]), (len(q), 1))
 
 
+def _nprobe(z: Quantizer, nprobe: int | None) -> int:
+    return min(len(z.centres), nprobe or max(1, math.ceil(len(z.centres) * PROBE_SHARE)))
+
+
 def candidates(queries: DataFrame, index: QuantizedIndex, refine: int = REFINE, nprobe: int | None = None,
                exclude_self: bool = False) -> DataFrame:
     """(query_id, id, dist): each query's ``refine`` nearest by codes among the lists it probes."""
     spark, z = queries.sparkSession, index.quantizer
-    lists = len(z.centres)
-    nprobe = min(lists, nprobe or max(1, math.ceil(lists * PROBE_SHARE)))
+    nprobe = _nprobe(z, nprobe)
     dims, sc = z.centres.shape[1], spark.sparkContext
     from docsift.session import cut_lineage
     q = cut_lineage(usable(queries, "query_id").filter(F.size("vec") == dims).select(F.col("query_id").cast("long").alias("query_id"), "vec"), "pq-queries")
@@ -229,6 +251,89 @@ def _scan(shared):
     return run
 
 
+def _code_arrays(b: pd.DataFrame) -> tuple:
+    codes = np.frombuffer(b"".join(b["code"]), np.uint8).reshape(len(b), -1)
+    return b["id"].to_numpy(), b["list_id"].to_numpy(), codes, sweep.stack(b["vec"])
+
+
+def _swept(queries: DataFrame, index: QuantizedIndex, k: int | None, refine: int, nprobe: int | None,
+           exclude_self: bool) -> DataFrame | None:
+    """(query_id, ids, dists, evaluated): the ``k`` nearest of each query's ``candidates`` and how
+    many these are; computed once for the same queries (``k`` None: of any k). None where ids repeat."""
+    from docsift.session import cut_lineage
+    z, key = index.quantizer, (refine, nprobe, exclude_self)
+    if z is None or not index.unique:
+        return None
+    for theirs, had, most, found in index.swept:
+        if theirs is queries and had == key and (k or 0) <= most:
+            return found
+    spark = queries.sparkSession
+    asked = usable(queries, "query_id").filter(F.size("vec") == z.centres.shape[1])
+    q = cut_lineage(asked.select(F.col("query_id").cast("long").alias("query_id"), "vec"), "pq-queries")
+    if not _unique(q, "query_id"):
+        return None
+    n = q.count()
+    shared = spark.sparkContext.broadcast(z)
+    packs, path = sweep.packed(index.codes.select("id", "list_id", "code").join(index.vectors, "id").select("id", "list_id", "code", "vec"),
+                               _code_arrays, "pq-packs")
+    groups = max(1, math.ceil(n / (SWEEP_BLOCKS * MAX_SCAN_QUERIES)))
+    parts = []
+    for g in range(groups):  # what a sweep holds of a query is larger than the query
+        mine = q.filter(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g) if groups > 1 else q
+        parts.append(sweep.swept(mine, math.ceil(n / groups), packs, "ids array<long>, keys array<double>, dists array<double>",
+                                 _candidate_kernel(shared, k or 1, refine, _nprobe(z, nprobe), exclude_self), "pq-best",
+                                 "ids array<long>, dists array<double>, evaluated long")[1])
+    drop_path(spark, path)
+    found = spark.read.parquet(*parts)
+    index.swept.append((queries, key, k or 1, found))
+    return found
+
+
+def _candidate_kernel(quantizer, k: int, refine: int, nprobe: int, exclude_self: bool):
+    """Kernel of ``sweep.swept``: a query's ``refine`` nearest by codes in the lists it probes, each
+    measured when it is found; the last block leaves the ``k`` nearest of them."""
+    def make(shared, last: bool):
+        def run(batches):
+            z = quantizer.value
+            ids, lists, codes, vecs = (np.concatenate(x) for x in zip(*shared.value))
+            block = sweep.Block(ids, vecs, z.decode(lists, codes))
+            lists, step = lists[block.ok], 2 * sweep.TILE_ROWS
+            for b in batches:
+                if not len(b):
+                    continue
+                q = sweep.Queries(b["query_id"].to_numpy(), sweep.stack(b["vec"]), block)
+                found = sweep.Found(len(b), refine)
+                if "ids" in b:
+                    found.resume(b["ids"], b["dists"], b["keys"], DIST_DIGITS)
+                for i in range(0, len(b), sweep.TILE_QUERIES):
+                    rows = np.arange(i, min(len(b), i + sweep.TILE_QUERIES))
+                    asks = np.zeros((len(rows), len(z.centres)), bool)
+                    np.put_along_axis(asks, _probes(z, q.vecs[rows], nprobe)[1], True, axis=1)
+                    for j in range(0, len(block.ids), step):
+                        products = q.rows[rows] @ block.rows[j:j + step].T
+                        limit = found.key[rows, -1]
+                        new = np.flatnonzero(np.isinf(limit))
+                        products[new] = np.where(asks[new][:, lists[j:j + step]], products[new], -np.inf)
+                        qi, bi = sweep.near_pairs(q, rows, products, limit, refine + exclude_self, 0.0)
+                        key = q.square[rows[qi]] - 2.0 * products[qi, bi]
+                        mine = asks[qi, lists[j + bi]] & (key <= limit[qi])
+                        qi, bi, key = rows[qi[mine]], j + bi[mine], key[mine]
+                        if exclude_self:
+                            other = q.ids[qi] != block.ids[bi]
+                            qi, bi, key = qi[other], bi[other], key[other]
+                        found.offer(qi, block.ids[bi], key, sweep.squares(q.vecs, qi, block.vecs, bi))
+                if last:
+                    n = np.isfinite(found.key).sum(1)
+                    at = np.lexsort((found.id, np.round(found.dist, DIST_DIGITS)), axis=-1)[:, :k]
+                    near, dist = np.take_along_axis(found.id, at, 1), np.take_along_axis(found.dist, at, 1)
+                    yield pd.DataFrame({"query_id": b["query_id"], "ids": [x[:m] for x, m in zip(near, n)],
+                                        "dists": [x[:m] for x, m in zip(dist, n)], "evaluated": n})
+                else:
+                    yield b.assign(ids=found.lists(found.id), keys=found.lists(found.key), dists=found.lists(found.dist))
+        return run
+    return make
+
+
 def search(queries: DataFrame, index: QuantizedIndex, k: int = 10, refine: int = REFINE, nprobe: int | None = None,
            exclude_self: bool = False) -> DataFrame:
     """(query_id, rank, id, dist): queries(query_id, vec) by their ``refine`` best codes,
@@ -237,6 +342,9 @@ def search(queries: DataFrame, index: QuantizedIndex, k: int = 10, refine: int =
     if index.quantizer is None:
         return queries.sparkSession.createDataFrame([], "query_id long, rank int, id long, dist double")
     asked = usable(queries, "query_id").filter(F.size("vec") == index.quantizer.centres.shape[1])
+    best = _swept(queries, index, k, refine, nprobe, exclude_self)
+    if best is not None:
+        return _completed(_final_topk(_hits(best), k), asked.select("query_id", "vec"), index.vectors, k, exclude_self)
     near = candidates(queries, index, refine, nprobe, exclude_self).select("query_id", "id")
     full = (near.join(index.vectors, "id").join(asked.select("query_id", F.col("vec").alias("q")).dropDuplicates(["query_id"]), "query_id"))
     square = lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))
@@ -248,5 +356,8 @@ def search(queries: DataFrame, index: QuantizedIndex, k: int = 10, refine: int =
 def measured(queries: DataFrame, index: QuantizedIndex, refine: int = REFINE, nprobe: int | None = None,
              exclude_self: bool = True) -> DataFrame:
     """(query_id, evaluated): vectors that a search measures exactly."""
+    best = _swept(queries, index, None, refine, nprobe, exclude_self)
+    if best is not None:
+        return best.filter("evaluated > 0").select("query_id", "evaluated")
     return (candidates(queries, index, refine, nprobe, exclude_self).groupBy("query_id")
             .agg(F.count(F.lit(1)).alias("evaluated")))

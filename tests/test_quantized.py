@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from docsift.operators import quantized as PQ
+from docsift.operators import sweep
 from docsift.operators import vectors as V
 
 SCHEMA = "id long, vec array<float>, list_id int"
@@ -52,3 +53,27 @@ def test_odd_tables(spark, tmp_path, rows):
     got = {r.query_id: r.id for r in PQ.search(asked(base), index, k=1).collect()}
     good = {i for i, v in rows if i is not None and v is not None and len(v) == 2 and all(c is not None and c == c for c in v)}
     assert got == {i: i for i in good}
+
+
+def test_swept_candidates_are_those_of_the_code_scan(spark, tmp_path, monkeypatch):
+    """Several blocks and groups of queries; no candidate is a row, and measured() searches no second time."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 12)).astype(np.float32)
+    base = frame(spark, [v.tolist() for v in x])
+    index = PQ.build(base, str(tmp_path), lists=9)
+    qs = asked(base)
+    near = {}
+    for r in PQ.candidates(qs, index, 15, 6, True).collect():
+        near.setdefault(r.query_id, []).append(r.id)
+    monkeypatch.setattr(sweep, "PACK_ROWS", 30)
+    monkeypatch.setattr(sweep, "BLOCK_BYTES", 6000)
+    monkeypatch.setattr(sweep, "TILE_ROWS", 16)
+    monkeypatch.setattr(PQ, "MAX_SCAN_QUERIES", 50)
+    got = {}
+    res = PQ.search(qs, index, k=4, refine=15, nprobe=6, exclude_self=True)
+    for r in res.orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    d = ((x[:, None].astype(np.float64) - x[None]) ** 2).sum(2).round(6)
+    assert got == {q: sorted(near[q], key=lambda i: (d[q, i], i))[:4] for q in near} and len(got) == 400
+    monkeypatch.setattr(sweep, "swept", None)
+    assert {r.evaluated for r in PQ.measured(qs, index, 15, 6).collect()} == {15}
